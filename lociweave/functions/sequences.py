@@ -52,8 +52,8 @@ def trim_parsimonious(pos: Column, ref: Column, alt: Column) -> Column:
 
 
 # Names under which copy number gains and losses are given.
-_GAIN = ("cnv+", "cnvplus", "duplication", "dup", "gain", "large_duplication", "+")
-_LOSS = ("cnv-", "cnvminus", "deletion", "del", "loss", "large_deletion", "-")
+_GAIN = ("cnv+", "duplication", "large_insertion", "gain", "large_duplication")
+_LOSS = ("cnv-", "deletion", "large_deletion", "loss")
 
 
 def cnv_type(name: Column) -> Column:

@@ -28,14 +28,12 @@ SEVERITY = {
 }
 # Names for groups of effects.
 GROUPS = {
-    "LGDs": ["frame-shift", "nonsense", "splice-site", "no-frame-shift-newStop"],
-    "LoF": ["frame-shift", "nonsense", "splice-site", "no-frame-shift-newStop"],
-    "nonsynonymous": ["splice-site", "frame-shift", "nonsense", "no-frame-shift-newStop", "noStart", "noEnd", "missense", "no-frame-shift"],
-    "coding": ["splice-site", "frame-shift", "nonsense", "no-frame-shift-newStop", "noStart", "noEnd", "missense", "no-frame-shift", "synonymous", "CDS"],
-    "introns": ["non-coding-intron", "intron", "3'UTR-intron", "5'UTR-intron"],
-    "UTRs": ["3'UTR", "5'UTR", "5'UTR-intron", "3'UTR-intron"],
-    "noncoding": ["non coding", "intron", "intergenic", "3'UTR", "5'UTR", "non-coding-intron"],
+    "coding": ["nonsense", "frame-shift", "splice-site", "no-frame-shift-newStop", "missense", "no-frame-shift", "noStart", "noEnd", "synonymous"],
+    "noncoding": ["non coding", "intron", "intergenic", "3'UTR", "5'UTR"],
     "CNV": ["CNV+", "CNV-"],
+    "LGDs": ["frame-shift", "nonsense", "splice-site", "no-frame-shift-newStop"],
+    "nonsynonymous": ["nonsense", "frame-shift", "splice-site", "no-frame-shift-newStop", "missense", "no-frame-shift", "noStart", "noEnd"],
+    "UTRs": ["3'UTR", "5'UTR", "3'UTR-intron", "5'UTR-intron"],
 }
 _BASES = "TCAG"
 _AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -231,6 +229,35 @@ def variant_effects(df: DataFrame, transcripts: DataFrame, genome: DataFrame, pr
     return out.withColumn("effects", F.coalesce("effects", F.array(_row(lone))))
 
 
+def _details(x: Column) -> Column:
+    """What is told of an effect beyond its name, by kind of effect."""
+    kind = x["effect"]
+    say = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    place = F.concat(say(x["prot_pos"]), F.lit("/"), say(x["prot_length"]))
+    change = F.concat(F.lit("("), say(x["aa_change"]), F.lit(")"))
+    return (
+        F.when(kind.isin("noStart", "noEnd", "CDS", "all"), say(x["prot_length"]))
+        .when(kind.isin("intron", "5'UTR-intron", "3'UTR-intron", "non-coding-intron"), F.concat(say(x["which_intron"]), F.lit("/"), say(x["how_many_introns"]), F.lit("["), say(x["dist_from_coding"]), F.lit("]")))
+        .when(kind.isin("no-frame-shift", "no-frame-shift-newStop", "missense", "nonsense", "coding_unknown"), F.concat(place, change))
+        .when(kind.isin("frame-shift", "splice-site", "synonymous"), place)
+        .when(kind == "no-mutation", F.lit("no-mutation"))
+        .when(kind.isin("5'UTR", "3'UTR", "promoter"), say(x["dist_from_coding"]))
+        .otherwise(F.lit("None"))
+    )
+
+
+def worst_genes(effects: Column) -> Column:
+    """Genes of the worst effect, sorted and joined by ``;``."""
+    worst = F.get(effects, F.lit(0))["effect"]
+    hit = F.filter(effects, lambda x: (x["effect"] == worst) & x["gene"].isNotNull())
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(hit, lambda x: x["gene"]))), ";")
+
+
+def all_genes(effects: Column) -> Column:
+    hit = F.filter(effects, lambda x: x["gene"].isNotNull())
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(hit, lambda x: x["gene"]))), ";")
+
+
 def summarise(df: DataFrame, lists: list[str] | None = None, effects: str = "effects") -> DataFrame:
     """worst_effect, gene_effects (``gene:effect|...``), effect_details
     (``transcript:gene:effect:details|...``) and a sorted gene list for each
@@ -239,9 +266,11 @@ def summarise(df: DataFrame, lists: list[str] | None = None, effects: str = "eff
 
     e = F.col(effects)
     worst = F.get(e, F.lit(0))["effect"]
-    pairs = F.array_distinct(F.transform(F.filter(e, lambda x: x["gene"].isNotNull()), lambda x: F.concat(x["gene"], F.lit(":"), x["effect"])))
-    details = F.transform(F.filter(e, lambda x: x["transcript_id"].isNotNull()), lambda x: F.concat_ws(":", x["transcript_id"], x["gene"], x["effect"], F.concat_ws("/", x["prot_pos"].cast("string"), x["prot_length"].cast("string")), x["aa_change"]))
-    out = df.withColumns({"worst_effect": worst, "gene_effects": F.when(worst.isin("intergenic", "no-mutation"), worst).otherwise(F.array_join(pairs, "|")), "effect_details": F.array_join(details, "|")})
+    lone = worst.isin("intergenic", "no-mutation")
+    gene = lambda x: F.coalesce(x["gene"], F.lit("intergenic"))
+    pairs = F.array_distinct(F.transform(e, lambda x: F.concat(gene(x), F.lit(":"), x["effect"])))
+    per_tr = F.transform(e, lambda x: F.concat_ws(":", F.coalesce(x["transcript_id"], F.lit("intergenic")), gene(x), x["effect"], _details(x)))
+    out = df.withColumns({"worst_effect": worst, "gene_effects": F.when(lone, F.concat(worst, F.lit(":"), worst)).otherwise(F.array_join(pairs, "|")), "effect_details": F.when(lone, F.concat_ws(":", worst, worst, worst, worst)).otherwise(F.array_join(per_tr, "|"))})
     return out.withColumns({f"{n}_genes": genes_with_effect(e, effect_in(GROUPS, [n])) for n in lists or []})
 
 
