@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh_path, text_or_empty
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore."
+#: Set while a stream starts. Preallocated files would cost every state
+#: partition megabytes of disk, however little it holds.
+_CONF = {
+    _STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _STATE + "rocksdb.allowFAllocate": "false",
+    _STATE + "rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 class KeyedState:
@@ -37,8 +43,9 @@ class KeyedState:
         inbox, changes = f"{self.path}/inbox", f"{self.path}/changes"
         rows.write.mode("append").parquet(inbox)
         conf = self.spark.conf
-        before = conf.get(_PROVIDER, None)
-        conf.set(_PROVIDER, _ROCKS)
+        before = {k: conf.get(k, None) for k in _CONF}
+        for k, v in _CONF.items():
+            conf.set(k, v)
         try:
             arriving = self.spark.readStream.schema(rows.schema).parquet(inbox)
             state = arriving.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("best"), F.count("*").alias("n"))
@@ -51,10 +58,11 @@ class KeyedState:
             )
             query.awaitTermination()
         finally:
-            if before is None:
-                conf.unset(_PROVIDER)
-            else:
-                conf.set(_PROVIDER, before)
+            for k, v in before.items():
+                if v is None:
+                    conf.unset(k)
+                else:
+                    conf.set(k, v)
         told = self.spark.read.option("recursiveFileLookup", "true").parquet(changes)
         if told.select("batch").distinct().limit(2).count() > 1:
             told = told.groupBy("digest").agg(F.max_by("best", "batch").alias("best"), F.max_by("n", "batch").alias("n"))
