@@ -18,9 +18,8 @@ def reverse_complement(seq: Column) -> Column:
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Number of leading characters that two texts share."""
-    n = F.least(F.length(a), F.length(b))
-    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), i).otherwise(acc))
+    # The longest group that the second line begins with too.
+    return F.length(F.regexp_extract(F.concat(a, F.lit("\n"), b), r"^(.*).*\n\1", 1))
 
 
 def trim_left(pos: Column, ref: Column, alt: Column) -> Column:

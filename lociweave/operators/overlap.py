@@ -44,10 +44,12 @@ def bin_right(df: DataFrame, chrom: str, begin: str, end: str, base: int = _BASE
 
 def bin_left(df: DataFrame, chrom: str, begin: str, end: str, base: int = _BASE) -> DataFrame:
     w = _widths(base)
-    per_level = [
-        F.transform(F.sequence(F.floor(F.col(begin) / x).cast("bigint"), F.floor(F.col(end) / x).cast("bigint")), lambda b, k=k: F.struct(F.lit(k).alias("level"), b.alias("bin")))
-        for k, x in enumerate(w)
-    ]
+
+    def touched(level: int, width: int) -> Column:
+        bins = F.sequence(F.floor(F.col(begin) / width).cast("bigint"), F.floor(F.col(end) / width).cast("bigint"))
+        return F.transform(bins, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+
+    per_level = [touched(k, x) for k, x in enumerate(w)]
     return df.withColumn("__key", F.explode(F.concat(*per_level))).withColumns({"__level": F.col("__key.level"), "__bin": F.col("__key.bin"), "__chrom": F.col(chrom)}).drop("__key")
 
 

@@ -111,7 +111,11 @@ def annotate_simple_effects(df: DataFrame, transcripts: DataFrame, id_col: str =
     out = df.join(told, F.col(id_col) == F.col("__id"), "left").withColumn("__none", F.col("__id").isNull()).drop("__id")
     names = F.array(*[F.lit(s) for s in SIMPLE])
     pairs = F.coalesce("__pairs", F.array().cast("array<struct<rank:int,gene:string>>"))
-    by_class = {f"{s}_genes": F.transform(F.filter(pairs, lambda x, k=k: x["rank"] == k), lambda x: x["gene"]) for k, s in enumerate(SIMPLE)}
+
+    def of_class(k: int) -> Column:
+        return F.transform(F.filter(pairs, lambda x: x["rank"] == k), lambda x: x["gene"])
+
+    by_class = {f"{s}_genes": of_class(k) for k, s in enumerate(SIMPLE)}
     return (
         out.withColumn("worst_effect", F.when(F.col("__none"), F.lit(INTERGENIC)).otherwise(F.get(names, F.col("__worst"))))
         .withColumn("gene_effects", F.array_join(F.transform(pairs, lambda x: F.concat(x["gene"], F.lit(":"), F.get(names, x["rank"]))), "|"))

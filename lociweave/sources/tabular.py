@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import from_row
@@ -68,6 +68,10 @@ def read_vcf_input(spark: SparkSession, path: str) -> DataFrame:
     return one.withColumn("id", F.concat_ws(":", F.col("line").cast("string"), F.col("alt_idx").cast("string")))
 
 
+def _cells(alleles: str, name: str) -> Column:
+    return F.transform(alleles, lambda e: F.when(e[name] == "", ".").otherwise(e[name]))
+
+
 def write_vcf(df: DataFrame, attributes: list[str], path: str, header: list[str] | None = None) -> None:
     """Alleles regrouped into lines, attributes as INFO lists by ALT (``.`` for
     none); an attribute that is empty for all ALTs of a line is left out."""
@@ -79,7 +83,7 @@ def write_vcf(df: DataFrame, attributes: list[str], path: str, header: list[str]
     old = F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"]))), ";")
     new = []
     for k, a in enumerate(attributes):
-        values = F.transform("x", lambda e, k=k: F.when(e[f"__a{k}"] == "", ".").otherwise(e[f"__a{k}"]))
+        values = _cells("x", f"__a{k}")
         new.append(F.when(F.exists(values, lambda v: v != "."), F.concat(F.lit(f"{a}="), F.array_join(values, ","))))
     info = F.concat_ws(";", F.nullif(old, F.lit("")), *new)
     text = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce(F.lit(None).cast("string"), F.lit(".")), "ref", F.array_join(F.transform("x", lambda e: e["alt"]), ","), "qual", "filter", F.when(info == "", ".").otherwise(info), F.when(F.size("rest") > 0, F.array_join("rest", "\t")))
