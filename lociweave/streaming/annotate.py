@@ -18,7 +18,7 @@ from ..operators.scores import REGION_LIMIT, Attribute, Score
 
 #: Bin widths. A row looks into the level whose bins are as long as its span, so
 #: it touches one bin or two neighbouring ones, and short rows meet short arrays.
-BINS = (1 << 10, 1 << 14, 1 << 19)
+BINS = (1 << 7, 1 << 10, 1 << 14, 1 << 19)
 
 
 def binned(score: Score, sources: list[str], widths: tuple[int, ...] = BINS) -> DataFrame:
