@@ -319,6 +319,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     streams = cut(streams.dropDuplicates(["id", "row"]), "streams")
     sizes = streams.groupBy("host").agg(F.least(F.lit(int(n)), F.greatest(F.ceil(F.count("*") / shard_pages), F.ceil(F.sum(F.length("words")) / (16 << 20)))).cast("int").alias("shards"))
     dealt = streams.join(sizes, "host").withColumn("shard", F.pmod("row", F.col("shards").cast("long")))
+    # Without this the join's partitioning by host would do for the grouping, and
+    # all shards of a host would be one task.
+    dealt = dealt.repartition("host", "shard")
     found = cut(dealt.groupBy("host", "shard").applyInArrow(lambda t: _shard(t, least), _BITS_SQL), "repeats")
     useful = found.where("kept")
     # Only hosts with several shards and pages that may keep something need seeds from other shards.
