@@ -74,9 +74,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: CountCache | None = Non
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     keys = cut(rows.select("id", "digest"), "digests")
     known = cache.read().where(F.col("tokenizer") == version).select("digest", "n_bytes", "n_tokens")
-    misses = keys.join(known, "digest", "left_anti").groupBy("digest").agg(F.min_by("id", F.coalesce("id", F.lit(0))).alias("id"))
+    # Reduced before anything is joined, so that no digest meets in a task with all its rows.
+    firsts = keys.groupBy("digest").agg(F.min_by("id", F.coalesce("id", F.lit(0))).alias("id"))
+    misses = firsts.join(known.select("digest").distinct(), "digest", "left_anti")
     picked = rows.join(misses.withColumnRenamed("digest", "d").withColumnRenamed("id", "i"), F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
     fresh = picked.select("digest", "text").mapInArrow(partial(_counts, path=tokenizer), "digest binary, n_bytes long, n_tokens long")
     cache.append(fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens"))
     table = cache.read().where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
+    # As a table of its own, the join has plain exchanges below it, and AQE can split a hot digest.
+    table = cut(table, "counts")
     return keys.join(table, "digest").select("id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
