@@ -46,9 +46,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df`` (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, column: str) -> int:
+    """Catalyst's estimate of the size of ``df`` (file sizes for a scan); where
+    it has none, the bytes in ``column``, counted."""
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if told < 1 << 60:
+        return told
+    return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
 
 
 def text_or_empty(column: str):

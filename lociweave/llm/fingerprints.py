@@ -216,7 +216,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     prepare(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    wanted = min(1 << 20, max(256, input_bytes(docs) // (1 << 20)))
+    wanted = min(1 << 20, max(256, input_bytes(docs, text_col) // (1 << 20)))
     at = src.approxQuantile("id", [k / wanted for k in range(1, wanted)], 0.25 / wanted)
     bounds = np.unique(np.array(at or [], np.float64)).astype(np.int64)
     ids = src.select("id").mapInArrow(partial(_heads, bounds=bounds), "b long, id long")

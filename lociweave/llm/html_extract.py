@@ -285,9 +285,18 @@ def _text(page: str, covered: bytes | None, more: frozenset, least: int) -> str:
         for i in np.flatnonzero(np.isin(total.astype(np.int64), np.fromiter(more, np.int64, len(more)))):
             gone[i : i + least] = True
     runs: dict[int, list[str]] = {}
-    for (k, w), g in zip(words, gone, strict=True):
-        if not g and own[k][0] == OPEN:
-            runs.setdefault(k, []).append(w)
+    of = np.array([k for k, _ in words], np.int64)
+    for k in np.unique(of[[own[k][0] == OPEN for k in of]]) if len(of) else ():
+        at = np.flatnonzero(of == k)
+        out = gone[at]
+        # A repeat that only reaches into the block from a neighbour takes no part of it.
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], out.astype(np.int8), [0]))))
+        for a, b in edge.reshape(-1, 2):
+            if b - a < min(least, len(out)):
+                out[a:b] = False
+        left = [words[i][1] for i, g in zip(at, out, strict=True) if not g]
+        if left:
+            runs[int(k)] = left
     return "\n\n".join(" ".join(v) for _, v in sorted(runs.items()))
 
 
@@ -314,7 +323,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     page = F.coalesce(F.col(html_col), F.lit(""))
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), page.alias("html")).withColumn("row", F.xxhash64("url", "html"))
     streams = src.select("id", "row", host_of(F.col("url")).alias("host"), "html").mapInArrow(_streams, "id long, row long, host string, kept boolean, words string")
-    n = max(64, input_bytes(pages) // (4 << 20))
+    n = max(64, input_bytes(pages, html_col) // (4 << 20))
     # Pages of a host are dealt into shards by content; a host with few pages has few.
     streams = cut(streams.dropDuplicates(["id", "row"]), "streams")
     sizes = streams.groupBy("host").agg(F.least(F.lit(int(n)), F.greatest(F.ceil(F.count("*") / shard_pages), F.ceil(F.sum(F.length("words")) / (16 << 20)))).cast("int").alias("shards"))

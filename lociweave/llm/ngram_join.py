@@ -81,8 +81,8 @@ def _cells(chunk: int, ids: list, sets: list[np.ndarray], bits: int) -> pa.Recor
     block = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
     order = np.argsort(block, kind="stable")
     h, doc, block = h[order], doc[order], block[order]
-    edges = np.flatnonzero(np.diff(block, prepend=-1)) if len(h) else []
-    for lo, hi in zip(edges, [*edges[1:], len(h)], strict=True):
+    edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(h))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         part = h[lo:hi]
         # The code is apart from the low 48 bits' own hashing use: any function of the shingle will do.
         add(int(block[lo]), 0, (part & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), None, None)
@@ -296,7 +296,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     """
     spark = docs.sparkSession
     prepare(spark)
-    bits = min(16, max(6, int(np.ceil(np.log2(max(1, input_bytes(docs)) / (8 << 20) + 1)))))
+    bits = min(16, max(6, int(np.ceil(np.log2(max(1, input_bytes(docs, text_col)) / (8 << 20) + 1)))))
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     cells = src.mapInArrow(partial(_incidence, n=n, bits=bits), _CELL_SQL)
     cells = cells.repartition(1 << bits, "block").sortWithinPartitions("block", "phase")

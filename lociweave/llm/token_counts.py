@@ -23,12 +23,15 @@ def tokenizer_version(path: str) -> str:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tok = byte_tokenizer(path)
+    tok, done = byte_tokenizer(path), set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
-            texts = batch.column(1).slice(lo, 256).to_pylist()
+            # Rows that repeat id and text all come as representatives of their digest.
+            new = {d: t for d, t in zip(*(batch.column(k).slice(lo, 256).to_pylist() for k in (0, 1)), strict=True) if d not in done}
+            done.update(new)
+            texts = list(new.values())
             n = [len(x) // 4 for x in tok.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], schema=_COUNT)
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], schema=_COUNT)
 
 
 class CountCache:
@@ -62,7 +65,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: CountCache | None = Non
     only those are encoded, and the new counts are appended to the cache before
     the final join. A lost executor repeats single tasks; a lost driver leaves
     a cache that is whole up to its last append, which a second run picks up.
-    Should two runs append the same digest, the join takes one row of them.
+    Should a digest be appended twice, by two runs or for repeated rows that lie
+    in different tasks, the join takes one row of them.
 
     Null or empty text: 0 bytes, 0 tokens. Rows with a null or repeated id are
     counted like any other. An empty table gives an empty table.
