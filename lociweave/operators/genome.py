@@ -65,6 +65,22 @@ def bases(df: DataFrame, genome: DataFrame, chrom: str, begin: str, end: str, na
     return df.join(told, F.col(id_col) == F.col("__id"), "left").drop("__id").withColumn(name, F.coalesce(name, F.lit("")))
 
 
+def near_bases(df: DataFrame, genome: DataFrame, chrom: str, begin: str, end: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """``bases`` for spans of at most a chunk: they lie in one chunk or two
+    neighbours, so two joins bring them to the row and nothing is regrouped."""
+    b, e = F.greatest(F.col(begin).cast("bigint"), F.lit(1).cast("bigint")), F.col(end).cast("bigint")
+    out = df.withColumns({"__k0": F.floor((b - 1) / chunk), "__k1": F.floor((e - 1) / chunk)})
+    for k in (0, 1):
+        g = genome.select(F.col("chrom").alias(f"__gc{k}"), F.col("chunk").alias(f"__gk{k}"), F.col("seq").alias(f"__gs{k}"))
+        on = (F.col(chrom) == F.col(f"__gc{k}")) & (F.col(f"__k{k}") == F.col(f"__gk{k}"))
+        out = out.join(g, on & (F.col("__k1") == F.col("__k0") + 1) if k else on, "left")
+    both = F.concat(F.coalesce("__gs0", F.lit("")), F.coalesce("__gs1", F.lit("")))
+    # Where the first chunk is not there, neither is what follows.
+    seq = F.substring(both, (b - F.col("__k0") * chunk).cast("int"), (e - b + 1).cast("int"))
+    told = F.when(F.col("__gs0").isNotNull() & (e >= b), seq).otherwise(F.lit(""))
+    return out.withColumn(name, told).drop("__k0", "__k1", "__gc0", "__gk0", "__gs0", "__gc1", "__gk1", "__gs1")
+
+
 def resolve_variants(df: DataFrame, genome: DataFrame, chrom: Column, pos: Column, variant: Column, name: str = "ann", id_col: str = "id") -> DataFrame:
     """Alleles of ``sub/ins/del/complex`` variants: an insertion or deletion
     takes the base before it from the genome."""
@@ -137,42 +153,45 @@ def extend(pos: int, ref: str, alt: str, base) -> tuple[int, str, str]:
     return pos, ref, alt
 
 
-def _with_stretch(df: DataFrame, genome: DataFrame, ann: str, margin: int, id_col: str) -> DataFrame:
-    a = F.col(ann)
-    one = df.withColumns({"__c": a["chrom"], "__sb": F.greatest(a["pos"] - margin, F.lit(1).cast("bigint")), "__se": a["pos"] + F.length(a["ref"]) + margin})
-    return bases(one, genome, "__c", "__sb", "__se", "__stretch", id_col)
-
-
-def annotate_normalised(df: DataFrame, genome: DataFrame, name: str = "normalized", ann: str = "ann", id_col: str = "id", margin: int = 1000) -> DataFrame:
-    """Adds the normalised allele as an annotatable. Annotatables that are not
-    alleles stay as they are; a walk longer than ``margin`` bases is resumed
-    with a stretch eight times as long, so no repeat is cut short."""
-    return _widening(df, genome, name, ann, id_col, margin, 0)
+#: Bases known on either side of an allele, and for the few walks that need more.
+_MARGINS = (1000, 24_000)
 
 
-def _widening(df: DataFrame, genome: DataFrame, name: str, ann: str, id_col: str, margin: int, depth: int) -> DataFrame:
-    one = _with_stretch(df, genome, ann, margin, id_col)
-
-    @F.pandas_udf("struct<pos:bigint,ref:string,alt:string,more:boolean>")
-    def run(pos: pd.Series, ref: pd.Series, alt: pd.Series, begin: pd.Series, seq: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, r, a, b, s in zip(pos, ref, alt, begin, seq, strict=True):
-            if r is None or a is None:
-                out.append((None, None, None, False))
-                continue
-            got = normalise(int(p), r, a, Stretch(int(b), s.upper()).base)
-            out.append((None, None, None, int(b) > 1 and s != "") if got is None else (*got, False))
-        return pd.DataFrame(out, columns=["pos", "ref", "alt", "more"]).astype({"pos": "Int64"})
-
-    told = one.withColumn("__n", run(f"{ann}.pos", f"{ann}.ref", f"{ann}.alt", "__sb", "__stretch")).drop("__c", "__sb", "__se", "__stretch")
-    n = F.col("__n")
-    moved = F.when(n["pos"].isNotNull(), S.allele(F.col(f"{ann}.chrom"), n["pos"], n["ref"], n["alt"])).otherwise(F.col(ann))
-    done = told.withColumn(name, moved)
-    if depth >= 3:
-        return done.drop("__n")
-    # The few walks that ran out of stretch are planned again with a longer one.
-    rest = _widening(told.where("__n.more").drop("__n"), genome, name, ann, id_col, margin * 8, depth + 1)
-    return done.where("not __n.more").drop("__n").unionByName(rest)
+def _with_stretch(df: DataFrame, genome: DataFrame, ann: str, margin: int, when: Column | None = None) -> DataFrame:
+    """Adds __sb and __stretch: the bases around an allele (null and "" where
+    ``when`` does not hold, and there no chunk is met)."""
+    a = F.col(ann)
+    begin = F.greatest(a["pos"] - margin, F.lit(1).cast("bigint"))
+    end = F.least(a["pos"] + F.length(a["ref"]) + margin, begin + CHUNK - 1)
+    if when is not None:
+        begin, end = F.when(when, begin), F.when(when, end)
+    one = df.withColumns({"__c": a["chrom"], "__sb": begin, "__se": end})
+    return near_bases(one, genome, "__c", "__sb", "__se", "__stretch").drop("__c", "__se")
+
+
+def _walk(pos: pd.Series, ref: pd.Series, alt: pd.Series, begin: pd.Series, seq: pd.Series) -> pd.DataFrame:
+    out = []
+    for p, r, a, b, s in zip(pos, ref, alt, begin, seq, strict=True):
+        if r is None or a is None or b is None or pd.isna(b):
+            out.append((None, None, None, False))
+            continue
+        got = normalise(int(p), r, a, Stretch(int(b), s.upper()).base)
+        out.append((None, None, None, int(b) > 1 and s != "") if got is None else (*got, False))
+    return pd.DataFrame(out, columns=["pos", "ref", "alt", "more"]).astype({"pos": "Int64"})
+
+
+def annotate_normalised(df: DataFrame, genome: DataFrame, name: str = "normalized", ann: str = "ann") -> DataFrame:
+    """Adds the normalised allele as an annotatable; annotatables that are not
+    alleles stay as they are. Rows are kept where they are: the bases around an
+    allele come by two joins, and only walks that leave them join again, for a
+    longer stretch. An allele that slides over more than 24,000 bases stays."""
+    out, walk = df, F.pandas_udf(_walk, "struct<pos:bigint,ref:string,alt:string,more:boolean>")
+    for k, margin in enumerate(_MARGINS):
+        out = _with_stretch(out, genome, ann, margin, F.col("__w0.more") if k else None)
+        out = out.withColumn(f"__w{k}", walk(f"{ann}.pos", f"{ann}.ref", f"{ann}.alt", "__sb", "__stretch")).drop("__sb", "__stretch")
+    w = F.when(F.col("__w0.pos").isNotNull(), F.col("__w0")).otherwise(F.col("__w1"))
+    moved = F.when(w["pos"].isNotNull(), S.allele(F.col(f"{ann}.chrom"), w["pos"], w["ref"], w["alt"])).otherwise(F.col(ann))
+    return out.withColumn(name, moved).drop("__w0", "__w1")
 
 
 # --- liftover ----------------------------------------------------------------
@@ -207,16 +226,19 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
 
 def lift_positions(df: DataFrame, blocks: DataFrame, chrom: str, pos: str, id_col: str = "id", name: str = "lifted") -> DataFrame:
     """Adds struct(chrom, pos, strand): the place in the best chain's block that
-    holds the 1-based position, or null."""
-    from .overlap import overlap_join
+    holds the 1-based position, or null. Rows with a null id are left out."""
+    from .overlap import bin_left, bin_right
 
-    one = df.select(F.col(id_col).alias("__id"), F.col(chrom).alias("__c"), F.col(pos).cast("bigint").alias("__p")).withColumn("__q", F.col("__p"))
+    one = df.where(F.col(id_col).isNotNull()).select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.col(id_col).alias("__id"), F.col(chrom).alias("__c"), F.col(pos).cast("bigint").alias("__p"))
+    # A position has one bin a level; unknown positions keep a row of their own.
+    left = bin_left(one.withColumn("__q", F.coalesce("__p", F.lit(0).cast("bigint"))), "__c", "__q", "__q")
     b = blocks.select("src_chrom", (F.col("src_begin") + 1).alias("__sb"), F.col("src_end").alias("__se"), "dst_chrom", "dst_begin", "dst_size", "strand", "score", "chain_id")
-    hit = overlap_join(one, b, ("__c", "__p", "__q"), ("src_chrom", "__sb", "__se"))
+    right = bin_right(b, "src_chrom", "__sb", "__se").withColumnsRenamed({"__level": "__rl", "__bin": "__rb", "__chrom": "__rc"})
+    hit = left.join(right, (F.col("__chrom") == F.col("__rc")) & (F.col("__level") == F.col("__rl")) & (F.col("__bin") == F.col("__rb")) & F.col("__p").between(F.col("__sb"), F.col("__se")), "left")
     at = F.col("dst_begin") + F.col("__p") - F.col("__sb")
     there = F.when(F.col("strand") == "+", at + 1).otherwise(F.col("dst_size") - at)
-    told = hit.groupBy("__id").agg(F.max_by(F.struct(F.col("dst_chrom").alias("chrom"), there.alias("pos"), "strand"), F.struct("score", F.reverse("chain_id"), "chain_id")).alias(name))
-    return df.join(told, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    best = F.max_by(F.struct(F.col("dst_chrom").alias("chrom"), there.alias("pos"), "strand"), F.when(F.col("dst_chrom").isNotNull(), F.struct("score", "chain_id")))
+    return hit.groupBy("__id").agg(F.first("__row").alias("__row"), best.alias(name)).select("__row.*", name)
 
 
 def lift_regions(df: DataFrame, blocks: DataFrame, name: str = "lifted", ann: str = "ann", id_col: str = "id") -> DataFrame:
@@ -238,8 +260,8 @@ def lift_alleles(df: DataFrame, blocks: DataFrame, source: DataFrame, target: Da
     first base is mapped and the target's bases are taken for the ref.
     A null annotatable stands for what cannot be lifted.
     """
-    norm = annotate_normalised(df, source, "__n", ann, id_col, margin)
-    norm = _with_stretch(norm, source, "__n", margin, id_col)
+    norm = annotate_normalised(df, source, "__n", ann)
+    norm = _with_stretch(norm, source, "__n", margin)
 
     @F.pandas_udf("struct<pos:bigint,ref:string,alt:string>")
     def widen(pos: pd.Series, ref: pd.Series, alt: pd.Series, begin: pd.Series, seq: pd.Series) -> pd.DataFrame:
@@ -248,7 +270,7 @@ def lift_alleles(df: DataFrame, blocks: DataFrame, source: DataFrame, target: Da
             out.append((None, None, None) if r is None or a is None else (int(p), r, a) if mode == "basic" or len(r) == len(a) == 1 else extend(int(p), r, a, Stretch(int(b), s.upper()).base))
         return pd.DataFrame(out, columns=["pos", "ref", "alt"]).astype({"pos": "Int64"})
 
-    wide = norm.withColumn("__w", widen("__n.pos", "__n.ref", "__n.alt", "__sb", "__stretch")).drop("__c", "__sb", "__se", "__stretch")
+    wide = norm.withColumn("__w", widen("__n.pos", "__n.ref", "__n.alt", "__sb", "__stretch")).drop("__sb", "__stretch")
     wide = wide.withColumns({"__c": F.col(f"{ann}.chrom"), "__a": F.col("__w.pos"), "__b": F.col("__w.pos") + F.length("__w.ref") - 1})
     both = lift_positions(lift_positions(wide, blocks, "__c", "__a", id_col, "__la"), blocks, "__c", "__b", id_col, "__lb")
     a, b, n = F.col("__la"), F.col("__lb"), F.length("__w.ref")
@@ -259,7 +281,7 @@ def lift_alleles(df: DataFrame, blocks: DataFrame, source: DataFrame, target: Da
         lo = F.when(a["strand"] == "-", a["pos"] - n + 1).otherwise(a["pos"])
         hi = lo + n - 1
     placed = both.withColumns({"__tc": F.when(ok, a["chrom"]), "__tb": F.when(ok, lo), "__te": F.when(ok, hi), "__flip": a["strand"] == "-"})
-    placed = bases(placed, target, "__tc", "__tb", "__te", "__seq", id_col)
+    placed = near_bases(placed, target, "__tc", "__tb", "__te", "__seq")
     turn = lambda c: F.when(F.col("__flip"), S.reverse_complement(c)).otherwise(c)
     ref, alt, seq = turn(F.col("__w.ref")), turn(F.col("__w.alt")), F.upper("__seq")
     at = F.when(seq == "", F.lit(None))
@@ -268,7 +290,7 @@ def lift_alleles(df: DataFrame, blocks: DataFrame, source: DataFrame, target: Da
     else:
         made = at.when(seq != alt, S.allele(F.col("__tc"), F.col("__tb"), seq, alt))
     lifted = placed.withColumn(name, made).drop("__n", "__w", "__c", "__a", "__b", "__la", "__lb", "__tc", "__tb", "__te", "__flip", "__seq")
-    return annotate_normalised(lifted, target, "__x", name, id_col, margin).drop(name).withColumnRenamed("__x", name)
+    return annotate_normalised(lifted, target, "__x", name).drop(name).withColumnRenamed("__x", name)
 
 
 def map_chroms(df: DataFrame, mapping: dict[str, str] | DataFrame | None = None, add_prefix: str = "", del_prefix: str = "", ann: str = "ann", name: str = "mapped") -> DataFrame:

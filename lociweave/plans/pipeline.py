@@ -279,7 +279,7 @@ def _run(df: DataFrame, s: Spec, pipeline: Pipeline, catalog: Catalog, id_col: s
         return back(told, ["effects", "worst_effect", "gene_effects", "effect_details", "gene_list", *[f"{n}_genes" for n in lists]])
     if s.type == "normalize_allele_annotator":
         where = s.param("genome") or s.resource or pipeline.preamble.get("input_reference_genome") or catalog.genome
-        return back(genome.annotate_normalised(narrow, catalog.get(where).value, "normalized_allele", "__ann", "__i"), ["normalized_allele"])
+        return back(genome.annotate_normalised(narrow, catalog.get(where).value, "normalized_allele", "__ann"), ["normalized_allele"])
     if s.type in ("liftover_annotator", "basic_liftover_annotator"):
         chain = catalog.get(s.param("chain") or s.resource)
         source = catalog.get(s.param("source_genome") or chain.labels.get("source_genome")).value
