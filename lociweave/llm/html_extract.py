@@ -308,7 +308,7 @@ def _extract(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_MAIN_TEXT)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 6, shard_pages: int = 2000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 6, shard_pages: int = 500) -> DataFrame:
     """-> (id, url, text, n_chars), one row per row of ``pages``.
 
     Character references are decoded, white space in a block becomes one space,
