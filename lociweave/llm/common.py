@@ -59,6 +59,20 @@ def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, so that a worker that is kept for
+    other stages does not hold what it needed for one."""
+    import ctypes
+    import gc
+    import sys
+
+    gc.collect()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def string_parts(col) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and UTF-8 bytes of an Arrow string column; nulls have length 0."""
     if isinstance(col, pa.ChunkedArray):

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, input_bytes, mix64, prepare, string_parts, text_or_empty
+from .common import cut, input_bytes, mix64, prepare, release_memory, string_parts, text_or_empty
 from .graph import components
 from .shingles import shingle_sets
 
@@ -108,6 +108,8 @@ def _incidence(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator
                 chunk, ids, sets, held = chunk + 1, [], [], 0
     if sets:
         yield _cells(chunk, ids, sets, bits)
+    ids, sets = [], []
+    release_memory()
 
 
 def _fold(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +159,8 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[k].append(v)
         if out["block"]:
             yield pa.RecordBatch.from_pydict(out, schema=_CELL)
+    codes, counts, table = [], [], None
+    release_memory()
 
 
 _ROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("entries", pa.binary())])

@@ -114,6 +114,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * b.num_rows, pa.int64()), pa.array(cols["ahead"], pa.int64()), b.column(0), b.column(1), pa.array(cols["n"], pa.int64()), pa.array(cols["ids"], pa.binary())], schema=_TOK
             )
+    tok.forget()
 
 
 _PIECE = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])

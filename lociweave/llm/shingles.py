@@ -15,7 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER += 1  # so that a NUL byte counts too
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 2 << 20
+_PIECE = 1 << 19
 
 
 def _powers(n: int) -> np.ndarray:
@@ -57,7 +57,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about two megabytes; a longer text is a run of its own."""
+    """Runs of texts of about half a megabyte; a longer text is a run of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + _PIECE, side="right")) - 1

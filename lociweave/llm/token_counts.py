@@ -32,6 +32,7 @@ def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             texts = list(new.values())
             n = [len(x) // 4 for x in tok.encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], schema=_COUNT)
+    tok.forget()
 
 
 class CountCache:

@@ -13,6 +13,7 @@ import sys
 from array import array
 from functools import lru_cache
 
+from .common import release_memory
 from .pretokens import byte_chars, byte_chunks, byte_level, specials_splitter
 
 if array("I").itemsize != 4 or sys.byteorder != "little":
@@ -91,6 +92,12 @@ class ByteTokenizer:
         return out
 
 
+    def forget(self) -> None:
+        """Drops what a task has learnt; its worker may go on to other work."""
+        self._chunks.clear()
+        release_memory()
+
+
 @lru_cache(maxsize=2)
 def byte_tokenizer(path: str) -> ByteTokenizer:
     return ByteTokenizer(path)
