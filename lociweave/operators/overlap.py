@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bin widths: powers of two, so that a division is exact and cheap.
-_BASE, _STEP, _LEVELS = 10, 4, 5
+_BASE, _STEP, _LEVELS = 7, 4, 5
 
 
 def _widths(base: int = _BASE) -> list[int]:
