@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, prepare
+from .common import cut, fresh_path, prepare
 
 _SEGMENT = 32 << 10
 _FRAME = 8 << 10
@@ -113,7 +113,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     marks = rows.where(F.octet_length("payload") >= least_bytes).select("page", F.unhex(F.sha1("payload")).alias("sha"))
     first = marks.groupBy("sha").agg(F.min("page").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     again = marks.join(first, "sha").where("page <> refers_to").groupBy("page", "sha").agg(F.min("refers_to").alias("refers_to"))
-    again = again.select(F.col("page").alias("p"), F.col("sha").alias("s"), "refers_to")
+    # A table of its own, so that its size is known: a small one is broadcast and payloads stay where they are.
+    again = cut(again.select(F.col("page").alias("p"), F.col("sha").alias("s"), "refers_to"), "revisits")
     told = rows.join(again, (F.col("page") == F.col("p")) & (F.unhex(F.sha1("payload")) == F.col("s")), "left")
     out = told.select("page", "url", "payload", "refers_to").mapInArrow(partial(_write, segment=segment), "record binary")
     out.select(F.col("record").cast("string").alias("value")).write.option("compression", compression).text(path)
