@@ -215,6 +215,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = 4000) -> tup
     them, those with the least hash of their text. Fitting runs in a task."""
     src = docs.select(text_or_empty(text_col).alias("text"))
     got = src.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    got.sort(key=lambda r: r.pattern)  # sums in one order, so that a repeated run is the same run
     patterns = np.array([r.pattern for r in got], np.int64)
     model = fit_labels(patterns, np.array([r.n for r in got], np.float64)) if got else LabelModel(np.full((len(LABELLERS), 2, 3), 1 / 3), 0.98)
     labels = dict(zip(patterns.tolist(), model.posterior(patterns).tolist(), strict=True)) if got else {}
@@ -223,14 +224,14 @@ def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = 4000) -> tup
     last = keys.agg(F.max("h")).first()[0]
 
     def train(t: pa.Table) -> pa.Table:
-        texts = list(_texts(t.column("text").combine_chunks()))
+        texts = list(_texts(t.sort_by("h").column("text").combine_chunks()))
         target = np.array([labels.get(_votes(_stats(*x)), model.clean) for x in texts])
         s = fit_scorer([_features(*x) for x in texts], target)
         return pa.Table.from_pydict({"weights": [s.weights.tobytes()], "bias": [s.bias]}, schema=_FITTED)
 
     if last is None:
         return model, labels, Scorer(np.zeros(_DIMS), 0.0)
-    picked = src.withColumn("h", F.xxhash64("text")).where(F.col("h") <= last).dropDuplicates(["h"]).select("text", F.lit(1).alias("one"))
+    picked = src.withColumn("h", F.xxhash64("text")).where(F.col("h") <= last).dropDuplicates(["h"]).select("h", "text", F.lit(1).alias("one"))
     row = picked.groupBy("one").applyInArrow(train, "weights binary, bias double").first()
     return model, labels, Scorer(np.frombuffer(row.weights), row.bias)
 
