@@ -8,11 +8,11 @@ back, so a lost executor costs one stage's tasks at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.llm import dedup, ngram_join, packing, quality
-from lociweave.llm.common import cut
+from lociweave.llm.common import cut, text_or_empty
 from lociweave.llm.queries import tokenizer_path
 
 
@@ -22,16 +22,53 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_clean(docs)
 
 
+def _sha(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__sha", F.sha2(text_or_empty("text"), 256))
+
+
+def _on(keys: DataFrame) -> Column:
+    """A row of documents is known by its id, null or not, and its text's digest."""
+    return F.col("doc_id").eqNullSafe(keys["__id"]) & (F.col("__sha") == keys["__key"])
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    gone = dedup.deduplicate(docs).where("not kept").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts the row with the largest doc_id stays; a row without an id
+    only where no other has the text. Rows are told by id and text, so an id
+    that is repeated, or null, costs no other text of that id its row. Of rows
+    that repeat both, one stays (the last of the files they come from)."""
+    told = dedup.deduplicate(docs).groupBy(F.col("id").alias("__id"), F.col("text_sha256").alias("__key")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
+    marked = cut(told.where("not __kept or __n > 1"), "marked")
+    left = _sha(docs).join(marked, _on(marked), "left_anti").select(docs.columns)
+    many = marked.where("__kept")
+    if many.isEmpty():
+        return left
+    placed, place = dedup.locator(docs)
+    order = F.struct(place, F.xxhash64(*docs.columns))
+    again = _sha(placed.withColumn("__order", order)).join(many, _on(many), "left_semi")
+    again = again.groupBy("doc_id", "__sha").agg(F.max_by(F.struct(*docs.columns), "__order").alias("__row"))
+    return left.unionByName(again.select("__row.*"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 over five-word shingles the least doc_id stays."""
-    gone = ngram_join.link(docs, n=5, percent=80).where("id <> component_id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group linked at 0.8 over five-word shingles the least doc_id
+    stays. Rows that share an id, or have none, are linked each by its own text:
+    they get numbers outside the range of ids (an id counts before none, and of
+    equal ids the least digest). An id and a text come once, as exact_stage
+    leaves them."""
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("doc_id is null or __n > 1").select(F.col("doc_id").alias("__id"))
+    repeated = cut(repeated, "repeated")
+    if repeated.isEmpty():
+        gone = ngram_join.link(docs, n=5, percent=80).where("id <> component_id").select(F.col("id").alias("doc_id"))
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    keyed = _sha(docs).select("doc_id", "__sha").join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").distinct()
+    odd = cut(keyed.select(F.col("doc_id").alias("__id"), F.col("__sha").alias("__key"), (F.lit(top).cast("long") + 1 + F.monotonically_increasing_id()).alias("__odd")), "odd")
+    numbered = _sha(docs).join(odd, _on(odd), "left").withColumn("__num", F.coalesce("__odd", "doc_id")).select(*docs.columns, "__num")
+    linked = cut(ngram_join.link(numbered, id_col="__num", n=5, percent=80).distinct(), "linked")
+    real = linked.join(odd, F.col("id") == F.col("__odd"), "left").withColumn("__id", F.when(F.col("__odd").isNull(), F.col("id")).otherwise(F.col("__id")))
+    first = real.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__key", "id"))["id"].alias("__first"))
+    gone = linked.join(first, "component_id").where("id <> __first").select(F.col("id").alias("__num"))
+    return numbered.join(gone, "__num", "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

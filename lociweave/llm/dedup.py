@@ -69,7 +69,7 @@ class KeyedState:
         return told.select("digest", "best.id", "best.locator", F.col("n"))
 
 
-def _locator(docs: DataFrame) -> tuple[DataFrame, Column]:
+def locator(docs: DataFrame) -> tuple[DataFrame, Column]:
     """Where a row's content is: file and row in it, if the rows come from files."""
     try:
         probe = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
@@ -92,7 +92,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     state = state or KeyedState(spark)
-    with_place, place = _locator(docs)
+    with_place, place = locator(docs)
     text = text_or_empty(text_col)
     full = F.sha2(text, 256)
     digest = F.unhex(F.substring(full, 1, digest_bits // 4))
