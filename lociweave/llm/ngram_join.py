@@ -24,10 +24,9 @@ shingle hash). Only entries that can count in A * A' travel on:
    the bound for their sizes being dropped.
 
 Inside a block ``_product`` accumulates overlap counts row by row against all
-columns, and stops working on rows once they lie in the block's largest
-component, so a group of k near copies costs about k row operations, not
-k squared, and writes a spanning forest, never its pairs. No pair, row or
-partner is capped: a column too large for one block becomes blocks of pairs of
+columns, and ends once all rows left lie in the block's largest component, so a
+group of k near copies costs about k row operations, not k squared, and writes
+a spanning forest, never its pairs. No pair, row or partner is capped: a column too large for one block becomes blocks of pairs of
 its parts.
 """
 
@@ -240,12 +239,16 @@ def _product(table: pa.Table, percent: int) -> pa.Table:
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
     size = np.bincount(boss, minlength=m)
     src, dst = [], []
-    for r in range(m):
-        big = int(size.argmax())
-        if size[big] == m:
+    todo = np.ones(m, bool)
+    while True:
+        # Which component is the largest can change: rows passed over in one that
+        # no longer is are in line again. At the end all rows not worked on lie in
+        # one component, so every link has a worked row or joins nothing new.
+        rest = np.flatnonzero(todo & (boss != size.argmax()))
+        if not len(rest):
             break
-        if boss[r] == big and size[big] > 1:
-            continue
+        r = int(rest[0])
+        todo[r] = False
         cols = col[at[r] : at[r + 1]]
         counts = np.zeros(m, np.int64)
         lens = edge[cols + 1] - edge[cols]
