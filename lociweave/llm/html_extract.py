@@ -225,8 +225,8 @@ def repeated(streams: list[np.ndarray], least: int) -> list[np.ndarray]:
     return [covered[e - len(s) - 1 : e - 1] for s, e in zip(streams, ends, strict=True)]
 
 
-_BITS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("host", pa.string()), ("kept", pa.bool_()), ("covered", pa.binary()), ("seeds", pa.list_(pa.int64()))])
-_BITS_SQL = "id long, row long, host string, kept boolean, covered binary, seeds array<long>"
+_BITS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("host", pa.string()), ("kept", pa.bool_()), ("covered", pa.binary()), ("seeds", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
+_BITS_SQL = "id long, row long, host string, kept boolean, covered binary, seeds array<long>, shared array<long>"
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,24 +246,32 @@ def _shard(table: pa.Table, least: int) -> pa.Table:
     ends = np.cumsum([len(t) for t in texts]).tolist()
     streams = [flat[e - len(t) : e] for t, e in zip(texts, ends, strict=True)]
     covered = repeated(streams, least)
+    told = [_seeds(t, c, least) for t, c in zip(texts, covered, strict=True)]
+    seeds, shared = [x for x, _ in told], [[] for _ in texts]
+    if texts and table.column("shards")[0].as_py() > 1:
+        # What pages of this shard share is told once, for pages of other shards. A
+        # window that a page also has uncovered is in that page alone.
+        whole = np.unique(np.concatenate([y for _, y in told]))
+        shared[0] = np.setdiff1d(whole, np.concatenate(seeds)).tolist()
     return pa.Table.from_pydict(
-        {"id": table.column("id"), "row": table.column("row"), "host": table.column("host"), "kept": table.column("kept"), "covered": [np.packbits(c).tobytes() for c in covered], "seeds": [_seeds(t, c, least) for t, c in zip(texts, covered, strict=True)]},
+        {"id": table.column("id"), "row": table.column("row"), "host": table.column("host"), "kept": table.column("kept"), "covered": [np.packbits(c).tobytes() for c in covered], "seeds": [x.tolist() for x in seeds], "shared": shared},
         schema=_BITS,
     )
 
 
-def _seeds(words: list[str], covered: np.ndarray, least: int) -> list[int]:
-    """Hashes of ``least`` tokens from each place that is not wholly covered."""
+def _seeds(words: list[str], covered: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``least`` tokens from each place that is not wholly covered, and
+    from those that are."""
     import zlib
 
-    if len(words) < least or covered.all():
-        return []
+    if len(words) < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = mix64(np.array([zlib.crc32(w.encode()) | len(w) << 32 for w in words], np.uint64))
     total = np.zeros(len(h) - least + 1, np.uint64)
     for k in range(least):
         total = mix64(total * np.uint64(31) + h[k : k + len(total)])
     whole = np.convolve(covered, np.ones(least, int), "valid") == least
-    return np.unique(total[~whole]).astype(np.int64).tolist()
+    return np.unique(total[~whole]).astype(np.int64), np.unique(total[whole]).astype(np.int64)
 
 
 _MAIN_TEXT = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -336,7 +344,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # Only hosts with several shards and pages that may keep something need seeds from other shards.
     wide = useful.select("host").distinct().join(sizes.where("shards > 1"), "host", "left_semi")
     seeds = found.join(wide, "host", "left_semi").select("host", "id", "row", F.explode("seeds").alias("seed"))
-    common = seeds.groupBy("host", "seed").agg(F.count("*").alias("n")).where("n > 1").select("host", "seed")
+    shared = found.join(wide, "host", "left_semi").select("host", F.explode("shared").alias("seed"))
+    common = seeds.select("host", "seed").unionByName(shared).groupBy("host", "seed").agg(F.count("*").alias("n")).where("n > 1").select("host", "seed")
     more = seeds.join(common, ["host", "seed"]).groupBy("id", "row").agg(F.collect_set("seed").alias("more"))
     marks = useful.join(more, ["id", "row"], "left").select(F.col("id").alias("i"), F.col("row").alias("r"), "covered", "more")
     marks = cut(marks, "marks")
