@@ -8,7 +8,9 @@ suppliers and customers regions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,17 +70,22 @@ def gene_lists(spark: SparkSession, d: str) -> DataFrame:
     return o.select("id", F.when(F.col("r") != 0, F.array_distinct("gs")).alias("gene_list"))
 
 
-def gene_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "part").where("p_partkey < 80").selectExpr("concat('g', p_partkey) as gene", "p_retailprice as price", "cast(p_size as double) as size")
+def _parts(spark: SparkSession, d: str, below: int, whole: bool) -> DataFrame:
+    p = _t(spark, d, "part")
+    return p if whole else p.where(f"p_partkey < {below}")
+
+
+def gene_scores(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _parts(spark, d, 80, whole).selectExpr("concat('g', p_partkey) as gene", "p_retailprice as price", "cast(p_size as double) as size")
 
 
-def gene_sets(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "part").where("p_partkey < 400").selectExpr("p_type as set_name", "concat('g', p_partkey % 97) as gene").distinct()
+def gene_sets(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _parts(spark, d, 400, whole).selectExpr("p_type as set_name", "concat('g', p_partkey % 97) as gene").distinct()
 
 
-def models_of(spark: SparkSession, d: str) -> DataFrame:
+def models_of(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """Transcripts of three exons from parts; every fifth does not code."""
-    p = _t(spark, d, "part").where("p_partkey < 500").selectExpr("concat('t', p_partkey) as tr_id", "concat('g', p_partkey % 97) as gene", "concat('chr', p_partkey % 5) as chrom", "case when p_partkey % 2 = 0 then '+' else '-' end as strand", "1 + (p_partkey * 7919) % 43200 as b", "p_partkey % 5 as k")
+    p = _parts(spark, d, 500, whole).selectExpr("concat('t', p_partkey) as tr_id", "concat('g', p_partkey % 97) as gene", "concat('chr', p_partkey % 5) as chrom", "case when p_partkey % 2 = 0 then '+' else '-' end as strand", "1 + (p_partkey * 7919) % 43200 as b", "p_partkey % 5 as k")
     exon = lambda i: F.struct((F.col("b") + 60 * i).cast("bigint").alias("start"), (F.col("b") + 60 * i + 29).cast("bigint").alias("stop"), F.lit(-1).alias("frame"))
     out = p.select(
         "tr_id", F.col("tr_id").alias("tr_name"), "gene", "chrom", "strand", F.col("b").alias("tx_begin"), (F.col("b") + 149).alias("tx_end"), F.when(F.col("k") == 0, F.col("b") + 149).otherwise(F.col("b") + 10).alias("cds_begin"),
@@ -209,9 +216,9 @@ def pos_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"with {ANN}, {POS}, p as (select id, chrom, unnest(range(pos, pos_end + 1)) as pos from ann where id % 16 = 1) select p.id, p.pos, r.value from p left join runs r on p.chrom = r.chrom and p.pos between r.pos_begin and r.pos_end")
-def pos_plane(spark: SparkSession, d: str) -> DataFrame:
+def pos_plane(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """One row per base, for the annotatables of one chrom slice."""
-    r = annotatables(spark, d).where("id % 16 = 1").select("id", "ann.chrom", F.col("ann.pos").alias("begin"), F.col("ann.pos_end").alias("end"))
+    r = annotatables(spark, d).where("true" if whole else "id % 16 = 1").select("id", "ann.chrom", F.col("ann.pos").alias("begin"), F.col("ann.pos_end").alias("end"))
     return sc.positions(r, position_score(spark, d), ["value"])
 
 
@@ -266,9 +273,9 @@ def record_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"with {GENES}, s as (select 'g' || p_partkey as gene, p_retailprice as price from part where p_partkey < 80), told as (select id, string_agg(gene || ':' || cast(cast(round(price * 100) as bigint) as varchar), ';' order by o) as prices, max(price) as top from gu join s using (gene) group by id) select gl.id, prices, top from gl left join told using (id)")
-def gene_score_join(spark: SparkSession, d: str) -> DataFrame:
-    df = genes.annotate_gene_score(gene_lists(spark, d), gene_scores(spark, d), "price", "m", genes="gene_list")
-    df = genes.annotate_gene_score(df, gene_scores(spark, d), "price", "top", genes="gene_list", aggregator="max")
+def gene_score_join(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    df = genes.annotate_gene_score(gene_lists(spark, d), gene_scores(spark, d, whole), "price", "m", genes="gene_list")
+    df = genes.annotate_gene_score(df, gene_scores(spark, d, whole), "price", "top", genes="gene_list", aggregator="max")
     shown = F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws(":", e["key"], F.round(e["value"] * 100).cast("bigint").cast("string"))), ";")
     return df.select("id", shown.alias("prices"), "top")
 
@@ -276,18 +283,18 @@ def gene_score_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {GENES}, s as (select distinct p_type as set_name, 'g' || (p_partkey % 97) as gene from part where p_partkey < 400),
     told as (select id, string_agg(distinct set_name, ',' order by set_name) as in_sets from gu join s using (gene) group by id)
     select gl.id, case when gs is not null then coalesce(in_sets, '') end as in_sets from gl left join told using (id)""")
-def gene_set_intersect(spark: SparkSession, d: str) -> DataFrame:
-    return genes.annotate_gene_sets(gene_lists(spark, d), gene_sets(spark, d), genes="gene_list").select("id", F.array_join("in_sets", ",").alias("in_sets"))
+def gene_set_intersect(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return genes.annotate_gene_sets(gene_lists(spark, d), gene_sets(spark, d, whole), genes="gene_list").select("id", F.array_join("in_sets", ",").alias("in_sets"))
 
 
 @query("select 'g' || p_partkey as gene from part where p_partkey < 80 and p_retailprice between 1000 and 1500")
-def gene_score_range(spark: SparkSession, d: str) -> DataFrame:
-    return genes.gene_score_range(gene_scores(spark, d), "price", 1000, 1500)
+def gene_score_range(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return genes.gene_score_range(gene_scores(spark, d, whole), "price", 1000, 1500)
 
 
 @query("with s as (select distinct p_type as set_name, 'g' || (p_partkey % 97) as gene from part where p_partkey < 400) select set_name, count(*) as n_genes from s group by 1")
-def gene_set_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return genes.gene_set_statistics(gene_sets(spark, d))["genes_per_set"]
+def gene_set_statistics(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return genes.gene_set_statistics(gene_sets(spark, d, whole))["genes_per_set"]
 
 
 _TX = "tx as (select 't' || p_partkey as tr_id, 'g' || (p_partkey % 97) as gene, 'chr' || (p_partkey % 5) as chrom, 1 + (p_partkey * 7919) % 43200 as b, p_partkey % 5 as k from part where p_partkey < 500)"
@@ -302,27 +309,27 @@ _TX = "tx as (select 't' || p_partkey as tr_id, 'g' || (p_partkey % 97) as gene,
     u as (select distinct id, r, gene from h),
     told as (select id, min(r) as r, string_agg(gene || ':' || name, '|' order by r, gene) as gene_effects from u join n using (r) group by id)
     select ann.id, case when told.id is null then 'intergenic' else n.name end as worst_effect, coalesce(gene_effects, '') as gene_effects from ann left join told using (id) left join n on n.r = told.r""")
-def simple_effect(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts.annotate_simple_effects(annotatables(spark, d), models_of(spark, d)).select("id", "worst_effect", "gene_effects")
+def simple_effect(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return transcripts.annotate_simple_effects(annotatables(spark, d), models_of(spark, d, whole)).select("id", "worst_effect", "gene_effects")
 
 
 @query(f"with {_TX} select chrom, count(*) as n_transcripts, count(*) filter (where k <> 0) as n_coding_transcripts, count(distinct gene) as n_genes, count(distinct case when k <> 0 then gene end) as n_coding_genes from tx group by grouping sets ((chrom), ())")
-def gene_model_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts.model_statistics(models_of(spark, d))
+def gene_model_statistics(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return transcripts.model_statistics(models_of(spark, d, whole))
 
 
 @query(f"""with {_TX} select tr_id, case when k = 0 then 0 else 66 end as cds_length, case when k = 0 then 0 when tr_n % 2 = 0 then 10 else 14 end as utr5, case when k = 0 then '-1,-1,-1' when tr_n % 2 = 0 then '0,2,2' else '1,1,0' end as frames
     from (select *, cast(substr(tr_id, 2) as int) as tr_n from tx)""")
-def transcript_frames(spark: SparkSession, d: str) -> DataFrame:
-    m = transcripts.with_frames(models_of(spark, d))
+def transcript_frames(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    m = transcripts.with_frames(models_of(spark, d, whole))
     return m.select(
         "tr_id", transcripts.length_of(transcripts.cds_regions()).cast("int").alias("cds_length"), transcripts.length_of(transcripts.utr5_regions()).cast("int").alias("utr5"), F.array_join(F.transform("exons", lambda e: e["frame"].cast("string")), ",").alias("frames")
     )
 
 
 @query()
-def full_effects(spark: SparkSession, d: str) -> DataFrame:
-    df = effects.variant_effects(substitutions(spark, d), models_of(spark, d), _chunks(spark, d), promoter_len=100)
+def full_effects(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    df = effects.variant_effects(substitutions(spark, d), models_of(spark, d, whole), _chunks(spark, d), promoter_len=100)
     return effects.summarise(df, ["LGDs", "coding"]).select("id", "worst_effect", "gene_effects", "effect_details", F.array_join("LGDs_genes", ",").alias("lgds"))
 
 
@@ -334,9 +341,9 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {ANN}, {_TX}, h as (select ann.id, string_agg(distinct gene, ',' order by gene) as genes from ann join tx on ann.chrom = tx.chrom and pos <= b + 149 and pos_end >= b group by ann.id)
     select ann.id, case when h.id is null then 'intergenic' else 'CNV-' end as worst_effect, coalesce(genes, '') as genes from ann left join h using (id)""")
-def cnv_effects(spark: SparkSession, d: str) -> DataFrame:
+def cnv_effects(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     lost = annotatables(spark, d).withColumn("ann", F.col("ann").withField("type", F.lit("LARGE_DELETION")))
-    df = effects.summarise(effects.variant_effects(lost, models_of(spark, d), _chunks(spark, d)), ["CNV"])
+    df = effects.summarise(effects.variant_effects(lost, models_of(spark, d, whole), _chunks(spark, d)), ["CNV"])
     return df.select("id", "worst_effect", F.array_join("CNV_genes", ",").alias("genes"))
 
 
@@ -505,8 +512,8 @@ def vcf_info(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {ANN} select id, coalesce((select string_agg(substr('ACGT', cast((((p - 1) * (cast(substr(chrom, 4) as int) + 3) + (p - 1) // 7) % 4) + 1 as int), 1), '' order by p) from range(pos, pos_end + 1) t(p) where chrom <> 'chr5' and p <= 44032), '') as bases from ann where id % 8 = 1""")
-def reference_bases(spark: SparkSession, d: str) -> DataFrame:
-    a = annotatables(spark, d).where("id % 8 = 1").select("id", "ann.chrom", F.col("ann.pos").alias("begin"), F.col("ann.pos_end").alias("end"))
+def reference_bases(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    a = annotatables(spark, d).where("true" if whole else "id % 8 = 1").select("id", "ann.chrom", F.col("ann.pos").alias("begin"), F.col("ann.pos_end").alias("end"))
     return genome.bases(a.withColumnRenamed("chrom", "c"), _chunks(spark, d), "c", "begin", "end", "bases").select("id", "bases")
 
 
@@ -576,10 +583,10 @@ PIPELINE = """
 """
 
 
-def pipeline_catalog(spark: SparkSession, d: str) -> cat.Catalog:
+def pipeline_catalog(spark: SparkSession, d: str, whole: bool = False) -> cat.Catalog:
     R = cat.Resource
     return cat.Catalog(
-        [R("events", "position_score", position_score(spark, d)), R("fragments", "fragment_score", fragment_score(spark, d)), R("models", "gene_models", models_of(spark, d)), R("gene_prices", "gene_score", gene_scores(spark, d)), R("alleles", "allele_score", allele_score(spark, d))]
+        [R("events", "position_score", position_score(spark, d)), R("fragments", "fragment_score", fragment_score(spark, d)), R("models", "gene_models", models_of(spark, d, whole)), R("gene_prices", "gene_score", gene_scores(spark, d, whole)), R("alleles", "allele_score", allele_score(spark, d))]
     )
 
 
@@ -592,8 +599,8 @@ def pipeline_catalog(spark: SparkSession, d: str) -> cat.Catalog:
     gp as (select id, max(p_retailprice) / 2 as gene_price from h join part on gene = 'g' || p_partkey and p_partkey < 80 group by id)
     select ann.id, value_mean, value_max, label_mode, coalesce(f.n, 0) as count, freq_max, case when e.r is null then 'intergenic' else ['coding', 'inter-coding_intronic', 'peripheral', 'noncoding'][e.r + 1] end as worst_effect, gene_price
     from ann left join p using (id) left join m using (id) left join f using (id) left join e using (id) left join gp using (id)""")
-def pipeline_yaml(spark: SparkSession, d: str) -> DataFrame:
-    c = pipeline_catalog(spark, d)
+def pipeline_yaml(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    c = pipeline_catalog(spark, d, whole)
     df = pl.annotate(annotatables(spark, d), pl.parse(PIPELINE, c), c)
     return df.select("id", F.round("value_mean", 9).alias("value_mean"), "value_max", "label_mode", "count", "freq_max", "worst_effect", "gene_price")
 
@@ -606,6 +613,19 @@ def stream_region_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("select 'g' || (p_partkey % 97) as gene, p_type as term, count(*) as n from part where p_partkey < 400 group by 1, 2")
-def gene_terms(spark: SparkSession, d: str) -> DataFrame:
-    s = _t(spark, d, "part").where("p_partkey < 400").selectExpr("p_type as set_name", "concat('g', p_partkey % 97) as gene")
+def gene_terms(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    s = _parts(spark, d, 400, whole).selectExpr("p_type as set_name", "concat('g', p_partkey % 97) as gene")
     return models.as_terms(s)
+
+
+# --- the queries above that take a part of a table, over all of it --------------------------------
+
+
+def _whole(bound: str, *names: str) -> None:
+    """Registers ``<name>_whole``, and its twin without the bound."""
+    for name in names:
+        sql = ORACLES.get(name)
+        query(sql and re.sub(bound, "true", sql), f"{name}_whole")(partial(QUERIES[name], whole=True))
+
+
+_whole(r"id % (16|8) = 1", "pos_plane", "reference_bases")

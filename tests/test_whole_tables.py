@@ -1,0 +1,18 @@
+"""Queries over whole tables; their SQL twins are held in test_oracles."""
+
+import os
+
+import pytest
+
+from lociweave.queries import ORACLES, QUERIES
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["pos_plane_whole", "reference_bases_whole"])
+def test_every_order_is_there(spark, name):
+    if not os.path.isdir(D):
+        pytest.skip("no test tables")
+    orders = spark.read.parquet(f"{D}/orders.parquet")
+    assert QUERIES[name](spark, D).select("id").distinct().count() == orders.select("o_orderkey").distinct().count()
+    assert "from ann where true" in ORACLES[name]
