@@ -629,3 +629,7 @@ def _whole(bound: str, *names: str) -> None:
 
 
 _whole(r"id % (16|8) = 1", "pos_plane", "reference_bases")
+_whole(
+    r"p_partkey < (80|400|500)\b",
+    "gene_score_join", "gene_set_intersect", "gene_score_range", "gene_set_statistics", "gene_terms", "simple_effect", "full_effects", "cnv_effects", "gene_model_statistics", "transcript_frames", "pipeline_yaml",
+)

@@ -1,6 +1,7 @@
 """Queries over whole tables; their SQL twins are held in test_oracles."""
 
 import os
+from collections import Counter
 
 import pytest
 
@@ -16,3 +17,15 @@ def test_every_order_is_there(spark, name):
     orders = spark.read.parquet(f"{D}/orders.parquet")
     assert QUERIES[name](spark, D).select("id").distinct().count() == orders.select("o_orderkey").distinct().count()
     assert "from ann where true" in ORACLES[name]
+
+
+def test_every_part_is_there(spark, tmp_path):
+    d, n = str(tmp_path), 700
+    p = spark.range(1, n + 1).selectExpr("id as p_partkey", "cast(id as double) * 3 as p_retailprice", "concat('type', id % 3) as p_type", "cast(id % 50 as int) as p_size")
+    p.write.parquet(f"{d}/part.parquet")
+    rows = lambda name: QUERIES[name](spark, d).collect()
+    assert {r.gene for r in rows("gene_score_range_whole")} == {f"g{k}" for k in range(1, n + 1) if 1000 <= 3 * k <= 1500}
+    assert {r.tr_id for r in rows("transcript_frames_whole")} == {f"t{k}" for k in range(1, n + 1)}
+    assert [r.n_transcripts for r in rows("gene_model_statistics_whole") if r.chrom is None] == [n]
+    assert {(r.gene, r.term): r.n for r in rows("gene_terms_whole")} == Counter((f"g{k % 97}", f"type{k % 3}") for k in range(1, n + 1))
+    assert {r.set_name: r.n_genes for r in rows("gene_set_statistics_whole")} == Counter(t for t, _ in {(f"type{k % 3}", k % 97) for k in range(1, n + 1)})
