@@ -7,10 +7,11 @@ shingle hash). Only entries that can count in A * A' travel on:
 1. ``_incidence`` reads each text once and sends every (document block, shingle
    block) cell as two packed arrays: short codes, from which a shingle block
    learns how many rows hold a shingle, then the postings themselves.
-2. ``_columns`` works through a shingle block: it first folds the codes into a
-   table of column counts (bounded by the distinct shingles, however hot one
-   of them is), then streams the postings and returns those whose column holds
-   more than one row. A column with a single row adds nothing to the product.
+2. ``_columns`` works through a shingle block: it first adds the codes up in a
+   table of column counts of fixed size, then streams the postings and returns
+   those whose column holds more than one row. A column with a single row adds
+   nothing to the product. Codes that meet in a cell of the table keep a few
+   entries too many, never one too few.
 3. ``_rows`` puts the returned entries of a document together. A partner at
    ``percent`` shares at least ceil(percent * n / 100) shingles, so a document
    with fewer entries left is discarded by that size-derived bound. The others
@@ -26,8 +27,14 @@ shingle hash). Only entries that can count in A * A' travel on:
 Inside a block ``_product`` accumulates overlap counts row by row against all
 columns, and ends once all rows left lie in the block's largest component, so a
 group of k near copies costs about k row operations, not k squared, and writes
-a spanning forest, never its pairs. No pair, row or partner is capped: a column too large for one block becomes blocks of pairs of
-its parts.
+a spanning forest, never its pairs. No pair, row or partner is capped. A block
+is bounded in rows and in entries. A min-hash column that is larger is dealt
+into parts, twice, by two hashes, and only rows of one part are multiplied: the
+second deal joins what the first left apart. An exact column that is larger,
+and still has several components, becomes blocks of pairs of its parts.
+
+Shingles are known by hashes of 48 bits and those of their block, 54 at least
+and 64 from half a terabyte on.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, input_bytes, mix64, prepare, release_memory, string_parts, text_or_empty
@@ -47,7 +54,9 @@ from .shingles import shingle_sets
 
 _CHUNK = 1_000_000  # postings of a document block
 _CHUNK_ROWS = 60_000
-_BLOCK_ROWS = 4096  # nodes multiplied at once
+_BLOCK_ROWS = 4096  # nodes of a part of a column
+_BLOCK_ENTRIES = 4_000_000  # entries of a part of a column
+_MOST_BITS = 17  # shingle blocks: one task each
 _KEYS = 3  # min-hash columns tried before the exact ones
 
 _CELL = pa.schema([("block", pa.int64()), ("phase", pa.int32()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -64,7 +73,18 @@ def _unsix(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _cells(chunk: int, ids: list, sets: list[np.ndarray], bits: int) -> pa.RecordBatch:
+def _low(bits: int) -> np.uint64:
+    """Of a shingle's hash, what is kept beside the block: 48 bits at most."""
+    return np.uint64((1 << min(48, 64 - bits)) - 1)
+
+
+def table_bits(size: int, bits: int) -> int:
+    """Cells of a block's table of counts, as a power of two: some eight a
+    posting (a text has about one in six bytes), 2 ** 20 to 2 ** 29 (512 MB)."""
+    return int(min(29, max(20, np.ceil(np.log2(max(1, 8 * size / 6 / (1 << bits)))))))
+
+
+def _cells(chunk: int, ids: list, sets: list[np.ndarray], bits: int, wide: int) -> pa.RecordBatch:
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     rows = {k: [] for k in _CELL.names}
 
@@ -83,13 +103,26 @@ def _cells(chunk: int, ids: list, sets: list[np.ndarray], bits: int) -> pa.Recor
     edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(h))
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         part = h[lo:hi]
-        # The code is apart from the low 48 bits' own hashing use: any function of the shingle will do.
-        add(int(block[lo]), 0, (part & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), None, None)
+        add(int(block[lo]), 0, _coded(part, wide), None, None)
         add(int(block[lo]), 1, _six(part), np.diff(doc[lo:hi], prepend=0).astype("<u2").tobytes(), None)
     return pa.RecordBatch.from_pydict(rows, schema=_CELL)
 
 
-def _incidence(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _coded(h: np.ndarray, wide: int) -> bytes:
+    """Cells of a block's table for its shingles: three bytes each, or four."""
+    code = (h & np.uint64((1 << wide) - 1)).astype("<u4")
+    return code.tobytes() if wide > 24 else np.ascontiguousarray(code.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def _uncoded(b: bytes, wide: int) -> np.ndarray:
+    if wide > 24:
+        return np.frombuffer(b, "<u4")
+    out = np.zeros((len(b) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(b, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+def _incidence(batches: Iterator[pa.RecordBatch], n: int, bits: int, wide: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     chunk = (TaskContext.get().partitionId() + 1) << 32
@@ -103,29 +136,18 @@ def _incidence(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator
             sets.append(s)
             held += len(s)
             if held >= _CHUNK or len(sets) >= _CHUNK_ROWS:
-                yield _cells(chunk, ids, sets, bits)
+                yield _cells(chunk, ids, sets, bits, wide)
                 chunk, ids, sets, held = chunk + 1, [], [], 0
     if sets:
-        yield _cells(chunk, ids, sets, bits)
+        yield _cells(chunk, ids, sets, bits, wide)
     ids, sets = [], []
     release_memory()
 
 
-def _fold(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    c, n = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(c, kind="stable")
-    c, n = c[order], n[order]
-    at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-    return c[at], np.add.reduceat(n, at)
-
-
-def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _columns(batches: Iterator[pa.RecordBatch], bits: int, wide: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block and phase."""
-    now, held = None, 0
-    codes: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    table = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    ready = True
+    now = None
+    table = np.zeros(1 << wide, np.uint8)  # rows of each column, as far as 255
     for batch in batches:
         out = {k: [] for k in _CELL.names}
         for block, phase, chunk, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -133,32 +155,25 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 reply = (0, a, b, c)
             elif phase == 0:
                 if block != now:
-                    now, held, codes, counts = block, 0, [], []
-                x, k = np.unique(np.frombuffer(a, "<u4"), return_counts=True)
-                codes.append(x)
-                counts.append(k)
-                held += len(x)
-                ready = False
-                if held > 16_000_000 and len(codes) > 1:
-                    x, k = _fold(codes, counts)
-                    codes, counts, held = [x], [k], len(x)
+                    now = block
+                    table[:] = 0
+                x, k = np.unique(_uncoded(a, wide), return_counts=True)
+                table[x] = np.minimum(table[x] + k, 255)
                 continue
             else:
-                if not ready:
-                    table, ready, codes, counts = _fold(codes, counts), True, [], []
                 h = _unsix(a)
-                df = table[1][np.searchsorted(table[0], (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))]
+                df = table[h & np.uint64((1 << wide) - 1)]
                 keep = df > 1
                 if not keep.any():
                     continue
                 doc = np.cumsum(np.frombuffer(b, "<u2").astype(np.int64))
-                full = h[keep] | (np.uint64(block) << np.uint64(48))
-                reply = (1, doc[keep].astype("<u2").tobytes(), full.astype("<u8").tobytes(), np.minimum(df[keep], 0xFFFFFFFF).astype("<u4").tobytes())
+                full = h[keep] & _low(bits) | np.uint64(block) << np.uint64(64 - bits)
+                reply = (1, doc[keep].astype("<u2").tobytes(), full.astype("<u8").tobytes(), df[keep].tobytes())
             for k, v in zip(_CELL.names, (block, reply[0], chunk, *reply[1:]), strict=True):
                 out[k].append(v)
         if out["block"]:
             yield pa.RecordBatch.from_pydict(out, schema=_CELL)
-    codes, counts, table = [], [], None
+    table = None
     release_memory()
 
 
@@ -175,7 +190,7 @@ def _rows(table: pa.Table, percent: int) -> pa.Table:
         else:
             doc.append(np.frombuffer(a, "<u2"))
             full.append(np.frombuffer(b, "<u8"))
-            df.append(np.frombuffer(c, "<u4"))
+            df.append(np.frombuffer(c, np.uint8))
     m = len(n)
     given, ids = np.frombuffer(ids[:m], np.uint8), np.frombuffer(ids[m:], "<i8")
     entries: list[bytes | None] = [None] * m
@@ -203,9 +218,10 @@ def _rows(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], percent: int, exact: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate columns of a node: its min-hash columns, or its exact prefix."""
+    """Candidate columns of a node, with the number of its entries: its min-hash
+    columns, or its exact prefix."""
     for batch in batches:
-        ids, keys = [], []
+        ids, keys, entries = [], [], []
         for i, n, e in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             f = np.frombuffer(e, "<u8")
             if exact:
@@ -214,8 +230,9 @@ def _keys(batches: Iterator[pa.RecordBatch], percent: int, exact: bool) -> Itera
                 k = np.array([(int(mix64(f ^ np.uint64(0x632BE59BD9B4E019 * (s + 1) & 0xFFFFFFFFFFFFFFFF)).min()) >> 2 << 2 | s) - (1 << 63) for s in range(_KEYS)], np.int64)
             ids.append(np.full(len(k), i, np.int64))
             keys.append(k)
+            entries.append(np.full(len(k), len(f), np.int32))
         if ids:
-            yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "id": np.concatenate(ids)})
+            yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "id": np.concatenate(ids), "entries": np.concatenate(entries)})
 
 
 _EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
@@ -271,20 +288,39 @@ def _product(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())}, schema=_EDGE)
 
 
-def _multiply(cand: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``cand`` (key, id, component) -> links. Columns that do not fit a block
-    are cut into parts, and every pair of parts becomes a block."""
+def _shared_columns(cand: DataFrame) -> DataFrame:
+    """``cand`` (key, id, component, entries) cut to columns of two nodes or
+    more, each with the number of parts that it needs. Columns with the same
+    nodes (equal counts and sums of hashes) are multiplied once."""
     h = F.xxhash64("id")
     low = [F.sum(x.bitwiseAND(F.lit(0x3FFFFFFF))).alias(f"s{k}") for k, x in enumerate((h, F.shiftright(h, 30), F.xxhash64("id", F.lit(1))))]
-    whole = cand.groupBy("key").agg(F.count("*").alias("rows"), *low).where("rows > 1")
-    # Columns with the same nodes (equal counts and sums of hashes) are multiplied once.
-    whole = whole.groupBy("rows", "s0", "s1", "s2").agg(F.min("key").alias("key"))
-    parts = cand.join(whole.select("key", "rows"), "key").withColumn("parts", F.ceil(F.col("rows") / _BLOCK_ROWS).cast("int"))
-    mine = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
-    parts = parts.select(
-        "key", "id", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))).alias("p")
-    ).select("key", "p.i", "p.j", "id", "component")
-    return parts.join(nodes, "id").groupBy("key", "i", "j").applyInArrow(lambda t: _product(t, percent), "src long, dst long")
+    parts = F.ceil(F.greatest(F.count("*") / _BLOCK_ROWS, F.sum("entries") / _BLOCK_ENTRIES)).cast("int").alias("parts")
+    whole = cand.groupBy("key").agg(F.count("*").alias("rows"), parts, *low).where("rows > 1")
+    whole = whole.groupBy("rows", "parts", "s0", "s1", "s2").agg(F.min("key").alias("key"))
+    return cand.join(whole.select("key", "parts"), "key")
+
+
+def _part(seed: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts").cast("long")).cast("int")
+
+
+def _products(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    return blocks.join(nodes, "id").groupBy("key", "i", "j").applyInArrow(lambda t: _product(t, percent), "src long, dst long")
+
+
+def _deal(cand: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of one part of a column, for two ways of dealing; a
+    column of one part is dealt once. No node travels more than twice a column."""
+    deals = F.when(F.col("parts") > 1, F.array(F.struct(F.lit(0).alias("i"), _part(0).alias("j")), F.struct(F.lit(1).alias("i"), _part(1).alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    return _products(_shared_columns(cand).select("key", "id", "component", F.explode(deals).alias("p")).select("key", "p.i", "p.j", "id", "component"), nodes, percent)
+
+
+def _multiply(cand: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All links of the candidate columns: of a column with several parts, every
+    pair of parts becomes a block."""
+    mine = _part(0)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
+    return _products(_shared_columns(cand).select("key", "id", "component", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "id", "component"), nodes, percent)
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -303,22 +339,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     """
     spark = docs.sparkSession
     prepare(spark)
-    bits = min(16, max(6, int(np.ceil(np.log2(max(1, input_bytes(docs, text_col)) / (8 << 20) + 1)))))
+    size = max(1, input_bytes(docs, text_col))
+    bits = min(_MOST_BITS, max(6, int(np.ceil(np.log2(size / (8 << 20) + 1)))))
+    wide = table_bits(size, bits)
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    cells = src.mapInArrow(partial(_incidence, n=n, bits=bits), _CELL_SQL)
+    cells = src.mapInArrow(partial(_incidence, n=n, bits=bits, wide=wide), _CELL_SQL)
     cells = cells.repartition(1 << bits, "block").sortWithinPartitions("block", "phase")
-    replies = cells.mapInArrow(_columns, _CELL_SQL)
+    replies = cells.mapInArrow(partial(_columns, bits=bits, wide=wide), _CELL_SQL)
     rows = replies.groupBy("chunk").applyInArrow(lambda t: _rows(t, percent), _ROW_SQL)
     rows = cut(rows, "rows")
     live = rows.where("entries is not null")
     firsts = live.groupBy("print").agg(F.min("id").alias("first"))
     copies = live.select("id", "print").join(firsts, "print").select(F.col("id").alias("src"), F.col("first").alias("dst"))
     nodes = cut(live.join(firsts.select(F.col("first").alias("id"), "print"), ["id", "print"], "left_semi").dropDuplicates(["id", "print"]).select("id", "n", "entries"), "nodes")
-    near = nodes.mapInArrow(partial(_keys, percent=percent, exact=False), "key long, id long").withColumn("component", F.col("id"))
-    first_links = cut(_multiply(near, nodes, percent), "links")
+    near = nodes.mapInArrow(partial(_keys, percent=percent, exact=False), "key long, id long, entries int").withColumn("component", F.col("id"))
+    first_links = cut(_deal(near, nodes, percent), "links")
     known = components(first_links)
-    exact = nodes.mapInArrow(partial(_keys, percent=percent, exact=True), "key long, id long")
-    exact = cut(exact.join(known.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "columns")
+    exact = nodes.mapInArrow(partial(_keys, percent=percent, exact=True), "key long, id long, entries int")
+    exact = cut(exact.join(known.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "entries", F.coalesce("component", "id").alias("component")), "columns")
     open_keys = exact.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     more_links = _multiply(exact.join(open_keys, "key", "left_semi"), nodes, percent)
     comp = components(first_links.unionByName(more_links).unionByName(copies))
