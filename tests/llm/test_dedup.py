@@ -48,6 +48,27 @@ def test_state_outlives_a_call(spark):
     assert got == {3: (3, 2), 4: (4, 1)}
 
 
+def test_bytes_are_compared_with_earlier_calls(spark):
+    # Digests of four bits meet; texts are told apart over calls and sessions.
+    path = dedup.KeyedState(spark).path
+    calls = [[(k, f"text {k % 7}") for k in range(20)], [(30 + k, f"text {k % 11}") for k in range(25)], [(60 + k, f"text {k % 13}") for k in range(9)]]
+    so_far = []
+    for call in calls:
+        so_far += call
+        df = spark.newSession().createDataFrame(call, "doc_id long, text string")
+        got = {r.id: (r.keep_id, r.group_size, r.text_sha256) for r in dedup.deduplicate(df, digest_bits=4, state=dedup.KeyedState(df.sparkSession, path)).collect()}
+        for i, t in call:
+            same = [j for j, u in so_far if u == t]
+            assert got[i] == (max(same), len(same), sha(t))
+
+
+def test_settings_of_the_session_stay(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    run(spark, spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    assert spark.conf.get(key) == before
+
+
 def test_empty_and_clashing(spark):
     assert run(spark, spark.createDataFrame([], "doc_id long, text string")) == []
     df = spark.createDataFrame([(1, "x", "q", 3)], "doc_id long, text string, digest string, n int")
