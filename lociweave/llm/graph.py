@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges`` (src, dst) -> (node, component), component the smallest node reached.
 
     Alternating large-star and small-star rounds: every round hangs neighbours
     on the least node they know, so the depth falls by a factor each time, and
-    a node of huge degree costs its edges once a round. Rounds end in a table
-    in the shared folder. Neighbour lists are never collected: minima come from
+    a node of huge degree costs its edges once a round. Rounds go on until no
+    tree is deeper than a star (some log squared of the longest path), and end
+    in a table in the shared folder. Neighbour lists are never collected: minima come from
     a partial aggregate, and hot nodes from a join that AQE can split.
 
     Loops and repeated or null edges are ignored; a node without edges does not
@@ -26,7 +27,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     e = cut(e, "edges")
-    for _ in range(max_rounds):
+    while True:
         # A forest of stars: nothing that hangs on a node has something hanging on it.
         deep = e.select(F.col("v").alias("u")).distinct().join(e, "u", "left_semi")
         multi = e.groupBy("u").count().where("count > 1").select("u")
@@ -46,4 +47,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         e = cut(small, "edges")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -38,6 +38,15 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), RULES).withColumnRenamed("id", "page_id")
 
 
+def redirect_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's operator where aliases decide: a redirect from each page whose id
+    is no multiple of seven to the page before it makes chains of seven."""
+    pages = _table(spark, sf_dir, "pages").selectExpr("page_id", "concat('http://Host', page_id % 50, case page_id % 5 when 0 then '.org' when 1 then '.com' else '.net' end, '/', substring('defren', cast(1 + 2 * (page_id % 3) as int), 2), '/', page_id) as url", "html")
+    before = pages.select((F.col("page_id") + 1).alias("p"), F.col("url").alias("dst"))
+    redirects = pages.join(before, F.col("page_id") == F.col("p")).where("page_id % 7 <> 0").select(F.lower("url").alias("src"), F.regexp_replace("dst", "/([0-9]+)$", "/x/../$1#f").alias("dst"))
+    return url_filter.judge(pages, RULES, redirects).withColumnRenamed("id", "page_id")
+
+
 def op4_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digests=True).withColumnRenamed("id", "doc_id")
 
@@ -73,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_url_filters, op4_bpe_coding, op5_fingerprints, op6_packing, op7_exact_dedup, op8_quality_classifier, op9_warc, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_url_filters, op4_bpe_coding, op5_fingerprints, op6_packing, op7_exact_dedup, op8_quality_classifier, op9_warc, op10_token_counts, redirect_closure, pipeline)}
 
 ORACLE_SQL = {
     "op3_url_filters": """
@@ -90,6 +99,19 @@ ORACLE_SQL = {
         select s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') as verdict
         from split s left join fit f on s.page_id = f.page_id and f.n = 1
         """,
+    "redirect_closure": """
+        with recursive p as (
+            select page_id, 'host' || (page_id % 50) || case page_id % 5 when 0 then '.org' when 1 then '.com' else '.net' end as host, '/' || ['de', 'fr', 'en'][1 + page_id % 3] || '/' || page_id as path from pages),
+        rules(verdict, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        fit as (
+            select page_id, r.h || r.p as rule, r.verdict, row_number() over (partition by page_id order by length(r.h || r.p) desc) as n
+            from p s join rules r on (s.host = r.h or s.host like '%.' || r.h) and starts_with(s.path, r.p)),
+        own as (select p.*, f.rule, f.verdict from p left join fit f on p.page_id = f.page_id and f.n = 1),
+        edge as (select a.page_id as x, b.page_id as y from p a join p b on b.page_id = a.page_id - 1 where a.page_id % 7 <> 0),
+        reach as (select page_id as x, page_id as y from p union select r.x, e.y from reach r join edge e on r.y = e.x union select r.x, e.x from reach r join edge e on r.y = e.y),
+        told as (select x, min(verdict) as verdict from reach join own on y = page_id group by x)
+        select own.page_id, host, path, rule, coalesce(own.verdict, told.verdict, 'allow') as verdict from own left join told on own.page_id = told.x
+        """,
     "op7_exact_dedup": """
         with t as (select doc_id, coalesce(text, '') as text from documents),
         g as (select text, max(doc_id) as keep_id, count(*) as group_size from t group by text)
