@@ -3,20 +3,23 @@
 Writing: a page is a ``response`` whose block is an HTTP message in chunked
 transfer framing, or, if a page with a smaller id has the same payload, a
 ``revisit`` of it. A block longer than a segment goes into one record and its
-continuations. Records are laid down by Spark's text sink (a record ends in a
-line feed, which is the sink's separator), so archives can be on any file
-system that Spark writes to.
-
-Reading: records are cut out of the archives; those of one origin are brought
-together, ordered by segment number, checked against the total length, and the
-transfer framing is taken off.
+continuations. Each record is a gzip member of its own, so an archive can be
+entered at any record. Archives are laid down by Spark's text sink, whose line
+separator is a gzip member without content, and can be on any file system that
+Spark writes to. A record is no longer than a segment, and an archive has a
+bounded number of records, so no file is too large to be read by one task.
+
+Reading: records are cut out of the archives as these are inflated, piece by
+piece; those of one origin are brought together, ordered by segment number,
+checked against the total length, and the transfer framing is taken off.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -28,6 +31,8 @@ from .common import cut, fresh_path, prepare
 _SEGMENT = 32 << 10
 _FRAME = 8 << 10
 _DATE = "2024-01-01T00:00:00Z"
+_RECORDS = 4096  # of an archive
+_INFLATE = 1 << 20  # compressed bytes taken at once
 
 
 def digest(data: bytes) -> str:
@@ -56,9 +61,14 @@ def unchunked(data: bytes) -> bytes:
 
 
 def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
-    """A record without the last line feed, which the sink adds."""
     head = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
-    return b"WARC/1.1\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r"
+    return b"WARC/1.1\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def member(data: bytes) -> bytes:
+    """``data`` as a gzip member, without a time, so that equal data are equal bytes."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
 
 
 def _line(text: str | None) -> str:
@@ -96,11 +106,11 @@ def _write(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.Recor
             out: list[bytes] = []
             for page, url, html, refers in zip(*(c.to_pylist() for c in batch.slice(lo, 512).columns), strict=True):
                 row += 1
-                out.extend(records(f"{part}-{row}", page, url, html, refers, segment))
+                out.extend(map(member, records(f"{part}-{row}", page, url, html, refers, segment)))
             yield pa.RecordBatch.from_pydict({"record": out})
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, segment: int = _SEGMENT, compression: str = "gzip") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, segment: int = _SEGMENT) -> None:
     """Archives of ``pages`` under ``path``.
 
     Payload: the html in UTF-8, null as empty. Of equal payloads of at least
@@ -117,7 +127,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     again = cut(again.select(F.col("page").alias("p"), F.col("sha").alias("s"), "refers_to"), "revisits")
     told = rows.join(again, (F.col("page") == F.col("p")) & (F.unhex(F.sha1("payload")) == F.col("s")), "left")
     out = told.select("page", "url", "payload", "refers_to").mapInArrow(partial(_write, segment=segment), "record binary")
-    out.select(F.col("record").cast("string").alias("value")).write.option("compression", compression).text(path)
+    # The sink writes a string's bytes as they are.
+    lines = out.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", _RECORDS)
+    lines.option("encoding", "ISO-8859-1").option("lineSep", member(b"").decode("latin-1")).text(path)
 
 
 _SEG = pa.schema(
@@ -126,40 +138,77 @@ _SEG = pa.schema(
 _SEG_SQL = "origin string, type string, payload_digest string, number long, total long, page_id long, refers_to long, block binary"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")[1:]
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of an archive in pieces: of gzip members, or as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at, z, rest = 0, zlib.decompressobj(31), b""
+    while at < len(data) or rest:
+        if not rest:
+            rest = data[at : at + _INFLATE]
+            at += len(rest)
+        out = z.decompress(rest, 4 * _INFLATE)
+        if out:
+            yield out
+        rest = z.unconsumed_tail
+        if z.eof:
+            rest, z = z.unused_data, zlib.decompressobj(31)
+            if not rest and at == len(data):
+                return
+    raise ValueError("the archive ends inside a gzip member")
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of an archive that comes in pieces; no more is held than a record
+    and a piece."""
+    held, at, before, source = b"", 0, 0, iter(pieces)
+
+    def more() -> bool:
+        nonlocal held, at, before
+        piece = next(source, None)
+        if piece is None:
+            return False
+        before += at
+        held, at = held[at:] + piece, 0
+        return True
+
+    while at < len(held) or more():
+        stop = held.find(b"\r\n\r\n", at)
+        if held[at : at + 5] != b"WARC/"[: len(held) - at]:
+            raise ValueError(f"no record at byte {before + at}")
+        if stop < 0:
+            if not more():
+                raise ValueError(f"the record at byte {before + at} is cut short")
+            continue
+        lines = held[at:stop].decode().split("\r\n")[1:]
         head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(head["content-length"])
-        block = data[stop + 4 : stop + 4 + size]
-        if len(block) != size or data[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut short")
-        yield head, block
-        at = stop + 8 + size
+        size, start = int(head["content-length"]), stop + 4 - at
+        parts = [held[at:]]
+        while sum(map(len, parts)) < start + size + 4:
+            piece = next(source, None)
+            if piece is None:
+                raise ValueError(f"the record at byte {before + at} is cut short")
+            parts.append(piece)
+        before += at
+        held, at = b"".join(parts), 0
+        if held[start + size : start + size + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {before} is cut short")
+        yield head, held[start : start + size]
+        at = start + size + 4
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
+_SCAN_BYTES = 8 << 20  # blocks of a batch
+
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def number(head, key):
         return int(head[key]) if key in head else None
 
     for batch in batches:
         for data in batch.column(0):
-            data = data.as_py()
-            if data[:2] == b"\x1f\x8b":
-                whole = []
-                while data:
-                    z = zlib.decompressobj(31)
-                    whole.append(z.decompress(data) + z.flush())
-                    data = z.unused_data
-                data = b"".join(whole)
-            out = {k: [] for k in _SEG.names}
-            for head, block in parse(data):
+            out, held = {k: [] for k in _SEG.names}, 0
+            for head, block in parse(inflated(data.as_py())):
                 row = (
                     head.get("warc-segment-origin-id", head["warc-record-id"]),
                     head["warc-type"],
@@ -172,9 +221,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
                 for k, v in zip(_SEG.names, row, strict=True):
                     out[k].append(v)
-                if len(out["origin"]) >= 500:
+                held += len(block)
+                if held >= _SCAN_BYTES:
                     yield pa.RecordBatch.from_pydict(out, schema=_SEG)
-                    out = {k: [] for k in _SEG.names}
+                    out, held = {k: [] for k in _SEG.names}, 0
             yield pa.RecordBatch.from_pydict(out, schema=_SEG)
 
 
@@ -228,17 +278,32 @@ def _assemble(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """-> one row per page: (page_id, payload_bytes, payload_digest, record_type,
     refers_to, problem, payload). ``problem`` says what is wrong with segments,
-    lengths, framing or digest, and is null for whole records."""
+    lengths, framing or digest, and is null for whole records. With
+    ``payloads``, a revisit has the payload of the response it refers to.
+    Archives of gzip members or plain ones, each of at most 2 GB as stored (no
+    more than Spark gives in one row)."""
     prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     scanned = files.mapInArrow(_scan, _SEG_SQL)
     # A record in one piece needs no company, but travels the same way, so that archives are read once.
     spread = scanned.repartition("origin").sortWithinPartitions("origin", F.col("number").asc_nulls_first())
-    return spread.mapInArrow(partial(_assemble, payloads=payloads), _PAGE_SQL)
+    pages = spread.mapInArrow(partial(_assemble, payloads=payloads), _PAGE_SQL)
+    if not payloads:
+        return pages
+    pages = cut(pages, "pages")
+    own = pages.where("record_type = 'response' and problem is null").select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), F.col("payload").alias("whole"))
+    own = own.join(pages.where("record_type = 'revisit'").select(F.col("refers_to").alias("p"), F.col("payload_digest").alias("d")).distinct(), ["p", "d"]).dropDuplicates(["p", "d"])
+    told = pages.join(own, (F.col("refers_to") == F.col("p")) & (F.col("payload_digest") == F.col("d")), "left")
+    return told.withColumn("payload", F.coalesce("payload", "whole")).drop("p", "d", "whole")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, segment: int = _SEGMENT) -> DataFrame:
-    """Writes archives to the shared folder and returns what reading them gives."""
+    """Writes archives to the shared folder and returns what reading them gives:
+    one row per row of ``pages``. Null html is the empty payload, a null url no
+    header value; ids may be null or repeat (see ``write_archives``). Html is
+    taken whole, however long, in segments. Only the three named columns are
+    read, so others may have any name. An empty table gives an empty table.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "archives")
     write_archives(pages, path, id_col, url_col, html_col, least_bytes, segment)

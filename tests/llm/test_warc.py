@@ -1,4 +1,6 @@
+import base64
 import gzip
+import hashlib
 
 import pytest
 
@@ -20,6 +22,7 @@ def test_round_trip(spark, segment):
     for i, _, h in ROWS:
         r = got[i, warc.digest((h or "").encode())]
         assert r.problem is None and r.payload_bytes == len((h or "").encode())
+        assert r.payload_digest == base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
     kinds = {k[0]: (r.record_type, r.refers_to) for k, r in got.items()}
     assert kinds == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), 4: ("revisit", 3), 5: ("response", None), 6: ("response", None), 7: ("response", None), 8: ("revisit", 7)}
 
@@ -35,10 +38,46 @@ def test_least_bytes_and_repeats(spark):
 def test_payloads_come_back(spark, tmp_path):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
     warc.write_archives(df, str(tmp_path / "w"), segment=500)
-    for r in warc.read_archives(spark, str(tmp_path / "w"), payloads=True).collect():
-        if r.record_type == "response":
-            want = next(h or "" for i, _, h in ROWS if i == r.page_id)
-            assert bytes(r.payload) == want.encode()
+    got = warc.read_archives(spark, str(tmp_path / "w"), payloads=True).collect()
+    assert len(got) == len(ROWS)
+    for r in got:  # revisits too
+        want = next(h or "" for i, _, h in ROWS if i == r.page_id)
+        assert bytes(r.payload) == want.encode()
+
+
+def test_records_are_gzip_members(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "_RECORDS", 3)
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"), segment=4000)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) > 2
+    for f in files:
+        data, starts = f.read_bytes(), 0
+        assert gzip.decompress(data).startswith(b"WARC/1.1")
+        for piece in data.split(warc.member(b""))[:-1]:
+            assert len(list(warc.parse([gzip.decompress(piece)]))) == 1
+            starts += 1
+        assert 1 <= starts <= 3
+
+
+def test_archives_are_parsed_in_pieces(monkeypatch):
+    import random
+
+    r = random.Random(1)
+    whole = [x for k in range(30) for x in warc.records(f"0-{k}", k, "u", bytes(r.randrange(256) for _ in range(r.choice([0, 5, 700]))), None, 300)]
+    plain = b"".join(whole)
+    want = list(warc.parse([plain]))
+    assert len(want) == len(whole)
+    for size in (1, 7, 64, 10_000):
+        monkeypatch.setattr(warc, "_INFLATE", size)
+        assert list(warc.parse(plain[k : k + size] for k in range(0, len(plain), size))) == want
+        for stored in (b"".join(map(gzip.compress, whole)), gzip.compress(plain), b"".join(map(warc.member, whole)), plain):
+            assert list(warc.parse(warc.inflated(stored))) == want
+    for bad in (plain[:-3], plain[:-700], b"x" + plain):
+        with pytest.raises(ValueError):
+            list(warc.parse([bad]))
+    with pytest.raises(ValueError):
+        list(warc.parse(warc.inflated(gzip.compress(plain)[:-20])))
 
 
 def test_damage_is_told(spark, tmp_path):
@@ -47,7 +86,7 @@ def test_damage_is_told(spark, tmp_path):
     for name, keep in (("lost", parts[:2] + parts[3:]), ("short", parts[:-1]), ("whole", parts[::-1])):
         d = tmp_path / name
         d.mkdir()
-        (d / "a.warc.gz").write_bytes(b"".join(gzip.compress(p + b"\n") for p in keep))
+        (d / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in keep))
         (r,) = warc.read_archives(spark, str(d)).collect()
         assert (r.problem is None) == (name == "whole"), name
 
