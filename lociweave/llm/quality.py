@@ -46,15 +46,14 @@ def _stats(data: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
     c = _CLASS[data]
     letters = max(1, int((c <= 2).sum()))
     solid = max(1, int((c != 4).sum()))
-    kinds, counts = np.unique(words, return_counts=True)
+    kinds = np.unique(words)
     ends = np.append(at[1:], len(data))
     length = ends - at - 1
     length[-1] += 1
     first_odd = _ODD[data[at]]
     last_odd = _ODD[data[np.maximum(at + length - 1, at)]]
     runs = words[1:] == words[:-1]
-    top = counts.max() / n
-    return np.array([n, _ODD[data].sum() / solid, (c == 1).sum() / letters, first_odd.mean(), runs.mean() if n > 1 else 0.0, (length <= 3).mean(), len(kinds) / n, max(last_odd.mean(), 0.0)]) + np.array([0, 0, 0, 0, top * 1e-9, 0, 0, 0])
+    return np.array([n, _ODD[data].sum() / solid, (c == 1).sum() / letters, first_odd.mean(), runs.mean() if n > 1 else 0.0, (length <= 3).mean(), len(kinds) / n, last_odd.mean()])
 
 
 def _votes(s: np.ndarray) -> int:
@@ -174,19 +173,26 @@ class Scorer:
         return float(1 / (1 + np.exp(-z)))
 
 
-def fit_scorer(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400, rate: float = 0.3, ridge: float = 1e-4) -> Scorer:
+def shares(features: np.ndarray) -> tuple[bytes, bytes]:
+    """What a text's features come to, whatever its length: the features that it
+    has (two bytes each) and their shares (four bytes)."""
+    n = np.bincount(features, minlength=_DIMS)
+    at = np.flatnonzero(n)
+    return at.astype("<u2").tobytes(), (n[at] / max(1, len(features))).astype("<f4").tobytes()
+
+
+def fit_scorer(rows: list[tuple[bytes, bytes]], target: np.ndarray, rounds: int = 400, rate: float = 0.3, ridge: float = 1e-4) -> Scorer:
     """Logistic regression on feature shares by full-batch Adam."""
     x = np.zeros((len(rows), _DIMS), np.float32)
-    for i, f in enumerate(rows):
-        if len(f):
-            x[i] = np.bincount(f, minlength=_DIMS) / len(f)
+    for i, (at, share) in enumerate(rows):
+        x[i, np.frombuffer(at, "<u2")] = np.frombuffer(share, "<f4")
     scale = x.std(0) + 1e-4
     x /= scale
     w, b = np.zeros(_DIMS, np.float32), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     m, v = np.zeros(_DIMS + 1), np.zeros(_DIMS + 1)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        d = (p - target) / len(target)
+        d = ((p - target) / len(target)).astype(np.float32)
         g = np.append(x.T @ d + ridge * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -207,12 +213,32 @@ def _scores(batches: Iterator[pa.RecordBatch], scorer: Scorer, labels: dict[int,
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(weak, pa.float64())], schema=_SCORE)
 
 
+_SAMPLE = pa.schema([("h", pa.int64()), ("target", pa.float64()), ("at", pa.binary()), ("share", pa.binary())])
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], labels: dict[int, float], prior: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        target, rows = [], []
+        for text in _texts(batch.column(1)):
+            target.append(labels.get(_votes(_stats(*text)), prior))
+            rows.append(shares(_features(*text)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(target, pa.float64()), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], schema=_SAMPLE)
+
+
 _FITTED = pa.schema([("weights", pa.binary()), ("bias", pa.float64())])
 
 
+def _train(t: pa.Table) -> pa.Table:
+    t = t.sort_by("h")  # sums in one order, so that a repeated run is the same run
+    s = fit_scorer(list(zip(t.column("at").to_pylist(), t.column("share").to_pylist(), strict=True)), t.column("target").to_numpy())
+    return pa.Table.from_pydict({"weights": [s.weights.tobytes()], "bias": [s.bias]}, schema=_FITTED)
+
+
 def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = 4000) -> tuple[LabelModel, dict[int, float], Scorer]:
     """The label model from all documents; the scorer from ``sample_rows`` of
-    them, those with the least hash of their text. Fitting runs in a task."""
+    them, those with the least hash of their text. A text of the sample comes to
+    its feature shares where it lies, 25 KB at most; these meet in the one task
+    that fits (100 MB of them by default, and the matrix of as many)."""
     src = docs.select(text_or_empty(text_col).alias("text"))
     got = src.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     got.sort(key=lambda r: r.pattern)  # sums in one order, so that a repeated run is the same run
@@ -222,17 +248,11 @@ def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = 4000) -> tup
     # Picked by a hash of the text, so that copies of one text count once.
     keys = src.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample_rows)
     last = keys.agg(F.max("h")).first()[0]
-
-    def train(t: pa.Table) -> pa.Table:
-        texts = list(_texts(t.sort_by("h").column("text").combine_chunks()))
-        target = np.array([labels.get(_votes(_stats(*x)), model.clean) for x in texts])
-        s = fit_scorer([_features(*x) for x in texts], target)
-        return pa.Table.from_pydict({"weights": [s.weights.tobytes()], "bias": [s.bias]}, schema=_FITTED)
-
     if last is None:
         return model, labels, Scorer(np.zeros(_DIMS), 0.0)
-    picked = src.withColumn("h", F.xxhash64("text")).where(F.col("h") <= last).dropDuplicates(["h"]).select("h", "text", F.lit(1).alias("one"))
-    row = picked.groupBy("one").applyInArrow(train, "weights binary, bias double").first()
+    picked = src.withColumn("h", F.xxhash64("text")).where(F.col("h") <= last).select("h", "text")
+    picked = picked.mapInArrow(partial(_sampled, labels=labels, prior=model.clean), "h long, target double, at binary, share binary").dropDuplicates(["h"])
+    row = picked.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_train, "weights binary, bias double").first()
     return model, labels, Scorer(np.frombuffer(row.weights), row.bias)
 
 
@@ -241,8 +261,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     ``score`` is the scorer's P(clean), ``weak`` the label model's; a document
     is kept from ``threshold`` on. Null and empty texts, and texts of fewer
-    than eight words, get no vote: their weak label is the prior. Texts are
-    read whole. Ids may be null or repeat. An empty table gives an empty table.
+    than eight words, get no vote: their weak label is the prior. A score equal
+    to the threshold is kept. Texts are read whole, however long; copies of one
+    text have one score. Ids may be null or repeat. Only the two named columns
+    are read, so others may have any name. An empty table gives an empty table.
     """
     prepare(docs.sparkSession)
     model, labels, scorer = fit(docs, text_col, sample_rows)
