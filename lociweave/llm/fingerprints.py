@@ -27,10 +27,23 @@ from .common import cut, input_bytes, mix64, prepare, text_or_empty
 _LEAST, _NORMAL, _MOST = 32, 80, 256
 _STRICT, _LOOSE = np.uint32(0x7F << 20), np.uint32(0x1F << 20)
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-_PLACE = np.ones(_MOST + 1, np.uint64)
-_PLACE[1:] = np.uint64(0xD6E8FEB86659FD93)
-np.multiply.accumulate(_PLACE, out=_PLACE)
 _PIECE = 4 << 20
+#: Rows of a range of ids for each task, and the most ranges; their heads are
+#: held by the driver and every task (8 bytes each).
+_RANGES, _MOST_RANGES = 4, 200_000
+_TASK_BYTES = 32 << 20
+_SAMPLED = 20  # ids looked at for each bound between ranges
+
+
+def _places(factor: int) -> np.ndarray:
+    out = np.ones(_MOST + 1, np.uint64)
+    out[1:] = np.uint64(factor)
+    np.multiply.accumulate(out, out=out)
+    return out
+
+
+#: A chunk's digest is two hashes of 64 bits, by two rows of place factors.
+_PLACES = (_places(0xD6E8FEB86659FD93), _places(0xA0761D6478BD642F))
 
 
 def _gear(data: np.ndarray) -> np.ndarray:
@@ -65,7 +78,7 @@ def _cuts(size: int, at: list[int], strict: list[bool]) -> list[int]:
 
 
 def chunk_sets(texts: list[bytes]) -> list[dict[int, int]]:
-    """For each text, digest (48 bits) -> length of its distinct chunks."""
+    """For each text, digest (128 bits) -> length of its distinct chunks."""
     out: list[dict[int, int]] = []
     lo = 0
     while lo < len(texts):
@@ -97,8 +110,9 @@ def _chunk_piece(texts: list[bytes]) -> list[dict[int, int]]:
     starts = np.concatenate(([0], ends[:-1]))
     lengths = ends - starts
     place = np.arange(len(data)) - np.repeat(starts, lengths)
-    value = (data.astype(np.uint64) + np.uint64(1)) * _PLACE[place]
-    digest = (mix64(np.add.reduceat(value, starts) + lengths.astype(np.uint64)) >> np.uint64(16)).tolist()
+    byte = data.astype(np.uint64) + np.uint64(1)
+    high, low = (mix64(np.add.reduceat(byte * p[place], starts) + lengths.astype(np.uint64)).tolist() for p in _PLACES)
+    digest = [a << 64 | b for a, b in zip(high, low, strict=True)]
     lengths = lengths.tolist()
     out, k = [], 0
     for c in count:
@@ -108,8 +122,8 @@ def _chunk_piece(texts: list[bytes]) -> list[dict[int, int]]:
 
 
 def written(chunks: dict[int, int]) -> str:
-    """15 hex digits a chunk: 12 of the digest, 3 of the length."""
-    return "".join(f"{d:012x}{n:03x}" for d, n in sorted(chunks.items()))
+    """35 hex digits a chunk: 32 of the digest, 3 of the length."""
+    return "".join([f"{d:032x}{n:03x}" for d, n in sorted(chunks.items())])
 
 
 def containment(a: dict[int, int], b: dict[int, int]) -> float:
@@ -209,20 +223,23 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null texts are empty: no chunks, fingerprint "". An empty table gives an
     empty table. Texts are taken whole.
 
-    Ids are cut into ranges from one narrow pass; a range gets the first row of
-    the next one as well, so that each text travels once and the order needs
-    no window over all rows.
+    Ids are cut into ranges by a sample of them (it moves bounds between tasks,
+    never a result); a range gets the first row of the next one as well, so that
+    each text travels once and the order needs no window over all rows. Only
+    the two named columns are read, so others may have any name.
     """
     spark = docs.sparkSession
     prepare(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    wanted = min(1 << 20, max(256, input_bytes(docs, text_col) // (1 << 20)))
-    at = src.approxQuantile("id", [k / wanted for k in range(1, wanted)], 0.25 / wanted)
-    bounds = np.unique(np.array(at or [], np.float64)).astype(np.int64)
-    ids = src.select("id").mapInArrow(partial(_heads, bounds=bounds), "b long, id long")
-    heads = np.array(sorted(r.id for r in ids.groupBy("b").agg(F.max("id").alias("id")).collect()), np.int64)
+    tasks = max(64, min(_MOST_RANGES // _RANGES, input_bytes(docs, text_col) // _TASK_BYTES))
+    ids = src.select("id").where("id is not null")
+    share = min(1.0, _SAMPLED * _RANGES * tasks / max(1, ids.count()))
+    seen = np.sort(np.array([r.id for r in ids.sample(share, seed=1).collect()], np.int64))
+    bounds = np.unique(seen[np.linspace(0, len(seen) - 1, _RANGES * tasks).astype(int)]) if len(seen) else seen
+    heads = ids.mapInArrow(partial(_heads, bounds=bounds), "b long, id long")
+    heads = np.array(sorted(r.id for r in heads.groupBy("b").agg(F.max("id").alias("id")).collect()), np.int64)
     placed = src.mapInArrow(partial(_place, heads=heads), "block long, copy boolean, id long, text string")
-    placed = placed.repartition(max(1, min(len(heads), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "block")
+    placed = placed.repartition(max(1, min(len(heads), tasks)), "block")
     placed = placed.sortWithinPartitions("block", "copy", F.col("id").desc_nulls_last(), "text")
     return placed.mapInArrow(_follow, _OUT_SQL)
 

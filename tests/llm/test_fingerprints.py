@@ -16,6 +16,49 @@ def expected(rows):
     return sorted(out)
 
 
+def plain_chunks(t):
+    """Chunks of a text, byte by byte; the gear table and lengths are the operator's."""
+    data, out, begin = t.encode(), [], 0
+    while begin < len(data):
+        end, h = len(data), 0
+        if len(data) - begin > f._LEAST:
+            end = min(begin + f._MOST, len(data))
+            for k in range(max(0, begin + f._LEAST - 32), end):
+                h = (h * 2 + int(f._GEAR[data[k]])) & 0xFFFFFFFF
+                size = k + 1 - begin
+                if k + 1 < end and size >= f._LEAST and h & int(f._LOOSE if size >= f._NORMAL else f._STRICT) == 0:
+                    end = k + 1
+                    break
+        out.append(data[begin:end])
+        begin = end
+    return frozenset(out)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    return sum(map(len, a & b)) / min(sum(map(len, a)), sum(map(len, b)))
+
+
+def test_fingerprints_are_those_of_plain_chunks(spark):
+    r = random.Random(8)
+    rows = [(k, text(r, r.randint(0, 120))) for k in range(40)] + [(50, None), (60, "x" * 5000), (61, "x" * 5000 + "y")]
+    got = {int(i): x for i, *x in run(spark, rows)}
+    order = sorted(rows, reverse=True)
+    seen = {}
+    for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True):
+        t, nxt = t or "", nxt or ""
+        n = len(t) // 3
+        own, edited, other = plain_chunks(t), plain_chunks(t[: len(t) - n] + nxt[:n]), plain_chunks(nxt)
+        n_chars, _, told, edited_told, near_edited, near_next = got[i]
+        assert n_chars == len(t) and len(told) == 35 * len(own) and len(edited_told) == 35 * len(edited)
+        assert near_edited == plain_likeness(own, edited) and near_next == plain_likeness(own, other)
+        assert sorted(int(told[k + 32 : k + 35], 16) for k in range(0, len(told), 35)) == sorted(map(len, own))
+        assert seen.setdefault(told, own) == own
+
+
 def run(spark, rows, parts=3):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     return sorted((repr(r[0]), *r[1:]) for r in f.fingerprint_pairs(df).collect())
