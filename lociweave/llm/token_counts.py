@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, prepare, text_or_empty
+from .common import cut, fresh_path, prepare, shared_dir, text_or_empty
 from .vocab_cache import byte_tokenizer
 
 _COUNT = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
@@ -36,10 +36,16 @@ def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 
 class CountCache:
-    """A table of (tokenizer version, content digest) -> counts, only ever appended to."""
+    """A table of (tokenizer version, content digest) -> counts, only ever
+    appended to. By default there is one in the shared folder, which every run
+    meets; ``CountCache.fresh`` is one that none has used."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or fresh_path(spark, "token-counts")
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/lociweave/token-counts"
+
+    @classmethod
+    def fresh(cls, spark: SparkSession) -> CountCache:
+        return cls(spark, fresh_path(spark, "token-counts"))
 
     def read(self) -> DataFrame:
         from pyspark.errors import AnalysisException
@@ -70,7 +76,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: CountCache | None = Non
     in different tasks, the join takes one row of them.
 
     Null or empty text: 0 bytes, 0 tokens. Rows with a null or repeated id are
-    counted like any other. An empty table gives an empty table.
+    counted like any other. Texts are encoded whole, however long; a count equal
+    to ``limit`` is not over it. Only the two named columns are read, so others
+    may have any name. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -27,7 +27,7 @@ def test_counts_and_cache(spark, tokenizers_dir):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     lib = Tokenizer.from_file(path)
     want = sorted((repr(i), len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
-    cache = c.CountCache(spark)
+    cache = c.CountCache.fresh(spark)
     got = c.count_tokens(df, path, cache, limit=5).collect()
     assert sorted((repr(r.id), r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 5) for r in got)
@@ -39,7 +39,7 @@ def test_counts_and_cache(spark, tokenizers_dir):
 
 def test_other_versions_do_not_count(spark, tokenizers_dir):
     path = tokenizers_dir("byte_bpe_50k.json")
-    cache = c.CountCache(spark)
+    cache = c.CountCache.fresh(spark)
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     cache.append(spark.sql("select 'other' as tokenizer, unhex(sha2('abc', 256)) as digest, 3L as n_bytes, 77L as n_tokens"))
     assert c.count_tokens(df, path, cache).first().n_tokens == 1
@@ -50,3 +50,17 @@ def test_empty_and_clashing(spark, tokenizers_dir):
     assert c.count_tokens(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
     df = spark.createDataFrame([(1, "x", "d", 4)], "doc_id long, text string, digest string, n_tokens int")
     assert c.count_tokens(df, path).first().n_tokens == 1
+
+
+def test_a_second_run_encodes_nothing(spark, tokenizers_dir, monkeypatch):
+    path = tokenizers_dir("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "said once"), (2, None), (3, "said once")], "doc_id long, text string")
+    first = sorted(c.count_tokens(df, path).collect())  # the cache that all runs share
+    held = c.CountCache(spark).read().count()
+    def none(batches, **kw):
+        assert all(b.num_rows == 0 for b in batches)
+        return iter(())
+
+    monkeypatch.setattr(c, "_counts", none)
+    assert sorted(c.count_tokens(df, path).collect()) == first
+    assert c.CountCache(spark).read().count() == held
