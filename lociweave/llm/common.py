@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 import numpy as np
@@ -24,11 +25,14 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``. Only where that is unset (tests, one
-    machine) a folder of its own under the warehouse is taken.
+    It is ``spark.checkpoint.dir``. Only where that is unset and the session
+    runs in one process (tests, one machine) a folder of its own under the
+    warehouse is taken; on a cluster it must be set.
     """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return where.rstrip("/")
 
@@ -49,9 +53,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def input_bytes(df: DataFrame, column: str) -> int:
     """Catalyst's estimate of the size of ``df`` (file sizes for a scan); where
     it has none, the bytes in ``column``, counted."""
-    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if told < 1 << 60:
-        return told
+    plan = getattr(df, "_jdf", None)  # a session by Connect has none
+    if plan is not None:
+        told = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if told < 1 << 60:
+            return told
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
 
 
