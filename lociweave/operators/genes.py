@@ -16,19 +16,24 @@ def gene_score_map(scores: DataFrame, gene: str, value: str) -> DataFrame:
     return scores.where(v.isNotNull() & ~F.isnan(v) & F.col(gene).isNotNull()).groupBy(F.col(gene).alias("__gene")).agg(F.min(v).alias("__value"))
 
 
-def annotate_gene_score(df: DataFrame, scores: DataFrame, value: str, name: str, genes: str = "genes", gene: str = "gene", id_col: str = "id", aggregator: str | None = None) -> DataFrame:
+def _lists(df: DataFrame, genes: str) -> DataFrame:
+    """(list, place in it, gene) of the distinct gene lists of a table: what is
+    told of a list goes back to all rows that have it."""
+    return df.select(F.col(genes).alias("__list")).where("__list is not null").distinct().select("__list", F.posexplode("__list").alias("__at", "__g"))
+
+
+def annotate_gene_score(df: DataFrame, scores: DataFrame, value: str, name: str, genes: str = "genes", gene: str = "gene", aggregator: str | None = None) -> DataFrame:
     """A map gene -> value of a row's genes in list order, or its aggregate.
     Null where the row has no gene list or none of its genes has a value."""
     m = gene_score_map(scores, gene, value)
-    one = df.select(F.col(id_col).alias("__id"), F.posexplode(genes).alias("__at", "__g"))
-    hit = one.join(m, F.col("__g") == F.col("__gene")).groupBy("__id", "__g").agg(F.min("__at").alias("__at"), F.min("__value").alias("__value"))
+    hit = _lists(df, genes).join(m, F.col("__g") == F.col("__gene")).groupBy("__list", "__g").agg(F.min("__at").alias("__at"), F.min("__value").alias("__value"))
     if aggregator is None:
         items = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__g", "__value"))), lambda x: F.struct(x["__g"].alias("key"), x["__value"].alias("value")))
-        agg = F.map_from_entries(items)
+        told = hit.groupBy("__list").agg(F.map_from_entries(items).alias(name))
     else:
-        agg = aggregators.aggregate(aggregators.parse(aggregator, "double"), F.col("__value"), F.lit(1), F.col("__at"), "double")
-    told = hit.groupBy("__id").agg(agg.alias(name))
-    return df.join(told, F.col(id_col) == F.col("__id"), "left").drop("__id")
+        asked = aggregators.Asked(aggregators.parse(aggregator, "double"), F.col("__value"), "double", name)
+        told = aggregators.grouped(hit, ["__list"], [asked], F.lit(1), F.col("__at"))
+    return df.join(told, F.col(genes) == F.col("__list"), "left").drop("__list")
 
 
 def gene_score_range(scores: DataFrame, value: str, low: float | None = None, high: float | None = None, gene: str = "gene") -> DataFrame:
@@ -51,19 +56,18 @@ def to_tsv(scores: DataFrame, values: list[str], path: str, gene: str = "gene")
     scores.select(gene, *values).dropna("all", subset=values).dropna(subset=[gene]).write.option("sep", "\t").option("header", True).csv(path)
 
 
-def annotate_gene_sets(df: DataFrame, sets: DataFrame, in_sets: str = "in_sets", per_set: dict[str, str] | None = None, genes: str = "genes", id_col: str = "id") -> DataFrame:
+def annotate_gene_sets(df: DataFrame, sets: DataFrame, in_sets: str = "in_sets", per_set: dict[str, str] | None = None, genes: str = "genes") -> DataFrame:
     """``sets`` (set_name, gene[, ordinal]): the names of the sets that a row's
     genes meet, in collection order (else by name), and for sets in ``per_set``
     (set -> column) the genes in common, in row order. Rows with a gene list
     that meets nothing get empty lists, rows without one null."""
     order = F.col("ordinal") if "ordinal" in sets.columns else F.lit(0)
     s = sets.select(F.col("gene").alias("__sg"), "set_name", order.alias("__o")).distinct()
-    one = df.select(F.col(id_col).alias("__id"), F.posexplode(genes).alias("__at", "__g"))
-    hit = one.join(s, F.col("__g") == F.col("__sg"))
+    hit = _lists(df, genes).join(s, F.col("__g") == F.col("__sg"))
     names = F.transform(F.array_sort(F.collect_set(F.struct("__o", "set_name"))), lambda x: x["set_name"]).alias(in_sets)
     extra = [F.transform(F.array_sort(F.collect_set(F.when(F.col("set_name") == k, F.struct("__at", "__g")))), lambda x: x["__g"]).alias(c) for k, c in (per_set or {}).items()]
-    told = hit.groupBy("__id").agg(names, *extra)
-    out = df.join(told, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    told = hit.groupBy("__list").agg(names, *extra)
+    out = df.join(told, F.col(genes) == F.col("__list"), "left").drop("__list")
     empty = F.array().cast("array<string>")
     for c in [in_sets, *(per_set or {}).values()]:
         found = F.array_distinct(F.col(c))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import compile_filter
 from . import aggregators
-from .overlap import overlap_join, overlap_width
+from .overlap import overlap_counts, overlap_join, overlap_width
 
 REGION_LIMIT = 500_000  # a longer region is not read
 
@@ -72,49 +72,58 @@ class Score:
         return self.df.select(*cols, *[F.col(s).alias(f"__v_{s}") for s in dict.fromkeys(sources)])
 
 
-def _narrow(df: DataFrame, id_col: str, ann: str) -> DataFrame:
-    """What a join needs of the annotatables: ids and places, not their rows."""
-    return df.select(F.col(id_col).alias("__id"), F.col(f"{ann}.type").alias("__type"), F.col(f"{ann}.chrom").alias("__chrom_a"), F.col(f"{ann}.pos").alias("__begin"), F.col(f"{ann}.pos_end").alias("__end"), F.col(f"{ann}.ref").alias("__ref"), F.col(f"{ann}.alt").alias("__alt"))
+def _narrow(df: DataFrame, ann: str) -> DataFrame:
+    """What a join needs of the annotatables: each distinct place once. What is
+    told of a place goes back to all rows that have it, so rows need no ids of
+    their own, and a place that many rows share is looked up once."""
+    p = F.col("__id")
+    one = df.select(F.col(ann).alias("__id")).where(p.isNotNull()).distinct()
+    return one.select("__id", p["type"].alias("__type"), p["chrom"].alias("__chrom_a"), p["pos"].alias("__begin"), p["pos_end"].alias("__end"), p["ref"].alias("__ref"), p["alt"].alias("__alt"))
+
+
+def _regions(df: DataFrame, cols: tuple[str, str, str]) -> tuple[DataFrame, Column]:
+    """The same for regions in three columns, and the place of a row of ``df``."""
+    place = F.struct(F.col(cols[0]).alias("c"), F.col(cols[1]).cast("bigint").alias("b"), F.col(cols[2]).cast("bigint").alias("e"))
+    one = df.select(place.alias("__id")).distinct()
+    return one.select("__id", F.col("__id.c").alias("__chrom_a"), F.col("__id.b").alias("__begin"), F.col("__id.e").alias("__end")), place
 
 
 _L, _R = ("__chrom_a", "__begin", "__end"), ("__r_chrom", "__r_begin", "__r_end")
 
 
-def _back(df: DataFrame, id_col: str, told: DataFrame) -> DataFrame:
-    return df.join(told.withColumnRenamed("__id", "__told_id"), F.col(id_col) == F.col("__told_id"), "left").drop("__told_id")
+def _back(df: DataFrame, place: Column, told: DataFrame) -> DataFrame:
+    return df.join(told.withColumnRenamed("__id", "__told_id"), place == F.col("__told_id"), "left").drop("__told_id")
 
 
-def _aggregates(score: Score, attributes: list[Attribute], weight: Column, keep: Column | None = None) -> list[Column]:
+def _asked(score: Score, attributes: list[Attribute], keep: Column | None = None) -> list[aggregators.Asked]:
     out = []
     for a in attributes:
         v = F.col(f"__v_{a.source}")
-        if keep is not None:
-            v = F.when(keep, v)
-        out.append(aggregators.aggregate(score.aggregator(a), v, weight, F.col("__r_order"), score.values[a.source]).alias(a.column))
+        out.append(aggregators.Asked(score.aggregator(a), v if keep is None else F.when(keep, v), score.values[a.source], a.column))
     return out
 
 
-def annotate_position(df: DataFrame, score: Score, attributes: list[Attribute], id_col: str = "id", ann: str = "ann", limit: int = REGION_LIMIT) -> DataFrame:
+def annotate_position(df: DataFrame, score: Score, attributes: list[Attribute], ann: str = "ann", limit: int = REGION_LIMIT) -> DataFrame:
     """A substitution reads its one base: the first record that covers it, the
     value as it is, not aggregated. Anything else aggregates the records it
-    overlaps, weighted by the bases shared; beyond ``limit`` bases it is null."""
+    overlaps, weighted by the bases shared; beyond ``limit`` bases it is null.
+    A null annotatable gives nulls."""
     sources = [a.source for a in attributes]
-    narrow = _narrow(df, id_col, ann).where(F.col("__end") - F.col("__begin") + 1 <= limit)
+    narrow = _narrow(df, ann).where(F.col("__end") - F.col("__begin") + 1 <= limit)
     hits = overlap_join(narrow, score.record(sources), _L, _R)
     point = F.col("__type") == "SUBSTITUTION"
     weight = overlap_width("__begin", "__end", "__r_begin", "__r_end")
-    first = [F.min_by(F.when(point, F.struct(F.col(f"__v_{a.source}").alias("v"))), F.when(point, F.col("__r_order"))).alias(f"__p{k}") for k, a in enumerate(attributes)]
-    told = hits.groupBy("__id", "__type").agg(*_aggregates(score, attributes, weight), *first)
+    first = {f"__p{k}": F.when(point, F.struct(F.col("__r_order").alias("o"), F.col(f"__v_{a.source}").alias("v"))) for k, a in enumerate(attributes)}
+    told = aggregators.grouped(hits, ["__id", "__type"], _asked(score, attributes), weight, F.col("__r_order"), first)
     cols = []
     for k, a in enumerate(attributes):
-        agg = score.aggregator(a)
-        out_kind = agg.kind(score.values[a.source])
-        scalar = F.col(f"__p{k}.v")
+        out_kind = score.aggregator(a).kind(score.values[a.source])
         if out_kind.startswith(("array", "map")) or out_kind == "boolean":
             # A scalar and a collection do not fit one column: a point's value is the collection of it.
-            scalar = F.col(a.column)
-        cols.append(F.when(point, scalar.cast(out_kind) if not out_kind.startswith(("array", "map")) else scalar).otherwise(F.col(a.column)).alias(a.column))
-    return _back(df, id_col, told.select("__id", *cols))
+            cols.append(F.col(a.column))
+        else:
+            cols.append(F.when(point, F.col(f"__p{k}.v").cast(out_kind)).otherwise(F.col(a.column)).alias(a.column))
+    return _back(df, F.col(ann), told.select("__id", *cols))
 
 
 def region_segments(regions: DataFrame, score: Score, sources: list[str], id_col: str = "id", cols: tuple[str, str, str] = ("chrom", "begin", "end")) -> DataFrame:
@@ -126,13 +135,13 @@ def region_segments(regions: DataFrame, score: Score, sources: list[str], id_col
     return hits.select(F.col("__id").alias(id_col), F.greatest("__begin", "__r_begin").alias("seg_begin"), F.least("__end", "__r_end").alias("seg_end"), weight.alias("weight"), *[F.col(f"__v_{s}").alias(s) for s in dict.fromkeys(sources)])
 
 
-def aggregate_regions(regions: DataFrame, score: Score, attributes: list[Attribute], id_col: str = "id", cols: tuple[str, str, str] = ("chrom", "begin", "end")) -> DataFrame:
+def aggregate_regions(regions: DataFrame, score: Score, attributes: list[Attribute], cols: tuple[str, str, str] = ("chrom", "begin", "end")) -> DataFrame:
     """One row per region, every record counting, from one join; a score may be
     asked for more than once."""
-    left = regions.select(F.col(id_col).alias("__id"), F.col(cols[0]).alias("__chrom_a"), F.col(cols[1]).cast("bigint").alias("__begin"), F.col(cols[2]).cast("bigint").alias("__end"))
+    left, place = _regions(regions, cols)
     hits = overlap_join(left, score.record([a.source for a in attributes]), _L, _R)
     weight = overlap_width("__begin", "__end", "__r_begin", "__r_end") if score.kind == "position" else F.lit(1)
-    return _back(regions, id_col, hits.groupBy("__id").agg(*_aggregates(score, attributes, weight)))
+    return _back(regions, place, aggregators.grouped(hits, ["__id"], _asked(score, attributes), weight, F.col("__r_order")))
 
 
 def first_covering_runs(score: Score, sources: list[str], chrom: str | None = None) -> DataFrame:
@@ -154,26 +163,28 @@ def _runs_as_score(score: Score, sources: list[str]) -> Score:
 def positions(regions: DataFrame, score: Score, sources: list[str], id_col: str = "id", cols: tuple[str, str, str] = ("chrom", "begin", "end")) -> DataFrame:
     """One row per base of each region, null in gaps, the first record winning.
     For short regions: the output has as many rows as the regions have bases."""
-    own = regions.select(F.col(id_col).alias("__id"), F.explode(F.sequence(F.col(cols[1]).cast("bigint"), F.col(cols[2]).cast("bigint"))).alias("pos"))
-    seg = region_segments(regions, _runs_as_score(score, sources), sources, id_col, cols)
-    seg = seg.select(F.col(id_col).alias("__sid"), F.explode(F.sequence("seg_begin", "seg_end")).alias("__spos"), *sources)
-    return own.join(seg, (F.col("__id") == F.col("__sid")) & (F.col("pos") == F.col("__spos")), "left").select(F.col("__id").alias(id_col), "pos", *sources)
+    left, place = _regions(regions, cols)
+    own = regions.select(F.col(id_col).alias("__own"), place.alias("__id"), F.explode(F.sequence(F.col(cols[1]).cast("bigint"), F.col(cols[2]).cast("bigint"))).alias("pos"))
+    hits = overlap_join(left, _runs_as_score(score, sources).record(sources), _L, _R)
+    seg = hits.select(F.col("__id").alias("__sid"), F.explode(F.sequence(F.greatest("__begin", "__r_begin"), F.least("__end", "__r_end"))).alias("__spos"), *[F.col(f"__v_{s}").alias(s) for s in dict.fromkeys(sources)])
+    return own.join(seg, (F.col("__id") == F.col("__sid")) & (F.col("pos") == F.col("__spos")), "left").select(F.col("__own").alias(id_col), "pos", *sources)
 
 
-def aggregate_gap_aware(regions: DataFrame, score: Score, a: Attribute, replacement=None, id_col: str = "id", cols: tuple[str, str, str] = ("chrom", "begin", "end")) -> DataFrame:
+def aggregate_gap_aware(regions: DataFrame, score: Score, a: Attribute, replacement=None, cols: tuple[str, str, str] = ("chrom", "begin", "end")) -> DataFrame:
     """Like ``aggregate_regions``, but each base counts once (first record), and
     bases without a value count as ``replacement`` if one is given. Nothing is
     expanded: the bases missing are one row with their number as weight."""
     runs = _runs_as_score(score, [a.source])
-    seg = region_segments(regions, runs, [a.source], id_col, cols).select(F.col(id_col).alias("__id"), F.col("seg_begin").alias("__o"), F.col(a.source).alias("__v"), F.col("weight").alias("__w"))
+    left, place = _regions(regions, cols)
+    hits = overlap_join(left, runs.record([a.source]), _L, _R)
+    seg = hits.select("__id", F.greatest("__begin", "__r_begin").alias("__o"), F.col(f"__v_{a.source}").alias("__v"), overlap_width("__begin", "__end", "__r_begin", "__r_end").alias("__w"))
     if replacement is not None:
         have = seg.where(F.col("__v").isNotNull()).groupBy("__id").agg(F.sum("__w").alias("__have"))
-        width = (F.col(cols[2]) - F.col(cols[1]) + 1).cast("bigint")
-        gaps = regions.select(F.col(id_col).alias("__g"), width.alias("__width")).join(have, F.col("__g") == F.col("__id"), "left")
-        gaps = gaps.select(F.col("__g").alias("__id"), F.lit(None).cast("bigint").alias("__o"), F.lit(replacement).cast(score.values[a.source]).alias("__v"), (F.col("__width") - F.coalesce("__have", F.lit(0))).alias("__w"))
+        gaps = left.withColumnRenamed("__id", "__g").join(have, F.col("__g") == F.col("__id"), "left")
+        gaps = gaps.select(F.col("__g").alias("__id"), F.lit(None).cast("bigint").alias("__o"), F.lit(replacement).cast(score.values[a.source]).alias("__v"), (F.col("__end") - F.col("__begin") + 1 - F.coalesce("__have", F.lit(0))).alias("__w"))
         seg = seg.unionByName(gaps.where("__w > 0"))
-    agg = aggregators.aggregate(score.aggregator(a), F.col("__v"), F.col("__w"), F.col("__o"), score.values[a.source])
-    return _back(regions, id_col, seg.groupBy("__id").agg(agg.alias(a.column)))
+    asked = aggregators.Asked(score.aggregator(a), F.col("__v"), score.values[a.source], a.column)
+    return _back(regions, place, aggregators.grouped(seg, ["__id"], [asked], F.col("__w"), F.col("__o")))
 
 
 def aggregate_bins(score: Score, chrom: str, begin: int, end: int, bin_size: int, a: Attribute) -> DataFrame:
@@ -185,10 +196,10 @@ def aggregate_bins(score: Score, chrom: str, begin: int, end: int, bin_size: int
         F.col("id").alias("bin"), F.lit(chrom).alias("chrom"), F.greatest(F.col("id") * bin_size + 1, F.lit(begin)).cast("bigint").alias("bin_begin"), F.least((F.col("id") + 1) * bin_size, F.lit(end)).cast("bigint").alias("bin_end")
     )
     runs = _runs_as_score(score, [a.source])
-    return aggregate_regions(spine, runs, [a], "bin", ("chrom", "bin_begin", "bin_end")).drop("bin", "chrom")
+    return aggregate_regions(spine, runs, [a], ("chrom", "bin_begin", "bin_end")).drop("bin", "chrom")
 
 
-def annotate_allele(df: DataFrame, score: Score, attributes: list[Attribute], id_col: str = "id", ann: str = "ann", mode: str = "exact", record_filter: str | None = None, limit: int = REGION_LIMIT) -> DataFrame:
+def annotate_allele(df: DataFrame, score: Score, attributes: list[Attribute], ann: str = "ann", mode: str = "exact", record_filter: str | None = None, limit: int = REGION_LIMIT) -> DataFrame:
     """``exact``: the first record with the same chrom, pos, ref and alt that the
     filter lets pass; values as they are. ``region``: all records that overlap,
     aggregated with weight 1; null where none is met before the filter. The
@@ -202,20 +213,23 @@ def annotate_allele(df: DataFrame, score: Score, attributes: list[Attribute], id
     # The filter reads score columns, so it is worked out before they are renamed.
     kept = Score(score.kind, score.df.withColumn("__keep", keep), {**score.values, "__keep": "boolean"}, score.chrom, score.begin, score.end, score.ref, score.alt, score.order, score.defaults)
     records = kept.record([*used, "__keep"]).withColumnRenamed("__v___keep", "__keep")
-    narrow = _narrow(df, id_col, ann)
+    narrow = _narrow(df, ann)
     if mode == "exact":
         key = ["__r_chrom", "__r_begin", "__r_ref", "__r_alt"]
         firsts = records.where("__keep").groupBy(*key).agg(*[F.min_by(F.struct(F.col(f"__v_{s}").alias("v")), F.col("__r_order")).alias(f"__f_{s}") for s in dict.fromkeys(used)], F.count("*").alias("__n"))
         hit = narrow.join(firsts, (F.col("__chrom_a") == F.col("__r_chrom")) & (F.col("__begin") == F.col("__r_begin")) & (F.col("__ref") == F.col("__r_ref")) & (F.col("__alt") == F.col("__r_alt")))
         name = F.array(F.concat_ws(":", "__r_chrom", F.col("__r_begin").cast("string"), "__r_ref", "__r_alt"))
         told = hit.select("__id", *[F.col(f"__f_{a.source}.v").alias(a.column) for a in real], *[name.alias(a.column) for a in named])
-        return _back(df, id_col, told)
+        return _back(df, F.col(ann), told)
     small = F.col("__ref").isNotNull() | (F.col("__end") - F.col("__begin") + 1 <= limit)
     hits = overlap_join(narrow.where(small), records, _L, _R)
     name = F.concat_ws(":", "__r_chrom", F.col("__r_begin").cast("string"), "__r_ref", "__r_alt")
-    alleles = [F.array_sort(F.collect_set(F.when(F.col("__keep"), name))).alias(a.column) for a in named]
-    told = hits.groupBy("__id").agg(*_aggregates(score, real, F.lit(1), F.col("__keep")), *alleles, F.count("*").alias("__met")).drop("__met")
-    return _back(df, id_col, told)
+    # A group is there for every place that met a record, whatever the filter keeps.
+    told = aggregators.grouped(hits, ["__id"], _asked(score, real, F.col("__keep")), F.lit(1), F.col("__r_order"), {"__met": F.lit(1)}).drop("__met")
+    if named:
+        alleles = hits.groupBy("__id").agg(*[F.array_sort(F.collect_set(F.when(F.col("__keep"), name))).alias(a.column) for a in named])
+        told = told.join(alleles, "__id") if real else alleles
+    return _back(df, F.col(ann), told)
 
 
 def allele_points(score: Score, sources: list[str], chrom: str, begin: int, end: int) -> DataFrame:
@@ -223,7 +237,7 @@ def allele_points(score: Score, sources: list[str], chrom: str, begin: int, end:
     return score.df.where((F.col(score.chrom) == chrom) & F.col(score.begin).between(begin, end)).select(F.col(score.begin).alias("pos"), *sources)
 
 
-def annotate_fragment(df: DataFrame, score: Score, attributes: list[Attribute], id_col: str = "id", ann: str = "ann", record_filter: str | None = None, count_as: str | None = None, limit: int = REGION_LIMIT, strict: bool = False) -> DataFrame:
+def annotate_fragment(df: DataFrame, score: Score, attributes: list[Attribute], ann: str = "ann", record_filter: str | None = None, count_as: str | None = None, limit: int = REGION_LIMIT, strict: bool = False) -> DataFrame:
     """All fragments that overlap, aggregated with weight 1. An attribute without
     an aggregator of its own, by resource or by kind (a flag), gives their
     number, as does ``count_as``: 0 where none is met. With ``strict`` an
@@ -233,14 +247,18 @@ def annotate_fragment(df: DataFrame, score: Score, attributes: list[Attribute],
     if record_filter:
         records = records.where(compile_filter(record_filter, score.values))
     kept = Score(score.kind, records, score.values, score.chrom, score.begin, score.end, order=score.order, defaults=score.defaults)
-    narrow = _narrow(df, id_col, ann).where(F.col("__end") - F.col("__begin") + 1 <= limit)
+    narrow = _narrow(df, ann).where(F.col("__end") - F.col("__begin") + 1 <= limit)
     counted = [a for a in attributes if not (a.aggregator or score.defaults.get(a.source) or DEFAULTS["fragment"].get(score.values[a.source]))]
     plain = [a for a in attributes if a not in counted]
     names = [a.column for a in counted] + ([count_as] if count_as else [])
-    hits = overlap_join(narrow, kept.record(sources), _L, _R)
-    told = hits.groupBy("__id").agg(*_aggregates(score, plain, F.lit(1)), F.count("*").alias("__n"))
+    if plain:
+        hits = overlap_join(narrow, kept.record(sources), _L, _R)
+        asked = [*_asked(score, plain), *([aggregators.Asked(aggregators.parse("count"), F.lit(1), "bigint", "__n")] if names else [])]
+        told = aggregators.grouped(hits, ["__id"], asked, F.lit(1), F.col("__r_order"))
+    else:
+        told = overlap_counts(narrow, kept.record([]), _L, _R, "__n")
     told = told.select("__id", *[a.column for a in plain], *[F.col("__n").alias(n) for n in names])
-    out = _back(df, id_col, told)
+    out = _back(df, F.col(ann), told)
     for n in names:
         out = out.withColumn(n, F.when(F.col(f"{ann}.pos_end") - F.col(f"{ann}.pos") + 1 <= limit, F.coalesce(F.col(n), F.lit(0))))
     if strict:

@@ -97,18 +97,20 @@ def class_regions(transcripts: DataFrame) -> DataFrame:
     return transcripts.select("tr_id", "gene", F.col("chrom").alias("c_chrom"), F.explode(parts).alias("p")).select("tr_id", "gene", "c_chrom", "p.rank", F.col("p.begin").alias("c_begin"), F.col("p.end").alias("c_end")).where("c_begin <= c_end")
 
 
-def annotate_simple_effects(df: DataFrame, transcripts: DataFrame, id_col: str = "id", ann: str = "ann") -> DataFrame:
+def annotate_simple_effects(df: DataFrame, transcripts: DataFrame, ann: str = "ann") -> DataFrame:
     """Adds worst_effect, genes, gene_effects (``gene:class|...``) and a gene
     list per class. No transcript over the place: intergenic. A transcript that
     matches no class counts for nothing; if none matches, worst_effect is null."""
-    narrow = df.select(F.col(id_col).alias("__id"), F.col(f"{ann}.chrom").alias("__chrom_a"), F.col(f"{ann}.pos").alias("__begin"), F.col(f"{ann}.pos_end").alias("__end"))
+    # Each distinct place once; what is told of it goes back to all rows that have it.
+    place = F.struct(F.col(f"{ann}.chrom").alias("c"), F.col(f"{ann}.pos").alias("b"), F.col(f"{ann}.pos_end").alias("e"))
+    narrow = df.select(place.alias("__id")).distinct().select("__id", F.col("__id.c").alias("__chrom_a"), F.col("__id.b").alias("__begin"), F.col("__id.e").alias("__end"))
     left = ("__chrom_a", "__begin", "__end")
     tx = transcripts.select("tr_id", "gene", F.col("chrom").alias("c_chrom"), F.lit(9).alias("rank"), F.col("tx_begin").alias("c_begin"), F.col("tx_end").alias("c_end"))
     hits = overlap_join(narrow, class_regions(transcripts).unionByName(tx), left, ("c_chrom", "c_begin", "c_end"))
     per_tr = hits.groupBy("__id", "tr_id", "gene").agg(F.min("rank").alias("rank"))
     matched = F.when(F.col("rank") < 9, F.struct("rank", "gene"))
     told = per_tr.groupBy("__id").agg(F.min(F.when(F.col("rank") < 9, F.col("rank"))).alias("__worst"), F.array_sort(F.collect_set(matched)).alias("__pairs"))
-    out = df.join(told, F.col(id_col) == F.col("__id"), "left").withColumn("__none", F.col("__id").isNull()).drop("__id")
+    out = df.join(told, place == F.col("__id"), "left").withColumn("__none", F.col("__id").isNull()).drop("__id")
     names = F.array(*[F.lit(s) for s in SIMPLE])
     pairs = F.coalesce("__pairs", F.array().cast("array<struct<rank:int,gene:string>>"))
 

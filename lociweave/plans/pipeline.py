@@ -106,7 +106,7 @@ _EXTRA: dict[str, object] = {}
 
 
 def register(name: str, plan) -> None:
-    """Adds an annotator type: ``plan(df, spec, catalog, id_col, ann) -> df``,
+    """Adds an annotator type: ``plan(df, spec, catalog, ann) -> df``,
     which must keep one row per row and add the spec's attributes by source name."""
     _EXTRA[name] = plan
 
@@ -212,11 +212,13 @@ def merge(specs: list[Spec]) -> list[Spec]:
     return out
 
 
-def annotate(df: DataFrame, pipeline: Pipeline, catalog: Catalog, id_col: str = "id", ann: str = "ann", keep_internal: bool = False) -> DataFrame:
-    """``df`` with the pipeline's attributes; no action runs. ``id_col`` must be
-    unique. Internal attributes are dropped at the end."""
+def annotate(df: DataFrame, pipeline: Pipeline, catalog: Catalog, ann: str = "ann", keep_internal: bool = False) -> DataFrame:
+    """``df`` with the pipeline's attributes, one row per row; no action runs.
+    Attributes belong to places (or gene lists): every distinct one is looked up
+    once and its attributes go to all rows that have it, so rows need no ids,
+    and those that repeat stay as many. Internal attributes are dropped at the end."""
     for s in merge(pipeline.specs):
-        df = _run(df, s, pipeline, catalog, id_col, s.input_annotatable or ann)
+        df = _run(df, s, pipeline, catalog, s.input_annotatable or ann)
         kinds = dict(df.dtypes)
         for a in s.attributes:
             if a.value:
@@ -242,39 +244,40 @@ def _renamed(df: DataFrame, s: Spec, made: list[str]) -> DataFrame:
     return out.withColumnsRenamed({f"__x_{k}": a.name for k, a in enumerate(s.attributes)})
 
 
-def _run(df: DataFrame, s: Spec, pipeline: Pipeline, catalog: Catalog, id_col: str, ann: str) -> DataFrame:
+def _run(df: DataFrame, s: Spec, pipeline: Pipeline, catalog: Catalog, ann: str) -> DataFrame:
     if s.type in _EXTRA:
-        return _EXTRA[s.type](df, s, catalog, id_col, ann)
+        return _EXTRA[s.type](df, s, catalog, ann)
     if s.type in _TYPES:
         score = catalog.get(s.resource).value
         if s.type == "position_score":
-            return scores.annotate_position(df, score, _asked(s), id_col, ann)
+            return scores.annotate_position(df, score, _asked(s), ann)
         if s.type == "allele_score":
-            return scores.annotate_allele(df, score, _asked(s), id_col, ann, s.param("mode", "exact"), s.param("allele_filter"))
+            return scores.annotate_allele(df, score, _asked(s), ann, s.param("mode", "exact"), s.param("allele_filter"))
         asked = [a for a in _asked(s) if a.source != "count"]
         count = next((a.name for a in s.attributes if a.source == "count"), None)
-        return scores.annotate_fragment(df, score, asked, id_col, ann, s.param("fragment_filter") or s.param("cnv_filter"), count)
+        return scores.annotate_fragment(df, score, asked, ann, s.param("fragment_filter") or s.param("cnv_filter"), count)
     if s.type == "gene_score_annotator":
         table, out = catalog.get(s.resource).value, df
         for a in s.attributes:
-            out = genes.annotate_gene_score(out, table, a.source, a.name, s.param("input_gene_list", "gene_list"), id_col=id_col, aggregator=a.aggregator)
+            out = genes.annotate_gene_score(out, table, a.source, a.name, s.param("input_gene_list", "gene_list"), aggregator=a.aggregator)
         return out
     if s.type == "gene_set_annotator":
         per = {a.source: a.name for a in s.attributes if a.source != "in_sets"}
         name = next((a.name for a in s.attributes if a.source == "in_sets"), "__in_sets")
-        return genes.annotate_gene_sets(df, catalog.get(s.resource).value, name, per, s.param("input_gene_list", "gene_list"), id_col).drop("__in_sets")
-    narrow = df.select(F.col(id_col).alias("__i"), F.col(ann).alias("__ann"))
-    back = lambda told, made: _renamed(df.join(told.select(F.col("__i").alias("__j"), *[F.col(m).alias(f"__m_{m}") for m in made]), F.col(id_col) == F.col("__j"), "left").drop("__j"), s, made)
+        return genes.annotate_gene_sets(df, catalog.get(s.resource).value, name, per, s.param("input_gene_list", "gene_list")).drop("__in_sets")
+    # Each distinct annotatable once. Structs are equal if all their parts are, nulls too.
+    narrow = df.select(F.col(ann).alias("__ann")).where("__ann is not null").distinct()
+    back = lambda told, made: _renamed(df.join(told.select(F.col("__ann").alias("__j"), *[F.col(m).alias(f"__m_{m}") for m in made]), F.col(ann) == F.col("__j"), "left").drop("__j"), s, made)
     if s.type == "simple_effect_annotator":
         models = catalog.get(s.param("gene_models") or s.resource or catalog.gene_models).value
-        told = transcripts.annotate_simple_effects(narrow, models, "__i", "__ann").withColumn("gene_list", F.col("genes"))
+        told = transcripts.annotate_simple_effects(narrow, models, "__ann").withColumn("gene_list", F.col("genes"))
         return back(told, ["worst_effect", "gene_effects", "genes", "gene_list", *[f"{c}_genes" for c in transcripts.SIMPLE]])
     if s.type == "effect_annotator":
         ref = s.param("gene_models") or s.resource or catalog.gene_models
         models = catalog.get(ref)
         where = s.param("genome") or models.labels.get("reference_genome") or pipeline.preamble.get("input_reference_genome") or catalog.genome
         lists = [a.source.removesuffix("_genes") for a in s.attributes if a.source.endswith("_genes")]
-        told = effects.variant_effects(narrow, models.value, catalog.get(where).value, int(s.param("promoter_len", 0)), "__i", "__ann")
+        told = effects.variant_effects(narrow, models.value, catalog.get(where).value, int(s.param("promoter_len", 0)), "__ann")
         told = effects.summarise(told, lists).withColumn("gene_list", F.array_distinct(F.transform(F.filter("effects", lambda x: x["gene"].isNotNull()), lambda x: x["gene"])))
         return back(told, ["effects", "worst_effect", "gene_effects", "effect_details", "gene_list", *[f"{n}_genes" for n in lists]])
     if s.type == "normalize_allele_annotator":
@@ -287,8 +290,8 @@ def _run(df: DataFrame, s: Spec, pipeline: Pipeline, catalog: Catalog, id_col: s
         mode = "basic" if s.type.startswith("basic") else s.param("mode", "bcf")
         small = narrow.where("__ann.ref is not null")
         large = narrow.where("__ann.ref is null")
-        told = genome.lift_alleles(small, chain.value, source, target, "liftover_annotatable", "__ann", "__i", mode).select("__i", "liftover_annotatable")
-        told = told.unionByName(genome.lift_regions(large, chain.value, "liftover_annotatable", "__ann", "__i").select("__i", "liftover_annotatable"))
+        told = genome.lift_alleles(small, chain.value, source, target, "liftover_annotatable", "__ann", mode).select("__ann", "liftover_annotatable")
+        told = told.unionByName(genome.lift_regions(large, chain.value, "liftover_annotatable", "__ann").select("__ann", "liftover_annotatable"))
         return back(told, ["liftover_annotatable"])
     if s.type == "chrom_mapping":
         m = s.param("mapping")
@@ -336,9 +339,9 @@ def reannotation(old: Pipeline, new: Pipeline, full: bool = False) -> Change:
     return Change(copied, computed, deleted, tuple(s for s, r in zip(new.specs, run, strict=True) if r))
 
 
-def reannotate(df: DataFrame, old: Pipeline, new: Pipeline, catalog: Catalog, id_col: str = "id", ann: str = "ann", full: bool = False) -> DataFrame:
+def reannotate(df: DataFrame, old: Pipeline, new: Pipeline, catalog: Catalog, ann: str = "ann", full: bool = False) -> DataFrame:
     change = reannotation(old, new, full)
-    return annotate(df.drop(*change.deleted), Pipeline(list(change.run), new.preamble), catalog, id_col, ann)
+    return annotate(df.drop(*change.deleted), Pipeline(list(change.run), new.preamble), catalog, ann)
 
 
 def describe(pipeline: Pipeline, old: Pipeline | None = None) -> list[tuple[str, str, str]]:

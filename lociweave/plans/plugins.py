@@ -14,12 +14,12 @@ from .pipeline import Spec, register
 
 
 def python_annotator(name: str, run: Callable[[pd.DataFrame], pd.DataFrame], outputs: dict[str, str]) -> None:
-    """Registers ``run``: a frame of (id, type, chrom, pos, pos_end, ref, alt) to
-    one of the same length with the columns of ``outputs`` (name -> SQL type)."""
+    """Registers ``run``: a frame of (type, chrom, pos, pos_end, ref, alt) to one
+    of the same length with the columns of ``outputs`` (name -> SQL type). It
+    sees each distinct annotatable once."""
 
-    def plan(df: DataFrame, spec: Spec, catalog, id_col: str, ann: str) -> DataFrame:
-        kind = dict(df.dtypes)[id_col]
-        src = df.select(F.col(id_col).alias("id"), f"{ann}.*")
+    def plan(df: DataFrame, spec: Spec, catalog, ann: str) -> DataFrame:
+        src = df.select(F.col(ann).alias("__a")).where("__a is not null").distinct().select("__a.*")
         names = list(outputs)
 
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -27,11 +27,12 @@ def python_annotator(name: str, run: Callable[[pd.DataFrame], pd.DataFrame], out
                 out = run(pdf)
                 if len(out) != len(pdf):
                     raise ValueError(f"{name}: {len(out)} rows for {len(pdf)}")
-                yield pd.concat([pdf[["id"]].reset_index(drop=True), out[names].reset_index(drop=True)], axis=1)
+                yield pd.concat([pdf.reset_index(drop=True), out[names].reset_index(drop=True).add_prefix("__o_")], axis=1)
 
-        told = src.mapInPandas(go, ", ".join([f"id {kind}", *(f"{k} {t}" for k, t in outputs.items())]))
-        told = told.select(F.col("id").alias("__j"), *[F.col(a.source).alias(a.name) for a in spec.attributes])
-        return df.join(told, F.col(id_col) == F.col("__j"), "left").drop("__j")
+        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in src.schema] + [f"__o_{k} {t}" for k, t in outputs.items()]
+        told = src.mapInPandas(go, ", ".join(kinds))
+        told = told.select(F.struct(*src.columns).alias("__j"), *[F.col(f"__o_{a.source}").alias(a.name) for a in spec.attributes])
+        return df.join(told, F.col(ann) == F.col("__j"), "left").drop("__j")
 
     register(name, plan)
 

@@ -74,7 +74,9 @@ def annotate_stream(df: DataFrame, score: Score, attributes: list[Attribute], an
             on = on & (F.col("__b1") != F.col("__b0"))
         out = out.join(d, on, "left")
     empty = F.filter(F.coalesce("__rec0", "__rec1"), lambda x: F.lit(False))
-    both = F.array_distinct(F.concat(F.coalesce("__rec0", empty), F.coalesce("__rec1", empty)))
+    # A record in both bins is taken from the first; of the second, those that begin in it.
+    later = F.filter(F.coalesce("__rec1", empty), lambda x: x["b"] >= F.col("__b1") * width)
+    both = F.concat(F.coalesce("__rec0", empty), later)
     lo, hi = a["pos"], a["pos_end"]
     met = F.filter(both, lambda x: (x["b"] <= hi) & (x["e"] >= lo))
     fits = hi - lo + 1 <= limit
@@ -89,6 +91,11 @@ def annotate_stream(df: DataFrame, score: Score, attributes: list[Attribute], an
     return out.drop("__c", "__l", "__b0", "__b1", "__bc0", "__bl0", "__bb0", "__rec0", "__bc1", "__bl1", "__bb1", "__rec1", "__met")
 
 
+def to_files(stream: DataFrame, path: str, checkpoint: str):
+    """An annotated stream into Parquet files, up to what is there now."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def run_batches(stream: DataFrame, annotate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, partition_by: list[str] | None = None):
     """A stream through any batch pipeline, micro-batch by micro-batch. Batches are
     written under their number, so one that is repeated replaces itself."""
