@@ -2,14 +2,14 @@
 
 Candidates come from one overlap join of variants with transcripts, widened by
 the promoter length; the coding sequence of each candidate transcript is built
-once per transcript from the genome chunks, not per variant. A vectorised
-function then names the effect of each (variant, transcript) pair, and a
-grouping puts a variant's effects in order.
+once per transcript from the genome chunks, not per variant. Variants are
+brought to their transcript, a function names the effect of each, and a grouping
+puts a variant's effects in order.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +35,26 @@ GROUPS = {
     "nonsynonymous": ["nonsense", "frame-shift", "splice-site", "no-frame-shift-newStop", "missense", "no-frame-shift", "noStart", "noEnd"],
     "UTRs": ["3'UTR", "5'UTR", "3'UTR-intron", "5'UTR-intron"],
 }
-_BASES = "TCAG"
-_AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-_NAMES = dict(zip("FLSYCWPHQRIMTNKVADEG*", "Phe Leu Ser Tyr Cys Trp Pro His Gln Arg Ile Met Thr Asn Lys Val Ala Asp Glu Gly End".split(), strict=True))
-CODONS = {a + b + c: _NAMES[_AMINO[16 * i + 4 * j + k]] for i, a in enumerate(_BASES) for j, b in enumerate(_BASES) for k, c in enumerate(_BASES)}
+# The standard genetic code.
+CODONS = {
+    "TTT": "Phe", "TTC": "Phe", "TTA": "Leu", "TTG": "Leu", "TCT": "Ser", "TCC": "Ser", "TCA": "Ser", "TCG": "Ser",
+    "TAT": "Tyr", "TAC": "Tyr", "TAA": "End", "TAG": "End", "TGT": "Cys", "TGC": "Cys", "TGA": "End", "TGG": "Trp",
+    "CTT": "Leu", "CTC": "Leu", "CTA": "Leu", "CTG": "Leu", "CCT": "Pro", "CCC": "Pro", "CCA": "Pro", "CCG": "Pro",
+    "CAT": "His", "CAC": "His", "CAA": "Gln", "CAG": "Gln", "CGT": "Arg", "CGC": "Arg", "CGA": "Arg", "CGG": "Arg",
+    "ATT": "Ile", "ATC": "Ile", "ATA": "Ile", "ATG": "Met", "ACT": "Thr", "ACC": "Thr", "ACA": "Thr", "ACG": "Thr",
+    "AAT": "Asn", "AAC": "Asn", "AAA": "Lys", "AAG": "Lys", "AGT": "Ser", "AGC": "Ser", "AGA": "Arg", "AGG": "Arg",
+    "GTT": "Val", "GTC": "Val", "GTA": "Val", "GTG": "Val", "GCT": "Ala", "GCC": "Ala", "GCA": "Ala", "GCG": "Ala",
+    "GAT": "Asp", "GAC": "Asp", "GAA": "Glu", "GAG": "Glu", "GGT": "Gly", "GGC": "Gly", "GGA": "Gly", "GGG": "Gly",
+}
 _PAIR = str.maketrans("ACGTN", "TGCAN")
 
 EFFECT = "struct<effect:string,gene:string,transcript_id:string,strand:string,prot_pos:int,prot_length:int,which_intron:int,how_many_introns:int,dist_from_coding:bigint,aa_change:string,severity:int>"
 
 
-def amino_acids(seq: str) -> list[str]:
-    return [CODONS.get(seq[i : i + 3], "?") for i in range(0, len(seq) - len(seq) % 3, 3)] + (["?"] if len(seq) % 3 else [])
+def amino_acids(seq: str, first: int = 0, end: int | None = None) -> list[str]:
+    """Codons ``first`` to ``end`` of a reading; ``?`` for one that is not whole or known."""
+    n = -(-len(seq) // 3)
+    return [CODONS.get(seq[3 * k : 3 * k + 3], "?") for k in range(max(0, first), n if end is None else min(end, n))]
 
 
 def _turned(s: str) -> str:
@@ -63,6 +72,7 @@ class _Transcript:
         self.regions = [(max(a, cds_begin), min(b, cds_end)) for a, b in self.exons if max(a, cds_begin) <= min(b, cds_end)] if self.codes else []
         self.introns = [(a[1] + 1, b[0] - 1) for a, b in zip(self.exons, self.exons[1:], strict=False)]
         self.length = sum(b - a + 1 for a, b in self.regions)
+        self.reading = self.read(coding)
 
     def offset(self, pos: int) -> int:
         """Coding bases before ``pos`` in genome order."""
@@ -122,19 +132,22 @@ def effect_on(t: _Transcript, pos: int, ref: str, alt: str, promoter: int) -> di
         inside = any(a <= pos <= b for a, b in t.regions)
         new = alt if inside or gone == len(ref) else alt[len(alt) - gone :] if gone else ""
         after = before[:lo] + new + before[lo + gone :]
-        old_p, new_p = t.read(before), t.read(after)
+        old_p, new_p = t.reading, t.read(after)
         at = lo if t.plus else t.length - lo - gone
         prot = at // 3 + 1
         width = max(gone, len(new), 1)
-        old_aa, new_aa = amino_acids(old_p), amino_acids(new_p)
         out |= {"prot_pos": prot, "prot_length": t.length // 3}
+        # Only the codons that the variant touches are translated.
         a, b = prot - 1, (at + width - 1) // 3 + 1
-        out["aa_change"] = f"{','.join(old_aa[a:b])}->{','.join(new_aa[a:b])}"
+        old_aa, new_aa = amino_acids(old_p, a, b), amino_acids(new_p, a, b)
+        out["aa_change"] = f"{','.join(old_aa)}->{','.join(new_aa)}"
         if _overlaps(t.codon(True), pos, last) and (inserted is False or at < 3) and new_p[:3] != old_p[:3]:
             return {**out, "effect": "noStart"}
         if _overlaps(t.codon(False), pos, last):
-            stays = len(new_p) == len(old_p) and new_aa[-1:] == ["End"] and old_aa[-1:] == ["End"]
-            if not stays and not (len(old_aa) <= len(new_aa) and new_aa[len(old_aa) - 1 : len(old_aa)] == ["End"]):
+            n = -(-len(old_p) // 3)
+            stop = amino_acids(new_p, n - 1, n) == ["End"]
+            stays = len(new_p) == len(old_p) and stop and amino_acids(old_p, n - 1, n) == ["End"]
+            if not stays and not stop:
                 return {**out, "effect": "noEnd"}
             if not stays:
                 return {**out, "effect": "3'UTR"}
@@ -142,14 +155,13 @@ def effect_on(t: _Transcript, pos: int, ref: str, alt: str, promoter: int) -> di
         if change:
             if change % 3:
                 return {**out, "effect": "frame-shift"}
-            stop = "End" in new_aa[a : a + max(len(new) // 3 + 1, 1)] and "End" not in old_aa[a:b]
+            stop = "End" in amino_acids(new_p, a, a + len(new) // 3 + 1) and "End" not in old_aa
             return {**out, "effect": "no-frame-shift-newStop" if stop else "no-frame-shift"}
-        o, n = old_aa[a:b], new_aa[a:b]
-        if "End" in n and "End" not in o:
+        if "End" in new_aa and "End" not in old_aa:
             return {**out, "effect": "nonsense"}
-        if "?" in n or "?" in o:
+        if "?" in new_aa or "?" in old_aa:
             return {**out, "effect": "coding_unknown"}
-        return {**out, "effect": "missense" if o != n else "synonymous"}
+        return {**out, "effect": "missense" if old_aa != new_aa else "synonymous"}
     if pos < t.cds[0] or last > t.cds[1]:
         left = last < t.cds[0]
         side = "5'UTR" if left == t.plus else "3'UTR"
@@ -184,46 +196,65 @@ def _row(effect: Column, gene: Column | None = None, tr: Column | None = None, s
     )
 
 
-def variant_effects(df: DataFrame, transcripts: DataFrame, genome: DataFrame, promoter_len: int = 0, id_col: str = "id", ann: str = "ann", limit: int = LIMIT) -> DataFrame:
+_FIELDS = ("effect", "prot_pos", "prot_length", "which_intron", "how_many_introns", "dist_from_coding", "aa_change")
+_CALLED = "struct<effect:string,prot_pos:int,prot_length:int,which_intron:int,how_many_introns:int,dist_from_coding:bigint,aa_change:string>"
+_KINDS = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+_VARIANTS = 20_000  # of a transcript in one task's group
+
+
+def _called(hits: DataFrame, transcripts: DataFrame, genome: DataFrame, promoter: int) -> DataFrame:
+    """``hits`` (variant and tr_id) with ``__e``, what the variant does there.
+
+    Variants come to their transcript, which is built once for all of a group;
+    its sequence travels once a group, not with every variant. A transcript
+    that very many variants hit is several groups.
+    """
+    groups = hits.groupBy("tr_id").agg(F.ceil(F.count("*") / _VARIANTS).cast("int").alias("__parts"))
+    tx = coding_sequences(transcripts.join(groups, "tr_id"), genome).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    tx = tx.select(*[F.col(c).alias(f"m_{c}") for c in ("tr_id", "__part", "strand", "cds_begin", "cds_end", "tx_begin", "tx_end", "exons", "coding")])
+    dealt = hits.join(groups, "tr_id").withColumn("__part", F.pmod(F.xxhash64("__pos", "__ref", "__alt"), F.col("__parts").cast("long")).cast("int")).drop("__parts")
+
+    def run(variants: pa.Table, model: pa.Table) -> pa.Table:
+        (m,) = model.to_pylist()
+        t = _Transcript(m["m_strand"], m["m_cds_begin"], m["m_cds_end"], m["m_tx_begin"], m["m_tx_end"], m["m_exons"], m["m_coding"])
+        cols: list[list] = [[] for _ in _FIELDS]
+        for pos, ref, alt in zip(*(variants.column(c).to_pylist() for c in ("__pos", "__ref", "__alt")), strict=True):
+            got = effect_on(t, pos, ref.upper(), alt.upper(), promoter) or {}
+            for c, f in zip(cols, _FIELDS, strict=True):
+                c.append(got.get(f))
+        told = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=list(_FIELDS))
+        return variants.drop_columns(["__part"]).append_column("__e", told)
+
+    schema = hits.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    return dealt.groupBy("tr_id", "__part").cogroup(tx.groupBy("m_tr_id", "m___part")).applyInArrow(run, f"{schema},__e:{_CALLED}").select(*hits.columns, "__e")
+
+
+def variant_effects(df: DataFrame, transcripts: DataFrame, genome: DataFrame, promoter_len: int = 0, ann: str = "ann", limit: int = LIMIT) -> DataFrame:
     """Adds ``effects``: array of effect structs, worst first, of equals by
     transcript. Copy number variants give CNV+ or CNV- and regions unknown for
     each transcript they overlap; with no transcript or no effect it is one
     ``intergenic`` (for a variant longer than ``limit``: ``unknown`` or CNV)."""
-    a = F.col(ann)
-    narrow = df.select(
-        F.col(id_col).alias("__id"), a["type"].alias("__type"), a["chrom"].alias("__chrom_a"), a["pos"].alias("__pos"), a["pos_end"].alias("__stop"), a["ref"].alias("__ref"), a["alt"].alias("__alt"),
+    a = F.col("__id")
+    narrow = df.select(F.col(ann).alias("__id")).where("__id is not null").distinct()
+    narrow = narrow.select(
+        "__id", a["type"].alias("__type"), a["chrom"].alias("__chrom_a"), a["pos"].alias("__pos"), a["pos_end"].alias("__stop"), a["ref"].alias("__ref"), a["alt"].alias("__alt"),
         F.greatest(a["pos"] - F.when(a["ref"].isNotNull(), promoter_len).otherwise(0), F.lit(1).cast("bigint")).alias("__begin"), (F.when(a["ref"].isNotNull(), a["pos"] + F.length(a["ref"]) + promoter_len).otherwise(a["pos_end"])).alias("__end"),
     ).where(F.col("__stop") - F.col("__pos") + 1 <= limit)
-    tx = coding_sequences(transcripts, genome).withColumnsRenamed({"chrom": "__t_chrom"})
-    hits = overlap_join(narrow, tx, ("__chrom_a", "__begin", "__end"), ("__t_chrom", "tx_begin", "tx_end"))
-
-    fields = ("effect", "prot_pos", "prot_length", "which_intron", "how_many_introns", "dist_from_coding", "aa_change")
-
-    @F.pandas_udf("struct<effect:string,prot_pos:int,prot_length:int,which_intron:int,how_many_introns:int,dist_from_coding:bigint,aa_change:string>")
-    def name_it(pos: pd.Series, ref: pd.Series, alt: pd.Series, strand: pd.Series, cb: pd.Series, ce: pd.Series, tb: pd.Series, te: pd.Series, exons: pd.Series, coding: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, r, al, s, b, e, t1, t2, ex, cs in zip(pos, ref, alt, strand, cb, ce, tb, te, exons, coding, strict=True):
-            got = {}
-            if r is not None and al is not None:
-                try:
-                    got = effect_on(_Transcript(s, b, e, t1, t2, list(ex), cs), int(p), r.upper(), al.upper(), promoter_len) or {}
-                except (IndexError, KeyError, ValueError):
-                    got = {"effect": "unknown"}
-            rows.append([got.get(f) for f in fields])
-        out = pd.DataFrame(rows, columns=list(fields))
-        return out.astype({k: "Int64" for k in fields[1:6]})
-
-    small = F.col("__ref").isNotNull()
-    called = hits.withColumn("__e", F.when(small, name_it("__pos", "__ref", "__alt", "strand", "cds_begin", "cds_end", "tx_begin", "tx_end", "exons", "coding")))
-    effect = F.when(small, F.col("__e.effect")).when(F.col("__type") == "LARGE_DUPLICATION", "CNV+").when(F.col("__type") == "LARGE_DELETION", "CNV-").otherwise("unknown")
+    tx = transcripts.select("tr_id", "gene", "strand", F.col("chrom").alias("__t_chrom"), "tx_begin", "tx_end")
+    hits = overlap_join(narrow, tx, ("__chrom_a", "__begin", "__end"), ("__t_chrom", "tx_begin", "tx_end")).select("__type", "__chrom_a", "__pos", "__stop", "__ref", "__alt", "tr_id", "gene", "strand")
+    small = F.col("__ref").isNotNull() & F.col("__alt").isNotNull()
+    called = _called(hits.where(small), transcripts, genome, promoter_len).unionByName(hits.where(~small).withColumn("__e", F.lit(None).cast(_CALLED)))
+    place = [F.col(c).alias(n) for c, n in (("__type", "type"), ("__chrom_a", "chrom"), ("__pos", "pos"), ("__stop", "pos_end"), ("__ref", "ref"), ("__alt", "alt"))]
+    called = called.withColumn("__id", F.struct(*place))
+    effect = F.when(F.col("__ref").isNotNull(), F.col("__e.effect")).when(F.col("__type") == "LARGE_DUPLICATION", "CNV+").when(F.col("__type") == "LARGE_DELETION", "CNV-").otherwise("unknown")
     base = _row(effect, F.col("gene"), F.col("tr_id"), F.col("strand"))
-    for f in fields[1:]:
+    for f in _FIELDS[1:]:
         base = base.withField(f, F.col(f"__e.{f}"))
     per = called.withColumn("__x", base).where("__x.effect is not null")
     # Worst first: a negative severity leads the sort key.
     listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("__x.severity")).alias("o"), F.col("tr_id").alias("t"), F.col("__x").alias("x")))), lambda e: e["x"])
     told = per.groupBy("__id").agg(listed.alias("effects"))
-    out = df.join(told, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    out = df.join(told, F.col(ann) == F.col("__id"), "left").drop("__id")
     long = F.col(f"{ann}.pos_end") - F.col(f"{ann}.pos") + 1 > limit
     lone = F.when(long & (F.col(f"{ann}.type") == "LARGE_DUPLICATION"), "CNV+").when(long & (F.col(f"{ann}.type") == "LARGE_DELETION"), "CNV-").when(long, "unknown").otherwise("intergenic")
     return out.withColumn("effects", F.coalesce("effects", F.array(_row(lone))))
