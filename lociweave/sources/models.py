@@ -162,14 +162,14 @@ def read_gmt(spark: SparkSession, path: str) -> DataFrame:
     """(set_name, description, gene, ordinal): name, one token of description, genes."""
     p = F.split(F.trim("value"), r"\s+")
     raw = spark.read.text(path).where("trim(value) <> ''").withColumn("ordinal", F.monotonically_increasing_id())
-    return raw.select(p[0].alias("set_name"), p[1].alias("description"), F.explode(F.slice(p, 3, 1 << 20)).alias("gene"), "ordinal")
+    return raw.select(p[0].alias("set_name"), p[1].alias("description"), F.explode(F.slice(p, F.lit(3), F.greatest(F.size(p) - 2, F.lit(0)))).alias("gene"), "ordinal")
 
 
 def read_set_directory(spark: SparkSession, path: str) -> DataFrame:
     """One file per set: name, description, then a gene a line."""
     raw = spark.read.text(f"{path.rstrip('/')}/*.txt", wholetext=True)
     lines = F.transform(F.split("value", "\n"), lambda x: F.trim(x))
-    genes = F.filter(F.slice(lines, 3, 1 << 20), lambda x: x != "")
+    genes = F.filter(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), lambda x: x != "")
     return raw.select(lines[0].alias("set_name"), lines[1].alias("description"), F.explode(genes).alias("gene"), F.lit(0).alias("ordinal"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,27 +26,45 @@ def table_format(path: str, declared: str | None = None) -> str:
     return "mem"
 
 
+def in_file_order(text: DataFrame, name: str) -> DataFrame:
+    """Adds the place of each line of a file, or of several one after the other,
+    by name. Spark reads the parts of one file in order, but the longest of
+    several files first, so these are told by name and part."""
+    files = text.inputFiles()
+    line = F.monotonically_increasing_id()
+    if len(files) < 2:
+        return text.withColumn(name, line)
+    return text.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), line.alias("line")))
+
+
+def vcf_header(spark: SparkSession, path: str) -> list[str]:
+    """The header lines of a VCF, in order."""
+    head = in_file_order(spark.read.text(path), "line").where("value like '#%'").orderBy("line").select("value").collect()
+    return [r.value for r in head]
+
+
 def read_rows(spark: SparkSession, path: str, sep: str | None = "\t", header: list[str] | None = None) -> DataFrame:
     """All columns as text, ``__line`` the order in the file. Without ``header``
     the first line is it (a leading # is taken off). ``sep`` None: white space,
     and the cell EMPTY is the empty text."""
-    lines = spark.read.text(path).withColumn("__line", F.monotonically_increasing_id())
+    lines = in_file_order(spark.read.text(path), "__line")
     if header is None:
         first = lines.where("trim(value) <> ''").orderBy("__line").limit(1).collect()
         if not first:
             raise ValueError(f"{path}: no header")
         text = first[0].value.lstrip("#")
-        header = text.split() if sep is None else [h.strip() for h in text.split(sep)]
+        header = text.split() if sep is None else [h.strip() for h in next(csv.reader([text], delimiter=sep))]
         lines = lines.where(F.col("value") != first[0].value)
     lines = lines.where("trim(value) <> '' and value not like '#%'")
     if sep is None:
         cells = F.split(F.trim("value"), r"\s+")
         cell = lambda k: F.when(F.get(cells, F.lit(k)) == "EMPTY", "").otherwise(F.get(cells, F.lit(k)))
     else:
-        import re
-
-        cells = F.split("value", re.escape(sep))
-        cell = lambda k: F.get(cells, F.lit(k))
+        # Cells may be quoted, with separators and doubled quotes in them; text that is not stays as it is.
+        kinds = ", ".join(f"`c{k}` string" for k in range(len(header)))
+        told = F.from_csv("value", kinds, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\x00", "maxCharsPerColumn": "-1"})
+        lines = lines.withColumn("__cells", told)
+        cell = lambda k: F.col("__cells")[f"c{k}"]
     return lines.select(*[cell(k).alias(h) for k, h in enumerate(header)], "__line")
 
 
@@ -100,9 +120,9 @@ def read_bedgraph(spark: SparkSession, path: str, value: str = "value") -> DataF
 # --- bigWig -------------------------------------------------------------------
 
 
-def bigwig_runs(data: bytes) -> Iterator[tuple[str, int, int, float]]:
-    """(chrom, begin, end, value) of a bigWig file, 1-based and closed, from its
-    data blocks (bed graph, variable step and fixed step)."""
+def bigwig_runs(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(chrom, begins, ends, values) of each data block of a bigWig file, 1-based
+    and closed (bed graph, variable step and fixed step)."""
     order = "<" if struct.unpack("<I", data[:4])[0] == 0x888FFC26 else ">"
     magic, _, _, tree_at, _, index_at, _, _, _, _, buffer = struct.unpack(order + "IHHQQQHHQQI", data[:56])
     if magic != 0x888FFC26:
@@ -137,38 +157,27 @@ def bigwig_runs(data: bytes) -> Iterator[tuple[str, int, int, float]]:
                 at += 24
 
     leaves(index_at + 48)
+    head = struct.Struct(order + "IIIIIBBH")
+    kinds = {1: np.dtype([("b", order + "u4"), ("e", order + "u4"), ("v", order + "f4")]), 2: np.dtype([("b", order + "u4"), ("v", order + "f4")]), 3: np.dtype([("v", order + "f4")])}
     for at, size in blocks:
         block = data[at : at + size]
         if buffer:
             block = zlib.decompress(block)
-        chrom, start, _, step, span, kind, _, n = struct.unpack(order + "IIIIIBBH", block[:24])
-        name = names[chrom]
-        for k in range(n):
-            if kind == 1:
-                b, e, v = struct.unpack_from(order + "IIf", block, 24 + 12 * k)
-            elif kind == 2:
-                b, v = struct.unpack_from(order + "If", block, 24 + 8 * k)
-                e = b + span
-            else:
-                (v,) = struct.unpack_from(order + "f", block, 24 + 4 * k)
-                b = start + k * step
-                e = b + span
-            yield name, b + 1, e, v
+        chrom, start, _, step, span, kind, _, n = head.unpack_from(block)
+        items = np.frombuffer(block, kinds[kind], n, head.size)
+        begin = start + step * np.arange(n, dtype=np.int64) if kind == 3 else items["b"].astype(np.int64)
+        end = items["e"].astype(np.int64) if kind == 1 else begin + span
+        yield names[chrom], begin + 1, end, items["v"].astype(np.float64)
 
 
 def read_bigwig(spark: SparkSession, path: str, value: str = "value") -> DataFrame:
-    """One task per file; meant to be converted to Parquet once."""
+    """One task per file of at most 2 GB; meant to be converted to Parquet once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["content"]:
-                rows = []
-                for r in bigwig_runs(bytes(data)):
-                    rows.append(r)
-                    if len(rows) == 100_000:
-                        yield pd.DataFrame(rows, columns=["chrom", "pos_begin", "pos_end", value])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["chrom", "pos_begin", "pos_end", value])
+                for chrom, begin, end, values in bigwig_runs(bytes(data)):
+                    yield pd.DataFrame({"chrom": chrom, "pos_begin": begin, "pos_end": end, value: values})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"chrom string, pos_begin bigint, pos_end bigint, {value} double")
 
@@ -179,7 +188,7 @@ def read_bigwig(spark: SparkSession, path: str, value: str = "value") -> DataFra
 def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
     """(lines, INFO fields). Lines: line, chrom, pos, id, ref, alts, qual,
     filter, info map, rest. Fields: name -> (Number, Type) from the header."""
-    text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    text = in_file_order(spark.read.text(path), "line")
     rx = r'^##INFO=<ID=([^,>]+),Number=([^,>]+),Type=([^,>]+)'
     head = text.where("value like '##INFO=<%'").select(*[F.regexp_extract("value", rx, k).alias(n) for k, n in enumerate(("id", "number", "type"), 1)]).collect()
     p = F.split("value", "\t")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import from_row
 from ..functions.values import stringify, vcf_escape
-from .tables import read_rows, read_vcf, vcf_alleles
+from .tables import in_file_order, read_rows, read_vcf, vcf_alleles, vcf_header
 
 BAD_LINES = 10
 
@@ -62,36 +62,45 @@ def write_tabular(df: DataFrame, columns: list[str], path: str, order: list[str]
 
 
 def read_vcf_input(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ALT with ``ann``; ``line`` and ``alt_idx`` say where it goes back."""
+    """One row per ALT with ``ann``; ``line`` and ``alt_idx`` say where it goes
+    back. Lines without ALT have no row; ``write_vcf`` takes them from the file."""
     lines, _ = read_vcf(spark, path)
-    one = vcf_alleles(lines)
-    return one.withColumn("id", F.concat_ws(":", F.col("line").cast("string"), F.col("alt_idx").cast("string")))
+    return vcf_alleles(lines)
 
 
 def _cells(alleles: str, name: str) -> Column:
     return F.transform(alleles, lambda e: F.when(e[name] == "", ".").otherwise(e[name]))
 
 
-def write_vcf(df: DataFrame, attributes: list[str], path: str, header: list[str] | None = None) -> None:
-    """Alleles regrouped into lines, attributes as INFO lists by ALT (``.`` for
-    none); an attribute that is empty for all ALTs of a line is left out."""
+def write_vcf(df: DataFrame, attributes: list[str], path: str, source: str) -> None:
+    """The lines of the VCF ``source`` as they are, with samples, ids and lines
+    without ALT, and to INFO the attributes of the alleles ``df`` (line, alt_idx
+    as ``read_vcf_input`` gave them): lists by ALT, ``.`` for none; an attribute
+    that is empty for all ALTs of a line is left out. The header is the source's,
+    with a line for each attribute before its last."""
+    spark = df.sparkSession
     kinds = dict(df.dtypes)
     cells = [vcf_escape(stringify(F.col(a), kinds[a], ".")).alias(f"__a{k}") for k, a in enumerate(attributes)]
-    shown = df.select("line", "alt_idx", "chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "rest", *cells)
-    got = F.array_sort(F.collect_list(F.struct("alt_idx", "alt", *[f"__a{k}" for k in range(len(attributes))])))
-    by_line = shown.groupBy("line", "chrom", "pos", "ref", "qual", "filter", "rest").agg(F.min("id").alias("id"), F.first("info").alias("info"), got.alias("x"))
-    old = F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"]))), ";")
+    got = F.array_sort(F.collect_list(F.struct("alt_idx", *[f"__a{k}" for k in range(len(attributes))])))
+    by_line = df.select(F.col("line").alias("__l"), "alt_idx", *cells).distinct().groupBy("__l").agg(got.alias("__x"))
     new = []
     for k, a in enumerate(attributes):
-        values = _cells("x", f"__a{k}")
+        values = _cells("__x", f"__a{k}")
         new.append(F.when(F.exists(values, lambda v: v != "."), F.concat(F.lit(f"{a}="), F.array_join(values, ","))))
-    info = F.concat_ws(";", F.nullif(old, F.lit("")), *new)
-    text = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce(F.lit(None).cast("string"), F.lit(".")), "ref", F.array_join(F.transform("x", lambda e: e["alt"]), ","), "qual", "filter", F.when(info == "", ".").otherwise(info), F.when(F.size("rest") > 0, F.array_join("rest", "\t")))
-    body = by_line.select("line", text.alias("value"))
-    top = [*(header or ["##fileformat=VCFv4.2"]), *[f'##INFO=<ID={a},Number=A,Type=String,Description="{a}">' for a in attributes], "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
-    spark = df.sparkSession
-    head = spark.createDataFrame([(k - len(top), t) for k, t in enumerate(top)], "line bigint, value string")
-    head.unionByName(body).repartitionByRange("line").sortWithinPartitions("line").select("value").write.text(path)
+    text = in_file_order(spark.read.text(source), "line").where("value not like '#%' and trim(value) <> ''")
+    told = text.join(by_line, F.col("line") == F.col("__l"), "left").withColumn("__p", F.split("value", "\t"))
+    info = F.get("__p", F.lit(7))
+    added = F.concat_ws(";", F.when(info.isin(".", ""), F.lit(None)).otherwise(info), *new)
+    size = F.size("__p")
+    cut = F.concat(F.slice("__p", 1, 7), F.array(F.when(added == "", ".").otherwise(added)), F.when(size > 8, F.slice("__p", F.lit(9), F.greatest(size - 8, F.lit(1)))).otherwise(F.array().cast("array<string>")))
+    body = told.select("line", F.when((size >= 8) & F.col("__x").isNotNull(), F.array_join(cut, "\t", "")).otherwise(F.col("value")).alias("value"))
+    top = vcf_header(spark, source)
+    at = next((k for k, t in enumerate(top) if t.startswith("#CHROM")), len(top))
+    top[at:at] = [f'##INFO=<ID={a},Number=A,Type=String,Description="{a}">' for a in attributes]
+    first = F.lit(0).alias("of")
+    head = spark.createDataFrame([(k, t) for k, t in enumerate(top)], "at bigint, value string").select(first, "at", F.lit(None).cast(body.schema["line"].dataType).alias("line"), "value")
+    every = head.unionByName(body.select(F.lit(1).alias("of"), F.lit(0).cast("bigint").alias("at"), "line", "value"))
+    every.repartitionByRange("of", "at", "line").sortWithinPartitions("of", "at", "line").select("value").write.text(path)
 
 
 def prepare_order(df: DataFrame, ranks: DataFrame, chrom: str, *then: str) -> DataFrame:

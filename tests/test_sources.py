@@ -11,6 +11,9 @@ def test_score_tables(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("#chrom\tpos_begin\tval\nc\t9\t7\nc\t11\t-1\n")
     got = tables.read_score_table(spark, str(tmp_path / "b.tsv"), {"n": {"type": "int", "index": 2, "na": -1}}, zero_based=True).orderBy("pos_begin").collect()
     assert [(r.pos_begin, r.pos_end, r.n) for r in got] == [(10, 10, 7), (12, 12, None)]
+    (tmp_path / "q.csv").write_text('chrom,pos_begin,s,v\n1,5,"a,""b""",2\n1,6,,3\n')
+    got = tables.read_score_table(spark, str(tmp_path / "q.csv"), {"s": {"type": "str"}, "v": {"type": "int"}}).orderBy("pos_begin").collect()
+    assert [(r.s, r.v) for r in got] == [('a,"b"', 2), ("", 3)]
     assert tables.table_format("x.vcf.gz") == "vcf_info" and tables.table_format("x.bw") == "bigwig" and tables.table_format("x") == "mem"
 
 
@@ -37,11 +40,15 @@ def test_vcf(spark, tmp_path):
     assert ann.count() == 2
     from pyspark.sql import functions as F
 
+    (tmp_path / "v.vcf").write_text(VCF.replace("\tINFO\n", "\tINFO\tFORMAT\tme\n").replace(";FL\n", ";FL\tGT\t0/1\n").replace("R=ref,alt\n", "R=ref,alt\tGT\t./.\n"))
+    ann = tabular.read_vcf_input(spark, str(tmp_path / "v.vcf"))
     scored = ann.withColumn("score", F.when(F.col("alt") == "G", 0.25)).withColumn("none", F.lit(None).cast("string"))
-    tabular.write_vcf(scored, ["score", "none"], str(tmp_path / "out"))
-    text = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
-    body = [t for t in text if not t.startswith("#")]
-    assert len(body) == 1 and "score=.,0.25" in body[0] and "none=" not in body[0] and "\tT,G\t" in body[0]
+    tabular.write_vcf(scored, ["score", "none"], str(tmp_path / "out"), str(tmp_path / "v.vcf"))
+    text = [t for f in sorted((tmp_path / "out").glob("part-*")) for t in f.read_text().splitlines()]
+    given = (tmp_path / "v.vcf").read_text().splitlines()
+    added = ['##INFO=<ID=score,Number=A,Type=String,Description="score">', '##INFO=<ID=none,Number=A,Type=String,Description="none">']
+    # The header, ids, samples and the line without ALT are as they were.
+    assert text == [*given[:6], *added, given[6], given[7].replace(";FL", ";FL;score=.,0.25"), given[8]]
 
 
 def test_tabular(spark, tmp_path):
