@@ -8,9 +8,7 @@ suppliers and customers regions.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,9 +21,9 @@ from .operators import effects, genes, genome, histograms, regions, transcripts
 from .operators import scores as sc
 from .plans import catalog as cat
 from .plans import pipeline as pl
-from .sources import models
-from .sources.tables import info_value
-from .streaming.annotate import annotate_stream
+from .sources import models, tables, tabular
+from .shared import fresh_path, kept
+from .streaming.annotate import annotate_stream, to_files
 
 # --- the tables as genomic data: Spark ---------------------------------------
 
@@ -35,7 +33,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def annotatables(spark: SparkSession, d: str) -> DataFrame:
-    o = _t(spark, d, "orders").selectExpr("o_orderkey as id", "concat('chr', o_orderkey % 6) as chrom", "1 + (o_orderkey * 7919) % 43200 as pos", "o_custkey % 50 as width")
+    return _as_annotatables(_t(spark, d, "orders"))
+
+
+def _as_annotatables(orders: DataFrame) -> DataFrame:
+    o = orders.selectExpr("o_orderkey as id", "concat('chr', o_orderkey % 6) as chrom", "1 + (o_orderkey * 7919) % 43200 as pos", "o_custkey % 50 as width")
     return o.select("id", S.region(F.col("chrom"), F.col("pos"), F.col("pos") + F.col("width")).alias("ann"))
 
 
@@ -70,22 +72,17 @@ def gene_lists(spark: SparkSession, d: str) -> DataFrame:
     return o.select("id", F.when(F.col("r") != 0, F.array_distinct("gs")).alias("gene_list"))
 
 
-def _parts(spark: SparkSession, d: str, below: int, whole: bool) -> DataFrame:
-    p = _t(spark, d, "part")
-    return p if whole else p.where(f"p_partkey < {below}")
-
-
-def gene_scores(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _parts(spark, d, 80, whole).selectExpr("concat('g', p_partkey) as gene", "p_retailprice as price", "cast(p_size as double) as size")
+def gene_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "part").selectExpr("concat('g', p_partkey) as gene", "p_retailprice as price", "cast(p_size as double) as size")
 
 
-def gene_sets(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _parts(spark, d, 400, whole).selectExpr("p_type as set_name", "concat('g', p_partkey % 97) as gene").distinct()
+def gene_sets(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "part").selectExpr("p_type as set_name", "concat('g', p_partkey % 97) as gene").distinct()
 
 
-def models_of(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def models_of(spark: SparkSession, d: str) -> DataFrame:
     """Transcripts of three exons from parts; every fifth does not code."""
-    p = _parts(spark, d, 500, whole).selectExpr("concat('t', p_partkey) as tr_id", "concat('g', p_partkey % 97) as gene", "concat('chr', p_partkey % 5) as chrom", "case when p_partkey % 2 = 0 then '+' else '-' end as strand", "1 + (p_partkey * 7919) % 43200 as b", "p_partkey % 5 as k")
+    p = _t(spark, d, "part").selectExpr("concat('t', p_partkey) as tr_id", "concat('g', p_partkey % 97) as gene", "concat('chr', p_partkey % 5) as chrom", "case when p_partkey % 2 = 0 then '+' else '-' end as strand", "1 + (p_partkey * 7919) % 43200 as b", "p_partkey % 5 as k")
     exon = lambda i: F.struct((F.col("b") + 60 * i).cast("bigint").alias("start"), (F.col("b") + 60 * i + 29).cast("bigint").alias("stop"), F.lit(-1).alias("frame"))
     out = p.select(
         "tr_id", F.col("tr_id").alias("tr_name"), "gene", "chrom", "strand", F.col("b").alias("tx_begin"), (F.col("b") + 149).alias("tx_end"), F.when(F.col("k") == 0, F.col("b") + 149).otherwise(F.col("b") + 10).alias("cds_begin"),
@@ -215,10 +212,10 @@ def pos_bins(spark: SparkSession, d: str) -> DataFrame:
     return df.select("bin_begin", "bin_end", F.round("v", 9).alias("v"))
 
 
-@query(f"with {ANN}, {POS}, p as (select id, chrom, unnest(range(pos, pos_end + 1)) as pos from ann where id % 16 = 1) select p.id, p.pos, r.value from p left join runs r on p.chrom = r.chrom and p.pos between r.pos_begin and r.pos_end")
-def pos_plane(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """One row per base, for the annotatables of one chrom slice."""
-    r = annotatables(spark, d).where("true" if whole else "id % 16 = 1").select("id", "ann.chrom", F.col("ann.pos").alias("begin"), F.col("ann.pos_end").alias("end"))
+@query(f"with {ANN}, {POS}, p as (select id, chrom, unnest(range(pos, pos_end + 1)) as pos from ann) select p.id, p.pos, r.value from p left join runs r on p.chrom = r.chrom and p.pos between r.pos_begin and r.pos_end")
+def pos_plane(spark: SparkSession, d: str) -> DataFrame:
+    """One row per base."""
+    r = annotatables(spark, d).select("id", "ann.chrom", F.col("ann.pos").alias("begin"), F.col("ann.pos_end").alias("end"))
     return sc.positions(r, position_score(spark, d), ["value"])
 
 
@@ -262,42 +259,42 @@ def fragment_filter_agg(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", "n", "freq", F.array_join(F.array_sort(F.map_keys("status")), ",").alias("status"))
 
 
-@query("select l_returnflag as flag, count(*) as n from lineitem where not (l_discount > 0.05) and contains(l_returnflag || l_linestatus, 'O') or l_quantity >= 45 group by 1")
+@query("select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where not (l_discount > 0.05) and contains(l_returnflag || l_linestatus, 'O') or l_quantity >= 45")
 def record_filter(spark: SparkSession, d: str) -> DataFrame:
     li = _t(spark, d, "lineitem").withColumn("both", F.concat("l_returnflag", "l_linestatus"))
     test = compile_filter("not (l_discount > 0.05) and 'O' in both or l_quantity >= 45", {"l_discount": "double", "both": "string", "l_quantity": "double"})
-    return li.where(test).groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
+    return li.where(test).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
 # --- genes ------------------------------------------------------------------------
 
 
-@query(f"with {GENES}, s as (select 'g' || p_partkey as gene, p_retailprice as price from part where p_partkey < 80), told as (select id, string_agg(gene || ':' || cast(cast(round(price * 100) as bigint) as varchar), ';' order by o) as prices, max(price) as top from gu join s using (gene) group by id) select gl.id, prices, top from gl left join told using (id)")
-def gene_score_join(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    df = genes.annotate_gene_score(gene_lists(spark, d), gene_scores(spark, d, whole), "price", "m", genes="gene_list")
-    df = genes.annotate_gene_score(df, gene_scores(spark, d, whole), "price", "top", genes="gene_list", aggregator="max")
+@query(f"with {GENES}, s as (select 'g' || p_partkey as gene, p_retailprice as price from part), told as (select id, string_agg(gene || ':' || cast(cast(round(price * 100) as bigint) as varchar), ';' order by o) as prices, max(price) as top from gu join s using (gene) group by id) select gl.id, prices, top from gl left join told using (id)")
+def gene_score_join(spark: SparkSession, d: str) -> DataFrame:
+    df = genes.annotate_gene_score(gene_lists(spark, d), gene_scores(spark, d), "price", "m", genes="gene_list")
+    df = genes.annotate_gene_score(df, gene_scores(spark, d), "price", "top", genes="gene_list", aggregator="max")
     shown = F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws(":", e["key"], F.round(e["value"] * 100).cast("bigint").cast("string"))), ";")
     return df.select("id", shown.alias("prices"), "top")
 
 
-@query(f"""with {GENES}, s as (select distinct p_type as set_name, 'g' || (p_partkey % 97) as gene from part where p_partkey < 400),
+@query(f"""with {GENES}, s as (select distinct p_type as set_name, 'g' || (p_partkey % 97) as gene from part),
     told as (select id, string_agg(distinct set_name, ',' order by set_name) as in_sets from gu join s using (gene) group by id)
     select gl.id, case when gs is not null then coalesce(in_sets, '') end as in_sets from gl left join told using (id)""")
-def gene_set_intersect(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return genes.annotate_gene_sets(gene_lists(spark, d), gene_sets(spark, d, whole), genes="gene_list").select("id", F.array_join("in_sets", ",").alias("in_sets"))
+def gene_set_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return genes.annotate_gene_sets(gene_lists(spark, d), gene_sets(spark, d), genes="gene_list").select("id", F.array_join("in_sets", ",").alias("in_sets"))
 
 
-@query("select 'g' || p_partkey as gene from part where p_partkey < 80 and p_retailprice between 1000 and 1500")
-def gene_score_range(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return genes.gene_score_range(gene_scores(spark, d, whole), "price", 1000, 1500)
+@query("select 'g' || p_partkey as gene from part where p_retailprice between 910 and 950")
+def gene_score_range(spark: SparkSession, d: str) -> DataFrame:
+    return genes.gene_score_range(gene_scores(spark, d), "price", 910, 950)
 
 
-@query("with s as (select distinct p_type as set_name, 'g' || (p_partkey % 97) as gene from part where p_partkey < 400) select set_name, count(*) as n_genes from s group by 1")
-def gene_set_statistics(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return genes.gene_set_statistics(gene_sets(spark, d, whole))["genes_per_set"]
+@query("with s as (select distinct p_type as set_name, 'g' || (p_partkey % 97) as gene from part) select set_name, count(*) as n_genes from s group by 1")
+def gene_set_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return genes.gene_set_statistics(gene_sets(spark, d))["genes_per_set"]
 
 
-_TX = "tx as (select 't' || p_partkey as tr_id, 'g' || (p_partkey % 97) as gene, 'chr' || (p_partkey % 5) as chrom, 1 + (p_partkey * 7919) % 43200 as b, p_partkey % 5 as k from part where p_partkey < 500)"
+_TX = "tx as (select 't' || p_partkey as tr_id, 'g' || (p_partkey % 97) as gene, 'chr' || (p_partkey % 5) as chrom, 1 + (p_partkey * 7919) % 43200 as b, p_partkey % 5 as k from part)"
 
 
 @query(f"""with {ANN}, {_TX}, h as (select ann.id, gene, case
@@ -309,41 +306,83 @@ _TX = "tx as (select 't' || p_partkey as tr_id, 'g' || (p_partkey % 97) as gene,
     u as (select distinct id, r, gene from h),
     told as (select id, min(r) as r, string_agg(gene || ':' || name, '|' order by r, gene) as gene_effects from u join n using (r) group by id)
     select ann.id, case when told.id is null then 'intergenic' else n.name end as worst_effect, coalesce(gene_effects, '') as gene_effects from ann left join told using (id) left join n on n.r = told.r""")
-def simple_effect(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return transcripts.annotate_simple_effects(annotatables(spark, d), models_of(spark, d, whole)).select("id", "worst_effect", "gene_effects")
+def simple_effect(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.annotate_simple_effects(annotatables(spark, d), models_of(spark, d)).select("id", "worst_effect", "gene_effects")
 
 
 @query(f"with {_TX} select chrom, count(*) as n_transcripts, count(*) filter (where k <> 0) as n_coding_transcripts, count(distinct gene) as n_genes, count(distinct case when k <> 0 then gene end) as n_coding_genes from tx group by grouping sets ((chrom), ())")
-def gene_model_statistics(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return transcripts.model_statistics(models_of(spark, d, whole))
+def gene_model_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.model_statistics(models_of(spark, d))
 
 
 @query(f"""with {_TX} select tr_id, case when k = 0 then 0 else 66 end as cds_length, case when k = 0 then 0 when tr_n % 2 = 0 then 10 else 14 end as utr5, case when k = 0 then '-1,-1,-1' when tr_n % 2 = 0 then '0,2,2' else '1,1,0' end as frames
     from (select *, cast(substr(tr_id, 2) as int) as tr_n from tx)""")
-def transcript_frames(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    m = transcripts.with_frames(models_of(spark, d, whole))
+def transcript_frames(spark: SparkSession, d: str) -> DataFrame:
+    m = transcripts.with_frames(models_of(spark, d))
     return m.select(
         "tr_id", transcripts.length_of(transcripts.cds_regions()).cast("int").alias("cds_length"), transcripts.length_of(transcripts.utr5_regions()).cast("int").alias("utr5"), F.array_join(F.transform("exons", lambda e: e["frame"].cast("string")), ",").alias("frames")
     )
 
 
-@query()
-def full_effects(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    df = effects.variant_effects(substitutions(spark, d), models_of(spark, d, whole), _chunks(spark, d), promoter_len=100)
+# What a substitution does to the transcripts of ``models_of``, from where it lies in them.
+_EFFECTS = f"""with {ANN}, tx as (select 't' || p_partkey as tr_id, 'g' || (p_partkey % 97) as gene, 'chr' || (p_partkey % 5) as chrom, p_partkey % 5 as c, p_partkey % 2 = 0 as plus, 1 + (p_partkey * 7919) % 43200 as b, p_partkey % 5 = 0 as silent from part),
+    hit as (select ann.id, alt, tx.*, pos - b as r from ann join tx on ann.chrom = tx.chrom and pos between b - 100 and b + 249),
+    code as (select *, case when r between 10 and 29 then r - 10 when r between 60 and 89 then r - 40 when r between 120 and 135 then r - 70 end as lo from hit),
+    read as (select *, case when plus then lo else 65 - lo end as rd from code),
+    sites as (select *, [case when plus then (rd // 3) * 3 + i else 65 - (rd // 3) * 3 - i end for i in [0, 1, 2]] as offs from read),
+    bases as (select *, [translate(substr('ACGT', cast(((b + o - 1) * (c + 3) + (b + o - 1) // 7) % 4 as int) + 1, 1), case when plus then '' else 'ACGT' end, case when plus then '' else 'TGCA' end) for o in [case when g < 20 then g + 10 when g < 50 then g + 40 else g + 70 end for g in offs]] as old,
+        translate(alt, case when plus then '' else 'ACGT' end, case when plus then '' else 'TGCA' end) as own from sites),
+    changed as (select *, [case when i - 1 = rd % 3 then own else old[i] end for i in [1, 2, 3]] as new from bases),
+    acids as (select *, rd // 3 + 1 as prot,
+        substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', 16 * (strpos('TCAG', old[1]) - 1) + 4 * (strpos('TCAG', old[2]) - 1) + strpos('TCAG', old[3]), 1) as was,
+        substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', 16 * (strpos('TCAG', new[1]) - 1) + 4 * (strpos('TCAG', new[2]) - 1) + strpos('TCAG', new[3]), 1) as becomes from changed),
+    named as (select *, case
+        when plus and r < 0 or not plus and r > 149 then 'promoter'
+        when r < 0 or r > 149 then null
+        when silent then case when r between 30 and 59 or r between 90 and 119 then 'non-coding-intron' else 'non-coding' end
+        when r in (30, 31, 58, 59, 90, 91, 118, 119) then 'splice-site'
+        when lo is not null then case
+            when prot = 1 and old <> new then 'noStart'
+            when prot = 22 and not (was = '*' and becomes = '*') then case when becomes = '*' then '3''UTR' else 'noEnd' end
+            when becomes = '*' and was <> '*' then 'nonsense'
+            when becomes <> was then 'missense' else 'synonymous' end
+        when r < 10 then case when plus then '5''UTR' else '3''UTR' end
+        when r > 135 then case when plus then '3''UTR' else '5''UTR' end
+        else 'intron' end as effect from acids),
+    full_names(x, y) as (values ('F', 'Phe'), ('L', 'Leu'), ('S', 'Ser'), ('Y', 'Tyr'), ('C', 'Cys'), ('W', 'Trp'), ('P', 'Pro'), ('H', 'His'), ('Q', 'Gln'), ('R', 'Arg'), ('I', 'Ile'), ('M', 'Met'), ('T', 'Thr'), ('N', 'Asn'), ('K', 'Lys'), ('V', 'Val'), ('A', 'Ala'), ('D', 'Asp'), ('E', 'Glu'), ('G', 'Gly'), ('*', 'End')),
+    ranks(effect, severity) as (values ('splice-site', 23), ('nonsense', 21), ('noStart', 19), ('noEnd', 18), ('missense', 17), ('synonymous', 14), ('3''UTR', 11), ('5''UTR', 10), ('intron', 9), ('non-coding', 8), ('promoter', 5), ('non-coding-intron', 4)),
+    told as (select id, tr_id, gene, n.effect, severity, case n.effect
+        when 'promoter' then cast(case when plus then -r else r - 149 end as varchar)
+        when 'non-coding' then 'None' when 'non-coding-intron' then 'None/2[None]' when 'splice-site' then 'None/None' when 'noStart' then '22' when 'noEnd' then '22'
+        when 'nonsense' then prot || '/22(' || a.y || '->' || z.y || ')' when 'missense' then prot || '/22(' || a.y || '->' || z.y || ')' when 'synonymous' then prot || '/22'
+        when 'intron' then (case when (r < 60) = plus then 1 else 2 end) || '/2[' || (case when r < 60 then least(r - 30, 59 - r) else least(r - 90, 119 - r) end + 1) || ']'
+        else case when r < 10 then cast(10 - r as varchar) when r > 135 then cast(r - 135 as varchar) else 'None' end end as details
+        from named n join ranks using (effect) left join full_names a on a.x = was left join full_names z on z.x = becomes),
+    pairs as (select id, gene, effect, min(lpad(cast(100 - severity as varchar), 3, '0') || tr_id) as k from told group by all),
+    ge as (select id, string_agg(gene || ':' || effect, '|' order by k) as gene_effects, string_agg(distinct gene, ',' order by gene) filter (where effect in ('nonsense', 'splice-site')) as lgds from pairs group by id),
+    de as (select id, string_agg(tr_id || ':' || gene || ':' || effect || ':' || details, '|' order by severity desc, tr_id) as effect_details, arg_min(effect, lpad(cast(100 - severity as varchar), 3, '0') || tr_id) as worst_effect from told group by id)
+    select ann.id, coalesce(worst_effect, 'intergenic') as worst_effect, coalesce(gene_effects, 'intergenic:intergenic') as gene_effects, coalesce(effect_details, 'intergenic:intergenic:intergenic:intergenic') as effect_details, coalesce(lgds, '') as lgds
+    from ann left join ge using (id) left join de using (id)"""
+
+
+@query(_EFFECTS)
+def full_effects(spark: SparkSession, d: str) -> DataFrame:
+    df = effects.variant_effects(substitutions(spark, d), models_of(spark, d), _chunks(spark, d), promoter_len=100)
     return effects.summarise(df, ["LGDs", "coding"]).select("id", "worst_effect", "gene_effects", "effect_details", F.array_join("LGDs_genes", ",").alias("lgds"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The sequence in chunks of the size that reads expect."""
+    """The sequence in chunks of the size that reads expect, as a table."""
     one = sequence(spark, d).withColumn("k", F.floor(F.col("chunk") * 1024 / genome.CHUNK))
-    return one.groupBy("chrom", F.col("k").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("chunk").alias("o"), "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    chunks = one.groupBy("chrom", F.col("k").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("chunk").alias("o"), "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    return kept(chunks, "genome")
 
 
 @query(f"""with {ANN}, {_TX}, h as (select ann.id, string_agg(distinct gene, ',' order by gene) as genes from ann join tx on ann.chrom = tx.chrom and pos <= b + 149 and pos_end >= b group by ann.id)
     select ann.id, case when h.id is null then 'intergenic' else 'CNV-' end as worst_effect, coalesce(genes, '') as genes from ann left join h using (id)""")
-def cnv_effects(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def cnv_effects(spark: SparkSession, d: str) -> DataFrame:
     lost = annotatables(spark, d).withColumn("ann", F.col("ann").withField("type", F.lit("LARGE_DELETION")))
-    df = effects.summarise(effects.variant_effects(lost, models_of(spark, d, whole), _chunks(spark, d)), ["CNV"])
+    df = effects.summarise(effects.variant_effects(lost, models_of(spark, d), _chunks(spark, d)), ["CNV"])
     return df.select("id", "worst_effect", F.array_join("CNV_genes", ",").alias("genes"))
 
 
@@ -353,7 +392,10 @@ _ISLANDS = """{n}1 as (select *, max(stop) over (partition by chrom order by sta
     {n}2 as (select *, sum(case when reach is null or start > reach then 1 else 0 end) over (partition by chrom order by start, stop rows unbounded preceding) as k from {n}1),
     {n}c as (select chrom, min(start) as start, max(stop) as stop from {n}2 group by chrom, k)"""
 _AC, _BC = _ISLANDS.format(n="a"), _ISLANDS.format(n="b")
-_BASES = f"with {REG}, x as (select distinct chrom, unnest(range(start, stop + 1)) as p from a), y as (select distinct chrom, unnest(range(start, stop + 1)) as p from b)"
+# Pieces between neighbouring ends of the collapsed regions, with which sides cover them.
+_PIECES = f"""with {REG}, {_AC}, {_BC}, ends as (select chrom, start as p from ac union select chrom, stop + 1 from ac union select chrom, start from bc union select chrom, stop + 1 from bc),
+    spans as (select chrom, p as start, lead(p) over (partition by chrom order by p) - 1 as stop from ends),
+    pieces as (select s.chrom, s.start, s.stop, ac.start is not null as in_a, bc.start is not null as in_b from spans s left join ac on s.chrom = ac.chrom and s.start between ac.start and ac.stop left join bc on s.chrom = bc.chrom and s.start between bc.start and bc.stop where s.stop is not null)"""
 
 
 @query(f"with {REG}, {_AC} select chrom, start, stop from ac")
@@ -366,28 +408,22 @@ def region_intersection(spark: SparkSession, d: str) -> DataFrame:
     return regions.intersection(*region_sets(spark, d))
 
 
-@query(f"{_BASES} select chrom, count(*) as bases, cast(sum(p) as bigint) as total from (select * from x except select * from y) group by chrom")
+@query(f"{_PIECES} select chrom, start, stop from pieces where in_a and not in_b")
 def region_difference(spark: SparkSession, d: str) -> DataFrame:
-    out = regions.difference(*region_sets(spark, d))
-    return _base_sums(out)
+    return regions.difference(*region_sets(spark, d))
 
 
-@query(f"{_BASES} select chrom, count(*) as bases, cast(sum(p) as bigint) as total from ((select * from x except select * from y) union all (select * from y except select * from x)) group by chrom")
+@query(f"{_PIECES} select chrom, start, stop from pieces where in_a <> in_b")
 def region_symmetric_difference(spark: SparkSession, d: str) -> DataFrame:
-    return _base_sums(regions.symmetric_difference(*region_sets(spark, d)))
+    return regions.symmetric_difference(*region_sets(spark, d))
 
 
-@query(f"{_BASES} select chrom, count(*) as bases, cast(sum(p) as bigint) as total from (select * from x union select * from y) group by chrom")
+@query(f"with {REG}, u as (select * from a union all select * from b), {_ISLANDS.format(n='u')} select chrom, start, stop from uc")
 def region_union(spark: SparkSession, d: str) -> DataFrame:
-    return _base_sums(regions.union(*region_sets(spark, d)))
-
-
-def _base_sums(out: DataFrame) -> DataFrame:
-    n = F.col("stop") - F.col("start") + 1
-    return out.groupBy("chrom").agg(F.sum(n).cast("bigint").alias("bases"), F.sum(((F.col("start") + F.col("stop")) * n / 2).cast("bigint")).alias("total"))
+    return regions.union(*region_sets(spark, d))
 
 
-@query(f"{_BASES} select chrom, count(*) as length from x group by chrom")
+@query(f"with {REG}, x as (select distinct chrom, unnest(range(start, stop + 1)) as p from a) select chrom, count(*) as length from x group by chrom")
 def region_total_length(spark: SparkSession, d: str) -> DataFrame:
     return regions.total_length(region_sets(spark, d)[0])
 
@@ -423,15 +459,15 @@ def minmax(spark: SparkSession, d: str) -> DataFrame:
     return histograms.min_max(_t(spark, d, "lineitem"), "l_discount", "l_quantity")
 
 
-@query(f"with {FRAG}, o as (select chrom, pos_begin, pos_end, lag(pos_end) over (partition by chrom order by pos_begin, pos_end) as prev_end from frag) select chrom, cast(count(*) as bigint) as n, cast(sum(prev_end) as bigint) as ends from o where pos_begin <= prev_end group by chrom")
+@query(f"with {FRAG}, o as (select chrom, pos_begin, pos_end, lag(pos_end) over (partition by chrom order by pos_begin, pos_end) as prev_end from frag) select * from o where pos_begin <= prev_end")
 def validate_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return sc.overlapping_records(fragment_score(spark, d)).groupBy("chrom").agg(F.count("*").alias("n"), F.sum("prev_end").alias("ends"))
+    return sc.overlapping_records(fragment_score(spark, d))
 
 
-@query("with o as (select 'chr' || (user_id % 5) as chrom, cast(floor(value) as bigint) as b, lag(cast(floor(value) as bigint)) over (partition by user_id % 5 order by event_id) as p from events) select chrom, count(*) as n from o where b < p group by chrom")
+@query("with o as (select 'chr' || (user_id % 5) as chrom, cast(floor(value) as bigint) as pos_begin, event_id, lag(cast(floor(value) as bigint)) over (partition by user_id % 5 order by event_id) as prev_begin from events) select * from o where pos_begin < prev_begin")
 def validate_order(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events").selectExpr("concat('chr', user_id % 5) as chrom", "cast(floor(value) as bigint) as pos_begin", "event_id")
-    return sc.unordered_records(e, "event_id").groupBy("chrom").agg(F.count("*").alias("n"))
+    return sc.unordered_records(e, "event_id")
 
 
 @query("""with b as (select 'chr' || c as chrom, k, substr('ACGT', cast(((k * (c + 3) + k // 7) % 4) + 1 as int), 1) as x from range(0, 5) t(c), range(0, 44032) u(k)),
@@ -505,15 +541,15 @@ def vcf_info(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part")
     info = F.create_map(F.lit("AF"), F.concat(F.col("p_size").cast("string"), F.lit(",0.5")), F.lit("R"), F.concat_ws(",", "p_brand", "p_type"), F.lit("N"), F.concat_ws(",", "p_brand", "p_type"))
     zero = F.when(F.col("p_partkey") % 2 == 1, F.lit(0))
-    return p.select(F.col("p_partkey").alias("id"), info_value(info, "AF", "A", "Float", F.lit(0)).alias("af"), info_value(info, "R", "R", "String", zero).alias("ref_value"), info_value(info, "N", ".", "String", zero).alias("names"))
+    return p.select(F.col("p_partkey").alias("id"), tables.info_value(info, "AF", "A", "Float", F.lit(0)).alias("af"), tables.info_value(info, "R", "R", "String", zero).alias("ref_value"), tables.info_value(info, "N", ".", "String", zero).alias("names"))
 
 
 # --- genome operators -------------------------------------------------------------------------
 
 
-@query(f"""with {ANN} select id, coalesce((select string_agg(substr('ACGT', cast((((p - 1) * (cast(substr(chrom, 4) as int) + 3) + (p - 1) // 7) % 4) + 1 as int), 1), '' order by p) from range(pos, pos_end + 1) t(p) where chrom <> 'chr5' and p <= 44032), '') as bases from ann where id % 8 = 1""")
-def reference_bases(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    a = annotatables(spark, d).where("true" if whole else "id % 8 = 1").select("id", "ann.chrom", F.col("ann.pos").alias("begin"), F.col("ann.pos_end").alias("end"))
+@query(f"""with {ANN} select id, coalesce((select string_agg(substr('ACGT', cast((((p - 1) * (cast(substr(chrom, 4) as int) + 3) + (p - 1) // 7) % 4) + 1 as int), 1), '' order by p) from range(pos, pos_end + 1) t(p) where chrom <> 'chr5' and p <= 44032), '') as bases from ann""")
+def reference_bases(spark: SparkSession, d: str) -> DataFrame:
+    a = annotatables(spark, d).select("id", "ann.chrom", F.col("ann.pos").alias("begin"), F.col("ann.pos_end").alias("end"))
     return genome.bases(a.withColumnRenamed("chrom", "c"), _chunks(spark, d), "c", "begin", "end", "bases").select("id", "bases")
 
 
@@ -524,6 +560,70 @@ def normalize_substitution_row(spark: SparkSession, d: str) -> DataFrame:
     return genome.annotate_normalised(substitutions(spark, d), _chunks(spark, d)).select("id", n["chrom"].alias("chrom"), n["pos"].alias("pos"), n["ref"].alias("ref"), n["alt"].alias("alt"))
 
 
+def _base(k: str, c: str = "c") -> str:
+    """Base k (from 0) of contig c, for Spark."""
+    return f"substring('ACGT', cast(pmod(({k}) * ({c} + 3) + floor(({k}) / 7), 4) as int) + 1, 1)"
+
+
+def _run_of(k: str, n: str) -> str:
+    return f"array_join(transform(sequence(0, ({n}) - 1), i -> {_base(f'{k} + i')}), '')"
+
+
+def indels(spark: SparkSession, d: str) -> DataFrame:
+    """Deletions and repeats of one or two bases, each with two bases more than
+    it needs, and substitutions, over the genome's own bases."""
+    o = _t(spark, d, "orders").selectExpr("o_orderkey as id", "o_orderkey % 6 as c", "101 + (o_orderkey * 7919) % 43000 as pos", "1 + o_orderkey div 6 % 2 as n", "o_orderkey div 12 % 3 as shape")
+    anchor = _base("pos - 1")
+    o = o.selectExpr(
+        "id", "concat('chr', c) as chrom", "pos", f"case shape when 0 then {_run_of('pos - 1', 'n + 3')} when 1 then {_run_of('pos - 1', '3')} else {anchor} end as ref",
+        f"case shape when 0 then concat({anchor}, {_run_of('pos + n', '2')}) when 1 then concat({anchor}, {_run_of('pos', 'n')}, {_run_of('pos', '2')}) else translate({anchor}, 'ACGT', 'CGTA') end as alt",
+    )
+    return o.select("id", S.allele(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("ann"))
+
+
+def _sql_base(k: str) -> str:
+    return f"substr('ACGT', cast((({k}) * (c + 3) + ({k}) // 7) % 4 as int) + 1, 1)"
+
+
+def _sql_run(k: str, n: str) -> str:
+    return f"array_to_string([{_sql_base(f'{k} + i')} for i in range(0, {n})], '')"
+
+
+# The same; ``s`` and ``r``: how far what is deleted or repeated can slide to the left and right.
+_INDELS = f"""o as (select o_orderkey as id, o_orderkey % 6 as c, 101 + (o_orderkey * 7919) % 43000 as pos, 1 + o_orderkey // 6 % 2 as n, o_orderkey // 12 % 3 as shape from orders),
+    slid as (select *, 'chr' || c as chrom, list_min([j for j in range(0, 90) if {_sql_base('pos - 1 - j')} <> {_sql_base('pos + n - 1 - j')}]) as s, list_min([j for j in range(0, 90) if {_sql_base('pos + n + j')} <> {_sql_base('pos + j')}]) as r from o),
+    given as (select *, case shape when 0 then {_sql_run('pos - 1', 'n + 3')} when 1 then {_sql_run('pos - 1', '3')} else {_sql_base('pos - 1')} end as ref,
+        case shape when 0 then {_sql_base('pos - 1')} || {_sql_run('pos + n', '2')} when 1 then {_sql_base('pos - 1')} || {_sql_run('pos', 'n')} || {_sql_run('pos', '2')} else translate({_sql_base('pos - 1')}, 'ACGT', 'CGTA') end as alt from slid),
+    moved as (select *, {_sql_base('pos - s - 1')} as anchor, {_sql_run('pos - s', 'n')} as unit, {_sql_base('pos + r + n')} as after, {_sql_run('pos + r', 'n')} as last_unit from given),
+    normal as (select *, case when shape = 2 or c = 5 then pos else pos - s end as n_pos, case when shape = 2 or c = 5 then ref when shape = 0 then anchor || unit else anchor end as n_ref, case when shape = 2 or c = 5 then alt when shape = 0 then anchor else anchor || unit end as n_alt from moved)"""
+
+
+@query(f"with {_INDELS} select id, chrom, n_pos as pos, n_ref as ref, n_alt as alt from normal")
+def normalize_indels(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("normalized")
+    return genome.annotate_normalised(indels(spark, d), _chunks(spark, d)).select("id", n["chrom"].alias("chrom"), n["pos"].alias("pos"), n["ref"].alias("ref"), n["alt"].alias("alt"))
+
+
+def _target(spark: SparkSession) -> DataFrame:
+    """The genome that ``_chain`` leads to: 20,000 bases of each contig, of odd
+    contigs turned round, and N elsewhere."""
+    turned = f"translate({_base('48999 - i')}, 'ACGT', 'TGCA')"
+    at = f"case when c % 2 = 0 and i between 1000 and 20999 then {_base('i - 1000')} when c % 2 = 1 and 48999 - i between 0 and 19999 then {turned} else 'N' end"
+    return kept(spark.range(5).selectExpr("id as c").selectExpr("concat('new', c) as chrom", "0L as chunk", f"array_join(transform(sequence(0L, 49999L), i -> {at}), '') as seq"), "target")
+
+
+_TURN = "reverse(translate({}, 'ACGT', 'TGCA'))"
+
+
+@query(f"""with {_INDELS}, hit as (select *, c <> 5 and case when shape = 2 then pos <= 20000 else pos + n + r <= 19999 end as ok, c % 2 = 0 as plus from normal)
+    select id, case when ok then 'new' || c end as chrom, case when not ok then null when plus then n_pos + 1000 when shape = 2 then 49001 - pos else 49000 - (pos + r + n) end as pos,
+    case when not ok then null when plus then n_ref when shape = 2 then {_TURN.format('ref')} when shape = 0 then {_TURN.format('after')} || {_TURN.format('last_unit')} else {_TURN.format('after')} end as ref,
+    case when not ok then null when plus then n_alt when shape = 2 then {_TURN.format('alt')} when shape = 0 then {_TURN.format('after')} else {_TURN.format('after')} || {_TURN.format('last_unit')} end as alt from hit""")
+def liftover_alleles(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("lifted")
+    return genome.lift_alleles(indels(spark, d), _chain(spark, d), _chunks(spark, d), _target(spark)).select("id", x["chrom"].alias("chrom"), x["pos"].alias("pos"), x["ref"].alias("ref"), x["alt"].alias("alt"))
+
+
 def _chain(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(5).selectExpr("concat('chr', id) as src_chrom", "0L as src_begin", "20000L as src_end", "concat('new', id) as dst_chrom", "1000L as dst_begin", "50000L as dst_size", "case when id % 2 = 0 then '+' else '-' end as strand", "100.0D as score", "concat('c', id) as chain_id")
 
@@ -583,10 +683,10 @@ PIPELINE = """
 """
 
 
-def pipeline_catalog(spark: SparkSession, d: str, whole: bool = False) -> cat.Catalog:
+def pipeline_catalog(spark: SparkSession, d: str) -> cat.Catalog:
     R = cat.Resource
     return cat.Catalog(
-        [R("events", "position_score", position_score(spark, d)), R("fragments", "fragment_score", fragment_score(spark, d)), R("models", "gene_models", models_of(spark, d, whole)), R("gene_prices", "gene_score", gene_scores(spark, d, whole)), R("alleles", "allele_score", allele_score(spark, d))]
+        [R("events", "position_score", position_score(spark, d)), R("fragments", "fragment_score", fragment_score(spark, d)), R("models", "gene_models", models_of(spark, d)), R("gene_prices", "gene_score", gene_scores(spark, d)), R("alleles", "allele_score", allele_score(spark, d))]
     )
 
 
@@ -596,11 +696,11 @@ def pipeline_catalog(spark: SparkSession, d: str, whole: bool = False) -> cat.Ca
     h as (select ann.id, gene, case when k = 0 then 3 when (pos <= b + 29 and pos_end >= b + 10) or (pos <= b + 89 and pos_end >= b + 60) or (pos <= b + 135 and pos_end >= b + 120) then 0 when (pos <= b + 59 and pos_end >= b + 30) or (pos <= b + 119 and pos_end >= b + 90) then 1 else 2 end as r
         from ann join tx on ann.chrom = tx.chrom and pos <= b + 149 and pos_end >= b),
     e as (select id, min(r) as r from h group by id),
-    gp as (select id, max(p_retailprice) / 2 as gene_price from h join part on gene = 'g' || p_partkey and p_partkey < 80 group by id)
+    gp as (select id, max(p_retailprice) / 2 as gene_price from h join part on gene = 'g' || p_partkey group by id)
     select ann.id, value_mean, value_max, label_mode, coalesce(f.n, 0) as count, freq_max, case when e.r is null then 'intergenic' else ['coding', 'inter-coding_intronic', 'peripheral', 'noncoding'][e.r + 1] end as worst_effect, gene_price
     from ann left join p using (id) left join m using (id) left join f using (id) left join e using (id) left join gp using (id)""")
-def pipeline_yaml(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = pipeline_catalog(spark, d, whole)
+def pipeline_yaml(spark: SparkSession, d: str) -> DataFrame:
+    c = pipeline_catalog(spark, d)
     df = pl.annotate(annotatables(spark, d), pl.parse(PIPELINE, c), c)
     return df.select("id", F.round("value_mean", 9).alias("value_mean"), "value_max", "label_mode", "count", "freq_max", "worst_effect", "gene_price")
 
@@ -612,24 +712,141 @@ def stream_region_mean(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", F.round("v", 9).alias("v"), "top")
 
 
-@query("select 'g' || (p_partkey % 97) as gene, p_type as term, count(*) as n from part where p_partkey < 400 group by 1, 2")
-def gene_terms(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    s = _parts(spark, d, 400, whole).selectExpr("p_type as set_name", "concat('g', p_partkey % 97) as gene")
+@query(f"with {HITS}, told as (select id, round(sum(value * w) / nullif(sum(case when value is not null then w end), 0), 9) as v, max(value) as top from hits group by id) select ann.id, told.v, told.top from ann left join told using (id)")
+def stream_annotation(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of files, annotated and written by Structured Streaming, read back."""
+    orders = _t(spark, d, "orders")
+    stream = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    asked = [sc.Attribute("value", "v", "mean"), sc.Attribute("value", "top", "max")]
+    out = annotate_stream(_as_annotatables(stream), position_score(spark, d), asked).select("id", F.round("v", 9).alias("v"), "top")
+    path = fresh_path(spark, "stream")
+    to_files(out, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query("select 'g' || (p_partkey % 97) as gene, p_type as term, count(*) as n from part group by 1, 2")
+def gene_terms(spark: SparkSession, d: str) -> DataFrame:
+    s = _t(spark, d, "part").selectExpr("p_type as set_name", "concat('g', p_partkey % 97) as gene")
     return models.as_terms(s)
 
 
-# --- the queries above that take a part of a table, over all of it --------------------------------
+# --- sources and sinks: tables written in their formats and read back ------------------------------
+
+
+def _lines(df: DataFrame, head: list[str], name: str) -> str:
+    """A text of ``df`` (value) below a header, under a path of the shared folder."""
+    path = fresh_path(df.sparkSession, name)
+    top = df.sparkSession.createDataFrame([(0, t) for t in head], "o int, value string") if head else None
+    body = df.select(F.lit(1).alias("o"), "value")
+    (body if top is None else top.unionByName(body)).repartitionByRange("o").sortWithinPartitions("o").select("value").write.text(path)
+    return path
+
+
+@query(f"with {POS} select chrom, pos_begin, cast(pos_end as bigint) as pos_end, value, label from runs where pos_end is not null")
+def source_tabular(spark: SparkSession, d: str) -> DataFrame:
+    """Gzipped text with a header, missing values as NA."""
+    path = fresh_path(spark, "tabular")
+    runs = _runs(spark, d).where("pos_end is not null").select("chrom", "pos_begin", "pos_end", F.coalesce(F.col("value").cast("string"), F.lit("NA")).alias("value"), "label")
+    runs.write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    return tables.read_score_table(spark, path, {"value": {"type": "float"}, "label": {"type": "str"}}, format="tsv").drop("__line")
+
+
+@query(f"with {POS} select chrom, pos_begin, cast(pos_end as bigint) as pos_end, value from runs where pos_end is not null and value is not null")
+def source_bedgraph(spark: SparkSession, d: str) -> DataFrame:
+    runs = _runs(spark, d).where("pos_end is not null and value is not null")
+    return tables.read_bedgraph(spark, _lines(runs.select(F.concat_ws(" ", "chrom", F.col("pos_begin") - 1, "pos_end", "value").alias("value")), ["track type=bedGraph"], "bedgraph"))
+
+
+_VCF_HEAD = ["##fileformat=VCFv4.2", '##INFO=<ID=AF,Number=A,Type=Float,Description="f">', '##INFO=<ID=SIZE,Number=1,Type=Integer,Description="s">', '##INFO=<ID=BIG,Number=0,Type=Flag,Description="b">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"]
+
+
+def _vcf(spark: SparkSession, d: str) -> str:
+    """Parts as VCF lines: two ALTs, one, or none."""
+    p = _t(spark, d, "part").selectExpr(
+        "concat_ws('\t', concat('chr', p_partkey % 5), 1 + (p_partkey * 7919) % 43200, concat('rs', p_partkey), 'A', case p_partkey % 3 when 0 then 'C,G' when 1 then 'T' else '.' end, '.', 'PASS', concat('AF=', case p_partkey % 3 when 0 then concat(p_size, ',', p_size + 0.5) when 1 then cast(p_size as string) else '.' end, ';SIZE=', p_size, case when p_size > 25 then ';BIG' else '' end), 'GT', '0/1') as value"
+    )
+    return _lines(p, _VCF_HEAD, "vcf")
+
+
+_VCF_ROWS = "v as (select p_partkey, 'chr' || (p_partkey % 5) as chrom, 1 + (p_partkey * 7919) % 43200 as pos, p_size, unnest(case p_partkey % 3 when 0 then [1, 2] when 1 then [3] else [0] end) as k from part)"
+
+
+@query(f"with {_VCF_ROWS} select chrom, pos as pos_begin, 'A' as reference, case k when 1 then 'C' when 2 then 'G' when 3 then 'T' end as alternative, case k when 0 then null when 2 then p_size + 0.5 else cast(p_size as double) end as AF, cast(p_size as bigint) as SIZE, p_size > 25 as BIG from v")
+def source_vcf(spark: SparkSession, d: str) -> DataFrame:
+    lines, fields = tables.read_vcf(spark, _vcf(spark, d))
+    return tables.vcf_scores(lines, fields)[0].select("chrom", "pos_begin", "reference", "alternative", "AF", "SIZE", "BIG")
+
+
+@query("""select concat_ws(chr(9), 'chr' || (p_partkey % 5), cast(1 + (p_partkey * 7919) % 43200 as varchar), 'rs' || p_partkey, 'A', case p_partkey % 3 when 0 then 'C,G' when 1 then 'T' else '.' end, '.', 'PASS',
+    'AF=' || case p_partkey % 3 when 0 then p_size || ',' || (p_size + 0.5) when 1 then cast(p_size as varchar) else '.' end || ';SIZE=' || p_size || case when p_size > 25 then ';BIG' else '' end || case p_partkey % 3 when 0 then ';half=.,' || p_partkey % 7 when 1 then ';half=' || p_partkey % 7 else '' end, 'GT', '0/1') as line from part""")
+def sink_vcf(spark: SparkSession, d: str) -> DataFrame:
+    """A VCF through the annotation of its alleles and out again: ids, samples and
+    lines without ALT stay; the first of two alleles has no value."""
+    path, out = _vcf(spark, d), fresh_path(spark, "vcf-out")
+    alleles = tabular.read_vcf_input(spark, path)
+    half = F.when(F.col("alt") != "C", F.substring("id", 3, 20).cast("bigint") % 7)
+    tabular.write_vcf(alleles.withColumn("half", half), ["half"], out, path)
+    return spark.read.text(out).where("value not like '#%'").select(F.col("value").alias("line"))
+
+
+@query(f"with {REG} select chrom, start, stop from a")
+def source_bed(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "bed")
+    regions.write_bed(region_sets(spark, d)[0], path)
+    return regions.read_bed(spark, path)
+
+
+_MODELS = f"with {_TX} select tr_id, gene, chrom, b as tx_begin, b + 149 as tx_end, case when k = 0 then null else b + 10 end as cds_begin, case when k = 0 then null else b + 135 end as cds_end, (b) || '-' || (b + 29) || ',' || (b + 60) || '-' || (b + 89) || ',' || (b + 120) || '-' || (b + 149) as exons from tx"
+
+
+def _model_rows(m: DataFrame) -> DataFrame:
+    codes = F.col("cds_begin") < F.col("cds_end")
+    exons = F.array_join(F.transform("exons", lambda e: F.concat_ws("-", e["start"].cast("string"), e["stop"].cast("string"))), ",")
+    return m.select("tr_id", "gene", "chrom", "tx_begin", "tx_end", F.when(codes, F.col("cds_begin")).alias("cds_begin"), F.when(codes, F.col("cds_end")).alias("cds_end"), exons.alias("exons"))
+
+
+@query(_MODELS)
+def source_gtf(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "gtf")
+    models.write_gtf(transcripts.with_frames(models_of(spark, d)), path)
+    return _model_rows(models.read_gene_models(spark, path, "gtf"))
+
+
+@query(_MODELS)
+def source_gene_models(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "models")
+    models.write_default(models_of(spark, d), path)
+    return _model_rows(models.read_gene_models(spark, path, "default"))
+
+
+@query("""with c as (select c_custkey as k, 10 + c_custkey % 7 as n from customer)
+    select 'src' || k as src_chrom, 4 as src_begin, 4 + n as src_end, 'dst' || k as dst_chrom, 2 as dst_begin, 500 as dst_size, case k % 2 when 0 then '+' else '-' end as strand, cast(1000 + k as double) as score, cast(k as varchar) as chain_id from c
+    union all select 'src' || k, 7 + n, 7 + n + 20, 'dst' || k, 2 + n + 5, 500, case k % 2 when 0 then '+' else '-' end, cast(1000 + k as double), cast(k as varchar) from c""")
+def source_chain(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "customer").selectExpr("c_custkey as k", "10 + c_custkey % 7 as n")
+    text = c.selectExpr("concat('chain ', 1000 + k, ' src', k, ' 400 + 4 ', 27 + n, ' dst', k, ' 500 ', case k % 2 when 0 then '+' else '-' end, ' 2 ', 27 + n, ' ', k, '\n', n, ' 3 5\n20\n') as value")
+    return genome.read_chain(spark, _lines(text, [], "chain"))
+
+
+@query(f"select 'chr' || c as chrom, {_sql_run('0', '44032')} as seq from range(0, 5) t(c)")
+def source_fasta(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs in lines of 64 bases, in one file, read back into chunks."""
+    lines = sequence(spark, d).select("chrom", "chunk", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"), "seq").select("chrom", (F.col("chunk") * 16 + F.col("k")).alias("k"), F.substring("seq", F.col("k") * 64 + 1, F.lit(64)).alias("value"))
+    heads = lines.select("chrom").distinct().select("chrom", F.lit(-1).cast("bigint").alias("k"), F.concat(F.lit(">"), "chrom", F.lit(" made")).alias("value"))
+    path = fresh_path(spark, "fasta")
+    lines.unionByName(heads).coalesce(1).sortWithinPartitions("chrom", "k").select("value").write.text(path)
+    return genome.read_fasta(spark, path).select("chrom", "seq")
 
 
-def _whole(bound: str, *names: str) -> None:
-    """Registers ``<name>_whole``, and its twin without the bound."""
-    for name in names:
-        sql = ORACLES.get(name)
-        query(sql and re.sub(bound, "true", sql), f"{name}_whole")(partial(QUERIES[name], whole=True))
+@query("select distinct p_type as set_name, 'g' || (p_partkey % 97) as gene from part")
+def source_gmt(spark: SparkSession, d: str) -> DataFrame:
+    sets = gene_sets(spark, d).groupBy("set_name").agg(F.concat_ws(" ", F.array_sort(F.collect_list("gene"))).alias("genes"))
+    path = _lines(sets.select(F.concat_ws("\t", F.replace("set_name", F.lit(" "), F.lit("_")), F.lit("made"), "genes").alias("value")), [], "gmt")
+    return models.read_gmt(spark, path).select(F.replace("set_name", F.lit("_"), F.lit(" ")).alias("set_name"), "gene")
 
 
-_whole(r"id % (16|8) = 1", "pos_plane", "reference_bases")
-_whole(
-    r"p_partkey < (80|400|500)\b",
-    "gene_score_join", "gene_set_intersect", "gene_score_range", "gene_set_statistics", "gene_terms", "simple_effect", "full_effects", "cnv_effects", "gene_model_statistics", "transcript_frames", "pipeline_yaml",
-)
+@query("select p_type as set_name, 'g' || (p_partkey % 97) as gene from part group by 1, 2")
+def source_set_map(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "map")
+    models.write_map(models.as_terms(gene_sets(spark, d).withColumn("set_name", F.replace("set_name", F.lit(" "), F.lit("_")))), path)
+    return models.read_map(spark, path).select(F.replace("set_name", F.lit("_"), F.lit(" ")).alias("set_name"), "gene")
