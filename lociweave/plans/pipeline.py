@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.transforms import compile_transform
+from ..functions.values import stringify
 from ..operators import effects, genes, genome, scores, transcripts
 from .catalog import Catalog
 
@@ -230,6 +231,22 @@ def annotate(df: DataFrame, pipeline: Pipeline, catalog: Catalog, ann: str = "an
     return df
 
 
+def printable(df: DataFrame, pipeline: Pipeline, ann: str = "ann") -> DataFrame:
+    """``df`` with collections of position scores as text: what a substitution
+    reads at its one base is a value, not a list or map of it."""
+    kinds = dict(df.dtypes)
+    point = F.col(f"{ann}.type") == "SUBSTITUTION"
+    out = {}
+    for s in pipeline.specs:
+        for a in s.attributes:
+            kind = kinds.get(a.name, "")
+            if s.type == "position_score" and not s.input_annotatable and kind.startswith(("array", "map")):
+                c = F.col(a.name)
+                one = F.get(c if kind.startswith("array") else F.map_keys(c), F.lit(0)).cast("string")
+                out[a.name] = F.when(c.isNotNull(), F.when(point, one).otherwise(stringify(c, kind)))
+    return df.withColumns(out) if out else df
+
+
 def _asked(s: Spec) -> list[scores.Attribute]:
     return [scores.Attribute(a.source, a.name, a.aggregator) for a in s.attributes]
 

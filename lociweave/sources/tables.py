@@ -62,9 +62,9 @@ def read_rows(spark: SparkSession, path: str, sep: str | None = "\t", header: li
     else:
         # Cells may be quoted, with separators and doubled quotes in them; text that is not stays as it is.
         kinds = ", ".join(f"`c{k}` string" for k in range(len(header)))
-        told = F.from_csv("value", kinds, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\x00", "maxCharsPerColumn": "-1"})
+        told = F.from_csv("value", kinds, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"})
         lines = lines.withColumn("__cells", told)
-        cell = lambda k: F.col("__cells")[f"c{k}"]
+        cell = lambda k: F.coalesce(F.col("__cells")[f"c{k}"], F.lit(""))
     return lines.select(*[cell(k).alias(h) for k, h in enumerate(header)], "__line")
 
 
