@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path, kept, shared_dir  # noqa: F401  for the operators
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -22,32 +22,10 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *have])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir``. Only where that is unset and the session
-    runs in one process (tests, one machine) a folder of its own under the
-    warehouse is taken; on a cluster it must be set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lociweave/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a restart point that
     outlives any executor, and the end of the lineage before it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df, name)
 
 
 def input_bytes(df: DataFrame, column: str) -> int:
