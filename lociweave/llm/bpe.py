@@ -11,12 +11,15 @@ exactly if it is what the merges make of its text.
 Which arcs a state has follows from the same records: an arc for a merged label
 was added when the state had an arc for its left half, so a label's arc lives
 on unless a gadget took the label, or an early enough one took the left half,
-and so on down the left halves. Answers are kept in a transition table that
-fills as words need it.
+and so on down the left halves. Spelt out, the arcs would be some 49,000 for
+each of as many states; the table holds those that were asked for.
 
-Encoding runs over a pre-split word and keeps, for every prefix, the state that
-its tokens lead to; of the labels that end at a position exactly one has an arc
-from the state before it. Decoding writes out the labels of the arcs taken.
+The labels' spellings are a second table, over bytes: a state for every
+beginning of a label, with the longest label that ends there, and for each label
+the next shorter one that ends with it. Encoding a pre-split word is one pass of
+table look-ups over its bytes: the byte's transition gives the labels that end
+here, and exactly one of them has an arc from the state that the word before it
+leads to. Decoding writes out the labels of the arcs taken.
 """
 
 from __future__ import annotations
@@ -35,6 +38,49 @@ from .common import prepare, text_or_empty
 from .pretokens import byte_chars, normalise_words, specials_splitter, word_chunks, word_level
 
 _MOST_WORDS, _MOST_ARCS = 300_000, 2_000_000
+_END = 256  # the end of a word, as a symbol after bytes
+
+
+class Spellings:
+    """Which labels end at a place of a word: transitions over bytes and word
+    ends. ``labels``: label -> its symbols."""
+
+    def __init__(self, labels: dict[int, tuple[int, ...]]):
+        self.next: dict[int, int] = {}  # state << 9 | symbol -> state
+        self.label, depth, children = [-1], [0], [[]]
+        for t, symbols in labels.items():
+            q = 0
+            for c in symbols:
+                r = self.next.get(q << 9 | c)
+                if r is None:
+                    r = self.next[q << 9 | c] = len(self.label)
+                    self.label.append(-1)
+                    depth.append(depth[q] + 1)
+                    children.append([])
+                    children[q].append((c, r))
+                q = r
+            self.label[q] = t
+        # Where a beginning ends in turn: at its longest proper end that is a beginning too.
+        self.back = [0] * len(self.label)
+        self.shorter = dict.fromkeys(labels, -1)
+        line = [r for _, r in children[0]]
+        for q in line:
+            for c, r in children[q]:
+                self.back[r] = self.step(self.back[q], c)
+                line.append(r)
+            longest = self.label[self.back[q]]
+            if self.label[q] < 0:
+                self.label[q] = longest
+            else:
+                self.shorter[self.label[q]] = longest
+        self.built = len(self.next)
+
+    def step(self, q: int, c: int) -> int:
+        got = self.next.get(q << 9 | c)
+        while got is None and q:
+            q = self.back[q]
+            got = self.next.get(q << 9 | c)
+        return got or 0
 
 
 class MergeAutomaton:
@@ -127,31 +173,45 @@ class WordBPE:
         merges = [(v[a], v[b], v[a + b]) for a, b in model["merges"]]
         made = {w for _, _, w in merges}
         self.automaton = MergeAutomaton([i for i in v.values() if i not in made], merges, max(v.values()) + 1)
-        # Spelt with word end split off: a prefix of a word never has it.
-        alive = self.automaton.alive
-        self._inner = {t: i for t, i in v.items() if alive[i] and not t.endswith(self.end)}
-        self._last = {t[: -len(self.end)]: i for t, i in v.items() if alive[i] and t.endswith(self.end)}
-        self._longest = max(map(len, v))
-        self._chars = byte_chars()
+        alive, byte = self.automaton.alive, {c: b for b, c in byte_chars().items()}
+        symbols = {}
+        for t, i in v.items():
+            ends = t.endswith(self.end)
+            plain = t[: -len(self.end)] if ends else t
+            if alive[i] and all(c in byte for c in plain):
+                symbols[i] = (*(byte[c] for c in plain), *((_END,) if ends else ()))
+        self._spellings = Spellings(symbols)
+        self._size = {i: len(x) - (x[-1:] == (_END,)) for i, x in symbols.items()}
         self._words: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
 
     def _walk(self, word: str) -> list[int]:
-        s = "".join(map(self._chars.__getitem__, word.encode()))
-        n, step, inner = len(s), self.automaton.step, self._inner
+        data = word.encode()
+        n, size, arcs, has = len(data), self._size, self.automaton.arcs, self.automaton.step
+        move, follow, label, shorter = self._spellings.next, self._spellings.step, self._spellings.label, self._spellings.shorter
         taken = [-1] * (n + 1)  # the label by which each prefix ends
-        for j in range(1, n + 1):
-            table = inner if j < n else self._last
-            for i in range(max(0, j - self._longest), j):
-                t = table.get(s[i:j])
-                if t is not None and (i == 0 or step(taken[i], t)):
-                    taken[j] = t
+        q = 0
+        for j, c in enumerate(data, 1):
+            r = move.get(q << 9 | c)
+            q = follow(q, c) if r is None else r
+            if j == n:
+                q = follow(q, _END)
+            t = label[q]
+            while t >= 0:
+                i = j - size[t]
+                if not i:
+                    break
+                before = taken[i]
+                got = arcs.get(before << 20 | t)
+                if has(before, t) if got is None else got:
                     break
+                t = shorter[t]
+            taken[j] = t
         out, j = [], n
         while j:
             t = taken[j]
             out.append(t)
-            j -= len(self.labels[t]) - (len(self.end) if j == n else 0)
+            j -= size[t]
         return out[::-1]
 
     def _word(self, word: str) -> bytes:
