@@ -11,6 +11,10 @@ position in its queue alone: deficits carry over windows and partitions alike.
 
 Queue positions come from two levels: a running sum in the task that tokenises,
 and a sum over the (task, source) totals, a table of one row each.
+
+Where there are very many sources, several share a bundle. A bundle is a queue
+to all others, credited for all its sources; inside it the same schedule deals
+its tokens to them, window by window, by their own weights and deficits.
 """
 
 from __future__ import annotations
@@ -30,9 +34,12 @@ from .vocab_cache import byte_tokenizer
 
 
 class Schedule:
-    """``totals``: tokens of each queue; ``weights``: target proportions."""
+    """``totals``: tokens of each queue; ``weights``: target proportions. A
+    schedule ``inside`` a queue of another, (that schedule, queue), has its
+    windows where the other's windows cut that queue."""
 
-    def __init__(self, totals: list[int], weights: list[int], window: int):
+    def __init__(self, totals: list[int], weights: list[int], window: int, inside: tuple[Schedule, int] | None = None):
+        self.inside = inside
         if any(w <= 0 for w in weights):
             raise ValueError("weights must be positive")
         self.totals, self.weights, self.window = totals, weights, window
@@ -51,7 +58,7 @@ class Schedule:
 
     def _row(self, w: int) -> list[int]:
         """Tokens each queue has sent after ``w`` windows."""
-        x = min(w * self.window, self.total)
+        x = self.inside[0].row(w)[self.inside[1]] if self.inside else min(w * self.window, self.total)
         if x >= self.total:
             return list(self.totals)
         time, sent, active = next(p for p in reversed(self._phases) if p[1] <= x)
@@ -60,12 +67,13 @@ class Schedule:
         return [min(t, q * n // d) for t, q in zip(self.totals, self.weights, strict=True)]
 
     def windows(self) -> int:
-        return -(-self.total // self.window)
+        return self.inside[0].windows() if self.inside else -(-self.total // self.window)
 
     def find(self, queue: int, x: int) -> int:
         """The window that sends token ``x`` of ``queue``."""
         lo, hi = 0, self.windows()
-        guess = min(hi, x * self.total // (self.totals[queue] * self.window))
+        ahead = x * self.total // self.totals[queue]
+        guess = self.inside[0].find(self.inside[1], ahead) if self.inside else min(hi, ahead // self.window)
         for a in (guess - 1, guess):
             if a >= 0 and a < hi and self.row(a)[queue] <= x < self.row(a + 1)[queue]:
                 return a
@@ -123,16 +131,27 @@ _PIECE_SQL = "id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _pieces(batches: Iterator[pa.RecordBatch], totals: list[int], weights: list[int], window: int, size: int, width: str, tokens: bool) -> Iterator[pa.RecordBatch]:
     plan = Schedule(totals, weights, window * size)
+
+    @lru_cache(maxsize=256)
+    def bundle(number: int, totals: tuple[int, ...], weights: tuple[int, ...]) -> Schedule:
+        return Schedule(list(totals), list(weights), window * size, (plan, number))
+
+    def placed(number: int, nth: int, own: list[int], shares: list[int], begin: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """Like ``Schedule.place``, through the bundle of the source."""
+        for a, b, at in bundle(number, tuple(own), tuple(shares)).place(nth, begin, end) if len(own) > 1 else [(begin, end, begin)]:
+            for c, d, to in plan.place(number, at, at + b - a):
+                yield a + c - at, a + d - at, to
+
     names = [*_PIECE.names, *(["tokens"] if tokens else [])]
     for batch in batches:
         out = {k: [] for k in names}
-        for queue, begin, i, n, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for number, nth, own, shares, begin, i, n, raw in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
             ids = np.frombuffer(raw, width).astype("<u4")
-            for a, b, at in plan.place(queue, begin, begin + n):
+            for a, b, at in placed(number, nth, own, shares, begin, begin + n):
                 while a < b:
                     length = min(b - a, size - at % size)
-                    own = ids[a - begin : a - begin + length]
-                    for k, v in zip(names, (i, a - begin, length, zlib.crc32(own.tobytes()), n, at // size, at % size, own.tolist() if tokens else None), strict=False):
+                    part = ids[a - begin : a - begin + length]
+                    for k, v in zip(names, (i, a - begin, length, zlib.crc32(part.tobytes()), n, at // size, at % size, part.tolist() if tokens else None), strict=False):
                         out[k].append(v)
                     a, at = a + length, at + length
         yield pa.RecordBatch.from_pydict(out, schema=_PIECE.append(pa.field("tokens", pa.list_(pa.int64()))) if tokens else _PIECE)
@@ -163,9 +182,11 @@ def pack(
 
     Null texts are empty (one piece: ``end_id``); a null source is a queue of
     its own; ids may be null or repeat. Where there are more than
-    ``max_queues`` sources, they share that many queues by hash, so what the
-    driver holds stays bounded; ``mixture`` is refused then. An empty table
-    gives an empty table.
+    ``max_queues`` sources, they share that many bundles by hash, so what the
+    driver holds stays bounded; of a source that runs dry the share then goes
+    to its bundle first. Texts are packed whole, however long. Only the three
+    named columns are read, so others may have any name. An empty table gives
+    an empty table.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -175,18 +196,25 @@ def pack(
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), text_or_empty(text_col).alias("text"))
     tok = cut(src.mapInArrow(partial(_tokenise, path=tokenizer, end_id=end_id, width=width), _TOK_SQL), "tokens")
     part_totals = cut(tok.groupBy("part", "source").agg(F.sum("n").alias("n")), "queue-parts")
-    many = part_totals.select("source").distinct().limit(max_queues + 1).count() > max_queues
-    if many and mixture:
-        raise ValueError(f"a mixture over more than {max_queues} sources")
-    queue = F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string") if many else F.col("source")
-    part_totals = part_totals.withColumn("queue", queue)
-    got = sorted(part_totals.groupBy("queue").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r.queue is not None, r.queue or ""))
-    totals = [r.n for r in got]
-    weights = [(mixture or {}).get(r.queue, 1) for r in got] if mixture else totals
-    numbers = spark.createDataFrame([(r.queue, k) for k, r in enumerate(got)], "queue string, number int")
-    order = Window.partitionBy("number").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    starts = part_totals.join(F.broadcast(numbers), part_totals["queue"].eqNullSafe(numbers["queue"])).select("part", F.col("source").alias("s"), "number", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("begin"))
-    starts = cut(starts.withColumnRenamed("part", "p"), "queue-starts")
-    placed = tok.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("number", (F.col("begin") + F.col("ahead")).alias("begin"), "id", "n", "ids")
+    totals = part_totals.groupBy("source").agg(F.sum("n").alias("n"))
+    many = totals.limit(max_queues + 1).count() > max_queues
+    share = F.col("n")
+    if mixture:
+        given = spark.createDataFrame(list(mixture.items()), "named string, weight long")
+        totals, share = totals.join(F.broadcast(given), F.col("source") == F.col("named"), "left").drop("named"), F.coalesce("weight", F.lit(1).cast("long"))
+    bundle = F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string") if many else F.col("source")
+    sources = cut(totals.select("source", bundle.alias("bundle"), "n", share.alias("share")), "sources")
+    members = F.array_sort(F.collect_list(F.struct("source", "n", "share")))
+    bundles = cut(sources.groupBy("bundle").agg(members.alias("members")), "bundles")
+    sums = sources.groupBy("bundle").agg(F.sum("n").alias("n"), F.sum("share").alias("share"))
+    got = sorted(sums.collect(), key=lambda r: (r.bundle is not None, r.bundle or ""))
+    numbers = spark.createDataFrame([(r.bundle, k) for k, r in enumerate(got)], "of string, number int")
+    told = bundles.join(F.broadcast(numbers), F.col("bundle").eqNullSafe(F.col("of"))).select("number", "members", F.posexplode("members").alias("nth", "m"))
+    told = told.select("number", "nth", F.transform("members", lambda m: m["n"]).alias("own"), F.transform("members", lambda m: m["share"]).alias("shares"), F.col("m.source").alias("t"))
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part_totals.select(F.col("part").alias("p"), F.col("source").alias("s"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("begin"))
+    starts = cut(starts.join(told, F.col("s").eqNullSafe(F.col("t"))).drop("t"), "queue-starts")
+    placed = tok.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("number", "nth", "own", "shares", (F.col("begin") + F.col("ahead")).alias("begin"), "id", "n", "ids")
+    totals, weights = [r.n for r in got], [r.share for r in got]
     sql = _PIECE_SQL + (", tokens array<long>" if tokens else "")
     return placed.mapInArrow(partial(_pieces, totals=totals, weights=weights, window=window, size=size, width=width, tokens=tokens), sql)

@@ -103,3 +103,35 @@ def test_odd_tables(spark, tokenizers_dir):
     many = spark.createDataFrame([(k, "a b c", f"s{k}") for k in range(40)], "doc_id long, text string, source string")
     got = packing.pack(many, path, max_queues=5, size=16, window=1).collect()
     assert sum(p.length for p in got) == 160 and max(p.sequence_id for p in got) == 9
+
+
+def test_bundles_keep_proportions(spark, tokenizers_dir):
+    path = tokenizers_dir("byte_bpe_50k.json")
+    rows = [(100 * q + k, " ".join("abc" for _ in range(30)), f"s{q}" if q else None) for q in range(12) for k in range(10 + 5 * q)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    of = {i: s for i, _, s in rows}
+    size, window = 32, 16
+
+    def shares(**kw):
+        """Tokens of each source in each window, every token placed once."""
+        out, seen = {}, {}
+        for p in packing.pack(docs, path, size=size, window=window, **kw).collect():
+            at = p.sequence_id * size + p.offset
+            for t in range(at, at + p.length):
+                k = out.setdefault(t // (size * window), {})
+                k[of[p.id]] = k.get(of[p.id], 0) + 1
+                seen[t] = seen.get(t, 0) + 1
+        assert sorted(seen) == list(range(len(seen))) and set(seen.values()) == {1}
+        return out, len(seen)
+
+    for kw in ({}, {"mixture": {"s1": 3, "s2": 1}}):
+        whole, n = shares(**kw)
+        bundled, m = shares(max_queues=3, **kw)
+        assert n == m and whole.keys() == bundled.keys()
+        if not kw:  # all sources last to the end: each window has its proportions, to a few tokens
+            total = {s: sum(w.get(s, 0) for w in whole.values()) for s in set(of.values())}
+            for w, got in bundled.items():
+                have = sum(got.values())
+                assert all(abs(got.get(s, 0) - total[s] * have / n) <= 8 for s in total), w
+        else:
+            assert all(2 <= bundled[w].get("s1", 0) / bundled[w]["s2"] <= 4 for w in range(4))
