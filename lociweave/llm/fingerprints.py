@@ -31,7 +31,7 @@ _PIECE = 4 << 20
 #: Rows of a range of ids for each task, and the most ranges; their heads are
 #: held by the driver and every task (8 bytes each).
 _RANGES, _MOST_RANGES = 4, 200_000
-_TASK_BYTES = 32 << 20
+_TASK_BYTES, _LEAST_TASKS = 8 << 20, 8
 _SAMPLED = 20  # ids looked at for each bound between ranges
 
 
@@ -231,7 +231,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     prepare(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    tasks = max(64, min(_MOST_RANGES // _RANGES, input_bytes(docs, text_col) // _TASK_BYTES))
+    tasks = max(_LEAST_TASKS, min(_MOST_RANGES // _RANGES, input_bytes(docs, text_col) // _TASK_BYTES))
     ids = src.select("id").where("id is not null")
     share = min(1.0, _SAMPLED * _RANGES * tasks / max(1, ids.count()))
     seen = np.sort(np.array([r.id for r in ids.sample(share, seed=1).collect()], np.int64))
