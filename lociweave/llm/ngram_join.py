@@ -54,7 +54,7 @@ from .shingles import shingle_sets
 
 _CHUNK = 1_000_000  # postings of a document block
 _CHUNK_ROWS = 60_000
-_BLOCK_ROWS = 4096  # nodes of a part of a column
+_BLOCK_ROWS = 1024  # nodes of a part of a column
 _BLOCK_ENTRIES = 4_000_000  # entries of a part of a column
 _MOST_BITS = 17  # shingle blocks: one task each
 _KEYS = 3  # min-hash columns tried before the exact ones
