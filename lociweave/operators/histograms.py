@@ -73,12 +73,12 @@ def null_reason(df: DataFrame, value: str) -> DataFrame:
 
 
 def top_categories(hist: DataFrame, k: int, other: str = "Other Values") -> DataFrame:
-    """The k largest categories in order and the rest as one. The histogram is
-    small (at most as many rows as categories)."""
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), F.asc("value"))
-    ranked = hist.withColumn("rank", F.row_number().over(w))
-    head = F.col("rank") <= k
-    return ranked.groupBy(F.when(head, F.col("value").cast("string")).otherwise(F.lit(other)).alias("value"), F.when(head, F.col("rank")).otherwise(F.lit(k + 1)).alias("rank")).agg(F.sum("n").alias("n"))
+    """The k largest categories in order and the rest as one. Only the k meet in
+    one task, however many categories there are."""
+    head = hist.orderBy(F.desc("n"), F.asc("value")).limit(k)
+    ranked = head.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), F.asc("value")))).select(F.col("value").alias("__v"), "rank")
+    told = hist.join(ranked, F.col("value") == F.col("__v"), "left")
+    return told.groupBy(F.when(F.col("rank").isNotNull(), F.col("value").cast("string")).otherwise(F.lit(other)).alias("value"), F.coalesce("rank", F.lit(k + 1)).alias("rank")).agg(F.sum("n").alias("n"))
 
 
 def categories_by_percent(hist: DataFrame, percent: float, other: str = "Other Values") -> DataFrame:
@@ -101,8 +101,9 @@ def genome_statistics(chunks: DataFrame, alphabet: str = "ACGTN") -> DataFrame:
     """(chrom, kind, n, percent) of bases and neighbouring pairs, per contig and
     in total (chrom null). ``chunks``: (chrom, chunk, seq); a pair that lies
     over two chunks is counted through the next chunk's first base."""
-    w = Window.partitionBy("chrom").orderBy("chunk")
-    c = chunks.withColumn("seq", F.upper("seq")).withColumn("__next", F.coalesce(F.substring(F.lead("seq").over(w), 1, 1), F.lit("")))
+    after = chunks.select(F.col("chrom").alias("__c"), (F.col("chunk") - 1).alias("__k"), F.upper(F.substring("seq", 1, 1)).alias("__first"))
+    c = chunks.join(after, (F.col("chrom") == F.col("__c")) & (F.col("chunk") == F.col("__k")), "left")
+    c = c.select("chrom", F.upper("seq").alias("seq"), F.coalesce("__first", F.lit("")).alias("__next"))
     both = F.concat("seq", "__next")
     pairs = [a + b for a in alphabet for b in alphabet]
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .running import running
+
 _LOW, _HIGH = -(1 << 60), 1 << 60
 
 
@@ -16,22 +18,29 @@ def _opened(df: DataFrame) -> DataFrame:
     return df.select("chrom", F.when(F.col("start") != _LOW, F.col("start")).alias("start"), F.when(F.col("stop") != _HIGH, F.col("stop")).alias("stop"))
 
 
+def _islands(df: DataFrame, name: str) -> DataFrame:
+    """``df`` (chrom, start, stop; closed) with the start of the island that each
+    region lies in."""
+    reach = running(df, "chrom", "start", ["stop"], {"__reach": ("max_before", F.col("stop"))})
+    new = F.col("__reach").isNull() | (F.col("start") > F.col("__reach"))
+    # Starts rise, so the latest start of an island is the greatest so far.
+    return running(reach, "chrom", "start", ["stop"], {name: ("max_to", F.when(new, F.col("start")))}).drop("__reach")
+
+
 def collapse(df: DataFrame) -> DataFrame:
     """Union as disjoint regions. Regions that share a base become one; regions
     that only touch (1-2 and 3-4) stay two."""
-    w = Window.partitionBy("chrom").orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("start") > F.coalesce(reach, F.lit(_LOW - 1)), 1).otherwise(0)
-    named = _closed(df).withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    named = _islands(_closed(df), "island")
     return _opened(named.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")))
 
 
 def components(df: DataFrame) -> DataFrame:
-    """Each region with the number of its connected group on its chrom."""
-    w = Window.partitionBy("chrom").orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("start") > F.coalesce(reach, F.lit(_LOW - 1)), 1).otherwise(0)
-    return df.withColumn("new", new).withColumn("component", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    """Each region with its connected group on its chrom, known by the group's start."""
+    return _opened_component(_islands(_closed(df), "component"))
+
+
+def _opened_component(df: DataFrame) -> DataFrame:
+    return df.select("chrom", F.when(F.col("start") != _LOW, F.col("start")).alias("start"), F.when(F.col("stop") != _HIGH, F.col("stop")).alias("stop"), "component")
 
 
 def union(*dfs: DataFrame) -> DataFrame:
@@ -51,9 +60,8 @@ def _sweep(a: DataFrame, b: DataFrame, keep) -> DataFrame:
             e = d.select("chrom", at.alias("at"), F.lit(step if k == 0 else 0).alias("da"), F.lit(step if k == 1 else 0).alias("db"))
             events = e if events is None else events.unionByName(e)
     points = events.groupBy("chrom", "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"), F.max(F.abs("da")).alias("ea"), F.max(F.abs("db")).alias("eb"))
-    w = Window.partitionBy("chrom").orderBy("at")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    spans = points.withColumns({"ca": F.sum("da").over(run) > 0, "cb": F.sum("db").over(run) > 0, "next": F.lead("at").over(w)}).where(F.col("next").isNotNull())
+    spans = running(points, "chrom", "at", [], {"ca": ("sum_to", F.col("da")), "cb": ("sum_to", F.col("db")), "next": ("next", F.col("at"))})
+    spans = spans.where(F.col("next").isNotNull()).withColumns({"ca": F.col("ca") > 0, "cb": F.col("cb") > 0})
     held = spans.where(keep(F.col("ca"), F.col("cb")))
     return _opened(held.select("chrom", F.col("at").alias("start"), (F.col("next") - 1).alias("stop")))
 

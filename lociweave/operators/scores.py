@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import compile_filter
 from . import aggregators
 from .overlap import overlap_counts, overlap_join, overlap_width
+from .running import running
 
 REGION_LIMIT = 500_000  # a longer region is not read
 
@@ -151,8 +152,8 @@ def first_covering_runs(score: Score, sources: list[str], chrom: str | None = No
     r = score.record(sources)
     if chrom is not None:
         r = r.where(F.col("__r_chrom") == chrom)
-    w = Window.partitionBy("__r_chrom").orderBy("__r_order").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.greatest(F.col("__r_begin"), F.coalesce(F.max("__r_end").over(w) + 1, F.col("__r_begin")))
+    r = running(r, "__r_chrom", "__r_begin", ["__r_order"], {"__reach": ("max_before", F.col("__r_end"))})
+    cut = F.greatest(F.col("__r_begin"), F.coalesce(F.col("__reach") + 1, F.col("__r_begin")))
     return r.withColumn("__cut", cut).where(F.col("__cut") <= F.col("__r_end")).select(F.col("__r_chrom").alias("chrom"), F.col("__cut").alias("begin"), F.col("__r_end").alias("end"), *[F.col(f"__v_{s}").alias(s) for s in dict.fromkeys(sources)])
 
 
@@ -276,11 +277,11 @@ def contigs(score: Score) -> DataFrame:
 def overlapping_records(score: Score) -> DataFrame:
     """Position records that begin before the one before them ends: a position
     score must have none."""
-    w = Window.partitionBy("__r_chrom").orderBy("__r_order")
-    return score.record([]).withColumn("prev_end", F.lag("__r_end").over(w)).where("__r_begin <= prev_end").select(F.col("__r_chrom").alias("chrom"), F.col("__r_begin").alias("pos_begin"), F.col("__r_end").alias("pos_end"), "prev_end")
+    r = running(score.record([]), "__r_chrom", "__r_begin", ["__r_order"], {"prev_end": ("prev", F.col("__r_end"))})
+    return r.where("__r_begin <= prev_end").select(F.col("__r_chrom").alias("chrom"), F.col("__r_begin").alias("pos_begin"), F.col("__r_end").alias("pos_end"), "prev_end")
 
 
 def unordered_records(df: DataFrame, file_order: str, chrom: str = "chrom", begin: str = "pos_begin") -> DataFrame:
-    """Records that begin before the one before them in file order on their contig."""
-    w = Window.partitionBy(chrom).orderBy(file_order)
-    return df.withColumn("prev_begin", F.lag(begin).over(w)).where(F.col(begin) < F.col("prev_begin"))
+    """Records that begin before the one before them in file order (a number) on
+    their contig."""
+    return running(df, chrom, file_order, [], {"prev_begin": ("prev", F.col(begin))}).where(F.col(begin) < F.col("prev_begin"))

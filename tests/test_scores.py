@@ -152,3 +152,37 @@ def test_bed(spark, tmp_path):
     d = spark.createDataFrame([("1", 5, 9), ("2", 1, 1)], "chrom string, start bigint, stop bigint")
     regions.write_bed(d, str(tmp_path / "b"))
     assert sorted(map(tuple, regions.read_bed(spark, str(tmp_path / "b")).collect())) == [("1", 5, 9), ("2", 1, 1)]
+
+
+def test_running_values_over_spans(spark):
+    from pyspark.sql import Window
+
+    from lociweave.operators.running import running
+
+    r = random.Random(3)
+    rows = [(k, f"c{r.randint(0, 2)}" if k % 9 else None, r.randint(-50, 400), r.randint(0, 99) if k % 5 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, c string, p bigint, v int")
+    kinds = {"a": ("max_before", F.col("v")), "b": ("max_to", F.col("v")), "s": ("sum_to", F.coalesce("v", F.lit(0))), "l": ("prev", F.col("v")), "n": ("next", F.col("v"))}
+    got = sorted(map(tuple, running(df, "c", "p", ["k"], kinds, span=16).collect()))
+    w = Window.partitionBy("c").orderBy("p", "k")
+    to, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("*", F.max("v").over(before), F.max("v").over(to), F.sum(F.coalesce("v", F.lit(0))).over(to), F.lag("v").over(w), F.lead("v").over(w))
+    assert got == sorted(map(tuple, want.collect()))
+
+
+def test_rows_need_no_ids(spark):
+    one = lambda b, e: S.region(F.lit("1"), F.lit(b), F.lit(e))
+    df = spark.range(3).select(F.lit(7).alias("id"), one(14970, 14973).alias("ann")).unionByName(spark.range(2).select(F.lit(None).cast("int").alias("id"), F.when(F.col("id") == 0, one(14972, 14972)).alias("ann")))
+    got = sc.annotate_position(df, position(spark, HUNDRED), [sc.Attribute("v", "x", "max"), sc.Attribute("v", "n", "value_count")]).collect()
+    assert sorted(((repr(r.id), r.x, r.n) for r in got), key=repr) == [("7", 0.2, {0.1: 2, 0.2: 2})] * 3 + [("None", 0.2, {0.2: 1}), ("None", None, None)]
+
+
+def test_counts_without_pairs(spark):
+    from lociweave.operators.overlap import overlap_counts
+
+    r = random.Random(5)
+    make = lambda n: [(k, f"c{r.randint(0, 2)}", b := r.randint(-100, 900), b + r.randint(-1, 300)) for k in range(n)]
+    left, right = spark.createDataFrame([*make(60), (997, None, 1, 2), (996, "c9", 1, 2)], "a int, lc string, lb bigint, le bigint"), spark.createDataFrame([*make(90), (999, None, 1, 2)], "b int, rc string, rb bigint, re bigint")
+    got = {x.a: x.n for x in overlap_counts(left, right, ("lc", "lb", "le"), ("rc", "rb", "re"), "n", width=64).collect()}
+    naive = left.join(right.where("re >= rb"), F.expr("lc = rc and lb <= re and le >= rb and le >= lb"), "left").groupBy("a").agg(F.count("b").alias("n"))
+    assert got == {x.a: x.n for x in naive.collect()}
