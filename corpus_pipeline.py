@@ -1,5 +1,9 @@
 """A corpus in four stages: quality, exact copies, near copies, packing.
 
+All stages take null and empty texts (as empty), null and repeated ids, rows
+that repeat, texts of any length (whole), empty tables (empty results) and
+columns beyond those of ``documents``, whatever their names.
+
 Each stage takes (spark, docs, sf_dir), works on every document the one before
 it kept, and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each result to the shared folder and reads it
@@ -18,7 +22,8 @@ from lociweave.llm.queries import tokenizer_path
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It scores texts, so the
-    columns travel with their rows and nothing is joined."""
+    columns travel with their rows and nothing is joined. Rows with one text go
+    or stay together; a score equal to the threshold stays."""
     return quality.keep_clean(docs)
 
 
@@ -72,6 +77,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens, in the proportions of
+    their sources. Rows that share an id are packed each; a null source is a
+    source of its own."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
