@@ -1,8 +1,8 @@
 """Value transforms: arithmetic over ``value``, compiled to a column.
 
 Python's meaning is kept where Spark's differs: ``//`` floors, ``%`` takes the
-sign of the divisor, ``round`` goes half to even, ``and``/``or`` and ``if`` test
-truth. A null value stays null throughout (no error), as does division by zero.
+sign of the divisor, ``round`` goes half to even, ``if`` tests truth, and ``and``/``or`` give the side
+that decides. A null value stays null throughout (no error), as does division by zero.
 """
 
 from __future__ import annotations
@@ -59,19 +59,26 @@ def _choice(r: Reader, v):
     return out
 
 
+def _either(a, b, when: bool):
+    """``a`` where its truth is ``when``, else ``b``, as values, not as flags."""
+    if a[1] == b[1] == "boolean":
+        return (_truth(a) | _truth(b) if when else _truth(a) & _truth(b)), "boolean"
+    kind = a[1] if a[1] == b[1] else _common(_number(a), _number(b))
+    test = _truth(a)
+    return F.when(test.isNull(), F.lit(None)).when(test if when else ~test, a[0].cast(kind) if kind != "array" else a[0]).otherwise(b[0].cast(kind) if kind != "array" else b[0]), kind
+
+
 def _or(r: Reader, v):
     out = _and(r, v)
     while r.accept("or"):
-        b = _and(r, v)
-        out = (_truth(out) | _truth(b), "boolean")
+        out = _either(out, _and(r, v), True)
     return out
 
 
 def _and(r: Reader, v):
     out = _not(r, v)
     while r.accept("and"):
-        b = _not(r, v)
-        out = (_truth(out) & _truth(b), "boolean")
+        out = _either(out, _not(r, v), False)
     return out
 
 

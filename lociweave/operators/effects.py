@@ -309,3 +309,10 @@ def parse_effects(text: Column) -> Column:
     """``gene:effect|...`` -> array<struct<gene,effect>>."""
     parts = F.filter(F.split(text, r"\|"), lambda x: x != "")
     return F.transform(parts, lambda x: F.struct(F.split(x, ":")[0].alias("gene"), F.element_at(F.split(x, ":"), -1).alias("effect")))
+
+
+def parse_effect_details(text: Column) -> Column:
+    """``transcript:gene:effect:details|...`` -> array<struct<transcript_id,gene,effect,details>>."""
+    parts = F.filter(F.split(text, r"\|"), lambda x: x != "")
+    name = lambda x, k: F.get(F.split(x, ":", 4), F.lit(k))
+    return F.transform(parts, lambda x: F.struct(name(x, 0).alias("transcript_id"), name(x, 1).alias("gene"), name(x, 2).alias("effect"), name(x, 3).alias("details")))

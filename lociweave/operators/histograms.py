@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CATEGORIES = 100  # more distinct values than this make no histogram
@@ -57,6 +58,48 @@ def number_histogram(df: DataFrame, value: str, hist: NumberHistogram, weight: C
     return df.select(hist.index(v).alias("bin"), (weight if weight is not None else F.lit(1)).cast("bigint").alias("w")).where("bin is not null").groupBy("bin").agg(F.sum("w").alias("n"))
 
 
+@dataclass(frozen=True)
+class Saved:
+    """A number histogram as it is kept: counts of all bins, what lay below and
+    above the range, and the data's least and greatest value."""
+
+    hist: NumberHistogram
+    bars: list[int]
+    out_of_range: tuple[int, int]
+    least: float | None
+    greatest: float | None
+
+    def to_json(self) -> str:
+        h = self.hist
+        return json.dumps({"config": {"low": h.low, "high": h.high, "bins": h.bins, "log_from": h.log_from}, "bins": h.edges(), "bars": self.bars, "out_of_range_bins": list(self.out_of_range), "min_value": self.least, "max_value": self.greatest})
+
+    @staticmethod
+    def from_json(text: str) -> Saved:
+        d = json.loads(text)
+        return Saved(NumberHistogram(**d["config"]), d["bars"], tuple(d["out_of_range_bins"]), d["min_value"], d["max_value"])
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """(bin, n) as ``number_histogram`` gives it."""
+        every = [(-1, self.out_of_range[0]), *enumerate(self.bars), (self.hist.bins, self.out_of_range[1])]
+        return spark.createDataFrame([r for r in every if r[1]], "bin int, n bigint")
+
+
+def measure(df: DataFrame, value: str, hist: NumberHistogram, weight: Column | None = None) -> Saved:
+    """The whole histogram of a column: two rows more than it has bins reach the driver."""
+    got = {r.bin: r.n for r in number_histogram(df, value, hist, weight).collect()}
+    ends = min_max(df, value).first()
+    return Saved(hist, [got.get(k, 0) for k in range(hist.bins)], (got.get(-1, 0), got.get(hist.bins, 0)), ends and ends["min"], ends and ends["max"])
+
+
+def save(spark: SparkSession, saved: Saved, path: str) -> None:
+    """One JSON document, under a path of any file system that Spark writes to."""
+    spark.createDataFrame([(saved.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load(spark: SparkSession, path: str) -> Saved:
+    return Saved.from_json(spark.read.text(path, wholetext=True).where("value <> ''").first().value)
+
+
 def categorical_histogram(df: DataFrame, value: str, weight: Column | None = None, enforce: bool = False) -> DataFrame:
     """(value, n). More than 100 distinct values give no rows unless enforced:
     the histogram is null then, and ``null_reason`` says why."""

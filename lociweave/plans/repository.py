@@ -137,3 +137,17 @@ class FileResource:
 def load(spark: SparkSession, *roots: str, genome: str | None = None, gene_models: str | None = None) -> cat.Catalog:
     """A catalogue of the repositories' resources; of equal ids the first counts."""
     return cat.Catalog([FileResource(spark, *r) for root in roots for r in read_configs(spark, root)], genome, gene_models)
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, md5) of every file under ``root``, paths from there."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    tail = root.split("://", 1)[-1].removeprefix("file:").strip("/")
+    return files.select(F.substring_index("path", f"{tail}/", -1).alias("path"), F.col("length").alias("size"), F.md5("content").alias("md5"))
+
+
+def changed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, change): files that a manifest has ADDED, DELETED or CHANGED."""
+    o, n = old.select("path", F.col("md5").alias("was"), F.lit(1).alias("had")), new.select("path", "md5", F.lit(1).alias("has"))
+    what = F.when(F.col("had").isNull(), "ADDED").when(F.col("has").isNull(), "DELETED").when(F.col("was") != F.col("md5"), "CHANGED")
+    return o.join(n, "path", "full").select("path", what.alias("change")).where("change is not null")

@@ -442,6 +442,14 @@ def hist_number_lin(spark: SparkSession, d: str) -> DataFrame:
     return histograms.number_histogram(_runs(spark, d), "value", h, F.col("pos_end") - F.col("pos_begin") + 1)
 
 
+@query(f"with {POS} select bin, cast(sum(pos_end - pos_begin + 1) as bigint) as n from (select *, case when value < 20 then -1 when value > 300 then 10 else least(cast(trunc((value - 20) * (10 / 280.0)) as int), 9) end as bin from runs where value is not null) group by bin")
+def hist_saved(spark: SparkSession, d: str) -> DataFrame:
+    """A histogram measured, kept as JSON, and read back."""
+    path = fresh_path(spark, "histogram.json")
+    histograms.save(spark, histograms.measure(_runs(spark, d), "value", histograms.NumberHistogram(20.0, 300.0, 10), F.col("pos_end") - F.col("pos_begin") + 1), path)
+    return histograms.load(spark, path).rows(spark)
+
+
 @query(f"with {POS}, v as (select pos_end - pos_begin + 1 as w, floor(value) as v from runs where value is not null) select bin, cast(sum(w) as bigint) as n from (select w, case when v < 0 then -1 when v > 1000 then 10 when v < 1.5 then 0 else least(cast(trunc((log10(v) - log10(1.5)) * (9 / (3.0 - log10(1.5)))) as int) + 1, 9) end as bin from v) group by bin")
 def hist_number_log(spark: SparkSession, d: str) -> DataFrame:
     h = histograms.NumberHistogram(0.0, 1000.0, 10, log_from=1.5)

@@ -104,3 +104,20 @@ def test_search(spark, folder, capsys, tmp_path):
     assert capsys.readouterr().out == "scores/mem\tposition_score\tkept in memory\n"
     with pytest.raises(ValueError):
         repository.load(spark, str(tmp_path))
+
+
+def test_manifests(spark, folder, tmp_path):
+    import hashlib
+    import shutil
+
+    shutil.copytree(folder / "grr", tmp_path / "grr")
+    one = repository.manifest(spark, f"{tmp_path}/grr")
+    kept = [tuple(r) for r in one.collect()]
+    data = (tmp_path / "grr/scores/mem/data.mem").read_bytes()
+    assert ("scores/mem/data.mem", len(data), hashlib.md5(data).hexdigest()) in kept and len(kept) == 10
+    old = spark.createDataFrame(kept, one.schema)
+    (tmp_path / "grr/scores/mem/data.mem").write_text("x")
+    (tmp_path / "grr/track/x.bw").unlink()
+    (tmp_path / "grr/new.txt").write_text("y")
+    got = {r.path: r.change for r in repository.changed(old, repository.manifest(spark, f"{tmp_path}/grr")).collect()}
+    assert got == {"scores/mem/data.mem": "CHANGED", "track/x.bw": "DELETED", "new.txt": "ADDED"}

@@ -109,3 +109,24 @@ def test_entry_points(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables")
     assert e.entry(spark).count() == 1500
+
+
+def test_market_matrix(spark, tmp_path):
+    from lociweave.sources.single_cell import read_market_matrix
+
+    (tmp_path / "matrix.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n%made\n3 2 3\n1 1 5\n3 1 2\n2 2 7\n")
+    (tmp_path / "features.tsv").write_text("ENS1\tA\tGene Expression\nENS2\tB\tGene Expression\nENS3\tC\tPeaks\n")
+    (tmp_path / "barcodes.tsv").write_text("AAA-1\nCCC-1\n")
+    got = sorted(map(tuple, read_market_matrix(spark, str(tmp_path), "").collect()))
+    assert got == [("AAA-1", "ENS1", "A", "Gene Expression", 5.0), ("AAA-1", "ENS3", "C", "Peaks", 2.0), ("CCC-1", "ENS2", "B", "Gene Expression", 7.0)]
+
+
+def test_histograms_are_kept(spark, tmp_path):
+    from lociweave.operators import histograms as h
+
+    df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.5, 9.9, 10.0, 11.0, None)], "v double")
+    one = h.measure(df, "v", h.NumberHistogram(0.0, 10.0, 5))
+    assert (one.bars, one.out_of_range, one.least, one.greatest) == ([2, 0, 0, 0, 2], (1, 1), -1.0, 11.0)
+    h.save(spark, one, str(tmp_path / "h.json"))
+    two = h.load(spark, str(tmp_path / "h.json"))
+    assert two == one and sorted(map(tuple, two.rows(spark).collect())) == [(-1, 1), (0, 2), (4, 2), (5, 1)]
