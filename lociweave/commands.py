@@ -15,6 +15,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.values import stringify, vcf_text
 from .plans import catalog as cat
 from .plans import pipeline as pl
 from .plans import repository
@@ -25,7 +26,7 @@ def _text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first().value
 
 
-def _annotated(spark: SparkSession, rows: DataFrame, a: argparse.Namespace) -> tuple[DataFrame, list[str]]:
+def _annotated(spark: SparkSession, rows: DataFrame, a: argparse.Namespace, show) -> tuple[DataFrame, list[str]]:
     """Rows with the pipeline's attributes, and the names of those to be written."""
     c = repository.load(spark, *a.repository, genome=a.reference_genome, gene_models=a.gene_models)
     new = pl.parse(_text(spark, a.pipeline), c, a.allow_repeated_attributes)
@@ -35,7 +36,7 @@ def _annotated(spark: SparkSession, rows: DataFrame, a: argparse.Namespace) -> t
         out = pl.reannotate(rows, old, new, c, full=a.full_reannotation)
     else:
         out = pl.annotate(rows, new, c)
-    return pl.printable(out, new), made
+    return pl.printable(out, new, show=show), made
 
 
 def annotate_tabular(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -44,16 +45,16 @@ def annotate_tabular(spark: SparkSession, a: argparse.Namespace) -> None:
     given = [c for c in rows.columns if c not in ("id", "ann")]
     if a.region:
         rows = rows.where(_in_region(a.region))
-    out, made = _annotated(spark, rows, a)
+    out, made = _annotated(spark, rows, a, stringify)
     kept = [c for c in given if c not in made and c in out.columns]
-    tabular.write_tabular(out, [*kept, *made], a.output, ["id"], a.output_separator or a.input_separator, a.compression)
+    tabular.write_tabular(out, [*kept, *made], a.output, ["id"], a.output_separator or a.input_separator, a.compression, a.one_file)
 
 
 def annotate_vcf(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = tabular.read_vcf_input(spark, a.input)
     if a.region:
         rows = rows.where(_in_region(a.region))
-    out, made = _annotated(spark, rows, a)
+    out, made = _annotated(spark, rows, a, vcf_text)
     tabular.write_vcf(out, made, a.output, a.input)
 
 
@@ -93,6 +94,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--input-separator", default="\t")
             c.add_argument("--output-separator")
             c.add_argument("--compression", choices=["gzip"])
+            c.add_argument("--one-file", action="store_true", help="one part, written by one task")
     c = commands.add_parser("search")
     c.set_defaults(run=search)
     c.add_argument("term", nargs="?")

@@ -91,3 +91,15 @@ def vcf_escape(text: Column) -> Column:
     """A value for a VCF INFO field: ``;`` and ``,`` become ``|``, a space ``_``."""
     pairs = ((";", "|"), (",", "|"), (" ", "_"))
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
+
+
+def vcf_text(value: Column, kind: str) -> Column:
+    """A result as a VCF INFO value, ``.`` for none: items of a list, or ``k:v``
+    of a map, by ``|``; others as ``stringify`` has them."""
+    if kind.startswith("array"):
+        out = F.array_join(F.transform(value, lambda x: F.coalesce(x.cast("string"), F.lit("."))), ";")
+    elif kind.startswith("map"):
+        out = F.array_join(F.transform(F.array_sort(F.map_entries(value)), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ";")
+    else:
+        return vcf_escape(stringify(value, kind, "."))
+    return F.when(value.isNull(), F.lit(".")).otherwise(vcf_escape(out))

@@ -58,7 +58,6 @@ def glob(pattern: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
 
 
-_CLAUSE = re.compile(r"""\s*([A-Za-z_][\w.-]*)\s*(=|in)\s*(?:"([^"]*)"|'([^']*)'|([^\s\]]+))\s*""")
 LONGEST = 256
 
 
@@ -143,14 +142,12 @@ class Catalog:
                 raise KeyError(f"no version of {name} satisfies {rest.rstrip(')')}")
         return versions[max(versions)]
 
-    def matching(self, pattern: str, types: tuple[str, ...] = (), most: int = 500) -> list[Resource]:
+    def matching(self, pattern: str, types: tuple[str, ...] = ()) -> list[Resource]:
         rx = re.compile(glob(pattern))
         got = [self.get(n) for n in sorted(self._by_id) if rx.match(n)]
         got = [r for r in got if not types or r.type in types]
         if not got:
             raise ValueError(f"nothing matches {pattern!r}")
-        if len(got) > most:
-            raise ValueError(f"{pattern!r} matches more than {most} resources")
         return got
 
     def table(self, spark: SparkSession) -> DataFrame:

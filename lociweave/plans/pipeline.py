@@ -231,9 +231,10 @@ def annotate(df: DataFrame, pipeline: Pipeline, catalog: Catalog, ann: str = "an
     return df
 
 
-def printable(df: DataFrame, pipeline: Pipeline, ann: str = "ann") -> DataFrame:
+def printable(df: DataFrame, pipeline: Pipeline, ann: str = "ann", show=stringify) -> DataFrame:
     """``df`` with collections of position scores as text: what a substitution
-    reads at its one base is a value, not a list or map of it."""
+    reads at its one base is a value, not a list or map of it. ``show`` prints
+    the others."""
     kinds = dict(df.dtypes)
     point = F.col(f"{ann}.type") == "SUBSTITUTION"
     out = {}
@@ -243,7 +244,7 @@ def printable(df: DataFrame, pipeline: Pipeline, ann: str = "ann") -> DataFrame:
             if s.type == "position_score" and not s.input_annotatable and kind.startswith(("array", "map")):
                 c = F.col(a.name)
                 one = F.get(c if kind.startswith("array") else F.map_keys(c), F.lit(0)).cast("string")
-                out[a.name] = F.when(c.isNotNull(), F.when(point, one).otherwise(stringify(c, kind)))
+                out[a.name] = F.when(c.isNotNull(), F.when(point, one).otherwise(show(c, kind)))
     return df.withColumns(out) if out else df
 
 

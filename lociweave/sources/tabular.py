@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import from_row
-from ..functions.values import stringify, vcf_escape
+from ..functions.values import stringify, vcf_text
 from .tables import in_file_order, read_rows, read_vcf, vcf_alleles, vcf_header
 
 BAD_LINES = 10
@@ -43,20 +43,28 @@ def bad_rows(spark: SparkSession, path: str, numbers: list[str], sep: str = "\t"
     return raw.where(bad).orderBy("__line").limit(BAD_LINES)
 
 
+def has_at_most(df: DataFrame, n: int) -> bool:
+    """Whether a table has no more than ``n`` rows, without counting the rest."""
+    return df.limit(n + 1).count() <= n
+
+
 def render(df: DataFrame, columns: list[str], missing: str = "") -> DataFrame:
     """``columns`` as text; complex ones printed by ``stringify``."""
     kinds = dict(df.dtypes)
     return df.select(*[stringify(F.col(c), kinds[c], missing).alias(c) for c in columns])
 
 
-def write_tabular(df: DataFrame, columns: list[str], path: str, order: list[str] | None = None, sep: str = "\t", compression: str | None = None) -> None:
-    """Text parts under ``path``, each with a header; rows in order if asked."""
+def write_tabular(df: DataFrame, columns: list[str], path: str, order: list[str] | None = None, sep: str = "\t", compression: str | None = None, one_file: bool = False) -> None:
+    """Text parts under ``path``, each with a header; rows in order if asked.
+    ``one_file`` makes it one part, which one task writes."""
     kinds = dict(df.dtypes)
     keys = order or []
     shown = df.select(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(keys)], *[stringify(F.col(c), kinds[c]).alias(c) for c in columns])
     if keys:
         names = [f"__o{k}" for k in range(len(keys))]
-        shown = shown.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+        shown = (shown.repartition(1) if one_file else shown.repartitionByRange(*names)).sortWithinPartitions(*names).drop(*names)
+    elif one_file:
+        shown = shown.coalesce(1)
     w = shown.write.option("sep", sep).option("header", True).option("quote", "").option("emptyValue", "")
     (w.option("compression", compression) if compression else w).csv(path)
 
@@ -80,7 +88,7 @@ def write_vcf(df: DataFrame, attributes: list[str], path: str, source: str) -> N
     with a line for each attribute before its last."""
     spark = df.sparkSession
     kinds = dict(df.dtypes)
-    cells = [vcf_escape(stringify(F.col(a), kinds[a], ".")).alias(f"__a{k}") for k, a in enumerate(attributes)]
+    cells = [vcf_text(F.col(a), kinds[a]).alias(f"__a{k}") for k, a in enumerate(attributes)]
     got = F.array_sort(F.collect_list(F.struct("alt_idx", *[f"__a{k}" for k in range(len(attributes))])))
     by_line = df.select(F.col("line").alias("__l"), "alt_idx", *cells).distinct().groupBy("__l").agg(got.alias("__x"))
     new = []

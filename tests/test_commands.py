@@ -75,17 +75,19 @@ def test_tabular(spark, folder, tmp_path):
     commands.main(["annotate_tabular", f"{folder}/in.tsv", f"{folder}/p.yaml", "-r", f"{folder}/grr", "-o", f"{tmp_path}/out"], spark)
     got = [t for t in lines(tmp_path / "out") if not t.startswith("chrom\t")]
     assert got == ["\t".join("" if c == "-" else c for c in w.split(" ")) for w in WANT]
-    commands.main(["annotate_columns", f"{folder}/in.csv", f"{folder}/p.yaml", "-r", f"{folder}/grr", "-o", f"{tmp_path}/csv", "--input-separator", ",", "-R", "chr1:11-99"], spark)
+    commands.main(["annotate_columns", f"{folder}/in.csv", f"{folder}/p.yaml", "-r", f"{folder}/grr", "-o", f"{tmp_path}/csv", "--input-separator", ",", "-R", "chr1:11-99", "--one-file"], spark)
+    assert len(list((tmp_path / "csv").glob("part-*"))) == 1
     got = [t for t in lines(tmp_path / "csv") if not t.startswith("chrom,")]
     assert got == [",".join("" if c == "-" else c for c in w.split(" ")) for w in WANT[1:4]]
 
 
 def test_vcf(spark, folder, tmp_path):
-    (tmp_path / "p.yaml").write_text("- allele_score: {resource_id: alleles, attributes: [a_score, a_label]}\n")
-    commands.main(["annotate_vcf", f"{folder}/in.vcf", f"{tmp_path}/p.yaml", "-r", f"{folder}/grr", "-o", f"{tmp_path}/out"], spark)
+    (tmp_path / "p.yaml").write_text("- allele_score: {resource_id: alleles, attributes: [a_score, a_label]}\n- position_score: {resource_id: scores/mem, attributes: [mem_str]}\n")
+    (tmp_path / "in.vcf").write_text((folder / "in.vcf").read_text() + "chr1\t10\t.\tAC\tA\t.\t.\t.\n")
+    commands.main(["annotate_vcf", f"{tmp_path}/in.vcf", f"{tmp_path}/p.yaml", "-r", f"{folder}/grr", "-o", f"{tmp_path}/out"], spark)
     got = lines(tmp_path / "out")
-    assert got[-2:] == ["chr1\t10\trs1\tA\tC,T\t.\tPASS\tQ=1;a_score=0.8,0.9;a_label=wrong_alt,hit", "chr1\t11\trs2\tA\t.\t.\t.\t."]
-    assert got[0] == "##fileformat=VCFv4.2" and got[3].startswith("#CHROM")
+    assert got[-3:] == ["chr1\t10\trs1\tA\tC,T\t.\tPASS\tQ=1;a_score=0.8,0.9;a_label=wrong_alt,hit;mem_str=alpha,alpha", "chr1\t11\trs2\tA\t.\t.\t.\t.", "chr1\t10\t.\tAC\tA\t.\t.\tmem_str=alpha|beta|gamma"]
+    assert got[0] == "##fileformat=VCFv4.2" and got[4].startswith("#CHROM")
 
 
 def test_reannotation(spark, folder, tmp_path):
