@@ -87,6 +87,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_url_filters, op4_bpe_coding, op5_fingerprints, op6_packing, op7_exact_dedup, op8_quality_classifier, op9_warc, op10_token_counts, redirect_closure, pipeline)}
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": r"""
+        with recursive w as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as (
+            select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')] else [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] for i in range(1, len(ws) - 2)] end) as shingle from w),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (shingle) where a.doc_id < b.doc_id group by x, y),
+        link as (select x, y from shared join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+        both_ways as (select x, y from link union all select y, x from link),
+        reach as (select doc_id as x, doc_id as y from documents union select r.x, b.y from reach r join both_ways b on r.y = b.x)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, r.component_id
+        from documents d left join n on n.doc_id = d.doc_id join (select x, min(y) as component_id from reach group by x) r on r.x = d.doc_id
+        """,
     "op3_url_filters": """
         with split as (
             select page_id,
@@ -110,7 +123,8 @@ ORACLE_SQL = {
             from p s join rules r on (s.host = r.h or s.host like '%.' || r.h) and starts_with(s.path, r.p)),
         own as (select p.*, f.rule, f.verdict from p left join fit f on p.page_id = f.page_id and f.n = 1),
         edge as (select a.page_id as x, b.page_id as y from p a join p b on b.page_id = a.page_id - 1 where a.page_id % 7 <> 0),
-        reach as (select page_id as x, page_id as y from p union select r.x, e.y from reach r join edge e on r.y = e.x union select r.x, e.x from reach r join edge e on r.y = e.y),
+        both_ways as (select x, y from edge union all select y, x from edge),
+        reach as (select page_id as x, page_id as y from p union select r.x, b.y from reach r join both_ways b on r.y = b.x),
         told as (select x, min(verdict) as verdict from reach join own on y = page_id group by x)
         select own.page_id, host, path, rule, coalesce(own.verdict, told.verdict, 'allow') as verdict from own left join told on own.page_id = told.x
         """,
