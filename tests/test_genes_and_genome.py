@@ -138,6 +138,26 @@ def test_liftover(spark, tmp_path):
     assert lifted == {1: ("chrFoo", 4, "C", "T"), 2: ("chrFoo", 4, "C", "T"), 3: None}
 
 
+def test_lifting_keeps_every_row(spark):
+    b = spark.createDataFrame([("foo", 0, 100, "new", 10, 500, "+", 1.0, "c")], "src_chrom string, src_begin bigint, src_end bigint, dst_chrom string, dst_begin bigint, dst_size bigint, strand string, score double, chain_id string")
+    df = spark.createDataFrame([(1, "foo", 5), (1, "foo", 5), (1, "foo", 7), (None, "foo", 9), (None, None, None)], "id int, c string, p int")
+    got = sorted((repr(r.id), r.p, r.lifted and r.lifted.pos) for r in genome.lift_positions(df, b, "c", "p").collect() if r.p is not None)
+    assert got == [("1", 5, 15), ("1", 5, 15), ("1", 7, 17), ("None", 9, 19)] and genome.lift_positions(df, b, "c", "p").count() == 5
+
+
+def test_walks_go_on_until_they_end(spark, monkeypatch):
+    # An A taken from a run of 700: it slides over the whole run, through all margins.
+    monkeypatch.setattr(genome, "_MARGINS", (10, 100, 1 << 20))
+    g = genome.from_sequences(spark, {"1": "CG" + "A" * 700 + "TT"})
+    df = spark.createDataFrame([(600, "AA", "A"), (600, "A", "AA"), (3, "A", "T")], "p int, r string, a string").select(S.allele(F.lit("1"), F.col("p"), F.col("r"), F.col("a")).alias("ann"))
+    got = sorted((r.normalized.pos, r.normalized.ref, r.normalized.alt) for r in genome.annotate_normalised(df, g).collect())
+    assert got == [(2, "G", "GA"), (2, "GA", "G"), (3, "A", "T")]
+    b = spark.createDataFrame([("1", 0, 704, "n1", 0, 704, "-", 1.0, "c")], "src_chrom string, src_begin bigint, src_end bigint, dst_chrom string, dst_begin bigint, dst_size bigint, strand string, score double, chain_id string")
+    t = genome.from_sequences(spark, {"n1": "AA" + "T" * 700 + "CG"})
+    got = sorted((r.lifted.pos, r.lifted.ref, r.lifted.alt) for r in genome.lift_alleles(df, b, g, t).collect())
+    assert got == [(2, "A", "AT"), (2, "AT", "A"), (702, "T", "A")]
+
+
 def test_gene_set_files(spark, tmp_path):
     (tmp_path / "s.gmt").write_text("one desc A B\ntwo d2 B\n")
     got = sorted((r.set_name, r.gene) for r in models.read_gmt(spark, str(tmp_path / "s.gmt")).collect())
