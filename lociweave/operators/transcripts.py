@@ -7,10 +7,14 @@ A transcript codes if cds_begin < cds_end.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .overlap import overlap_join
+from . import spans
 
 SCHEMA = "tr_id string, tr_name string, gene string, chrom string, strand string, tx_begin bigint, tx_end bigint, cds_begin bigint, cds_end bigint, exons array<struct<start:bigint,stop:bigint,frame:int>>, attributes map<string,string>"
 
@@ -86,45 +90,96 @@ SIMPLE = ("coding", "inter-coding_intronic", "peripheral", "noncoding")
 INTERGENIC = "intergenic"
 
 
-def class_regions(transcripts: DataFrame) -> DataFrame:
-    """(tr_id, gene, chrom, rank, begin, end): what makes a transcript match a class.
+def _class_parts() -> Column:
+    """Regions (rank, begin, end) that make a transcript match a class.
     Peripheral is all from the transcript's ends to its coding part, introns too."""
     one = lambda rank, rs: F.transform(rs, lambda r: F.struct(F.lit(rank).alias("rank"), r["start"].alias("begin"), r["stop"].alias("end")))
     inner = F.filter(introns(), lambda r: (r["start"] > F.col("cds_begin")) & (r["stop"] < F.col("cds_end")))
     outer = F.array(_exon(F.col("tx_begin"), F.col("cds_begin") - 1), _exon(F.col("cds_end") + 1, F.col("tx_end")))
     whole = F.array(_exon(F.col("tx_begin"), F.col("tx_end")))
-    parts = F.when(is_coding(), F.concat(one(0, cds_regions()), one(1, inner), one(2, outer))).otherwise(one(3, whole))
-    return transcripts.select("tr_id", "gene", F.col("chrom").alias("c_chrom"), F.explode(parts).alias("p")).select("tr_id", "gene", "c_chrom", "p.rank", F.col("p.begin").alias("c_begin"), F.col("p.end").alias("c_end")).where("c_begin <= c_end")
+    return F.when(is_coding(), F.concat(one(0, cds_regions()), one(1, inner), one(2, outer))).otherwise(one(3, whole))
 
 
-def annotate_simple_effects(df: DataFrame, transcripts: DataFrame, ann: str = "ann") -> DataFrame:
+def class_regions(transcripts: DataFrame) -> DataFrame:
+    """(tr_id, gene, chrom, rank, begin, end): what makes a transcript match a class."""
+    return transcripts.select("tr_id", "gene", F.col("chrom").alias("c_chrom"), F.explode(_class_parts()).alias("p")).select("tr_id", "gene", "c_chrom", "p.rank", F.col("p.begin").alias("c_begin"), F.col("p.end").alias("c_end")).where("c_begin <= c_end")
+
+
+#: What is told of a place, and its type.
+SIMPLE_TOLD = {"worst_effect": "string", "gene_effects": "string", "genes": "array<string>", **{f"{c}_genes": "array<string>" for c in SIMPLE}}
+_NONE = len(SIMPLE)  # rank of being over a transcript without any class
+
+
+def _simple_fold(told: list[str]):
+    def run(places: pa.Table, records: pa.Table) -> pa.Table:
+        records = records.sort_by("c_begin")
+        names = spans.Names(records.column("members").combine_chunks())
+        parts = records.column("parts").combine_chunks()
+        owner = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+        rank, begin, end = (parts.flatten().field(k).to_numpy() for k in range(3))
+        left = min(int(begin.min()), int(pc.min(places.column("__begin")).as_py()))
+        size = np.int64(max(int(end.max()), int(pc.max(places.column("__end")).as_py())) - left + 2)
+        # A record's regions of a class: as many begin by a place's end as end before it, unless one overlaps.
+        begins = [np.sort(owner[rank == k] * size + begin[rank == k] - left) for k in range(_NONE + 1)]
+        ends = [np.sort(owner[rank == k] * size + end[rank == k] - left) for k in range(_NONE + 1)]
+        pb, pe = places.column("__begin").to_numpy(), places.column("__end").to_numpy()
+        known = pc.is_valid(names.names).to_numpy(zero_copy_only=False)
+        labels = pa.chunked_array([pc.binary_join_element_wise(names.names, s, ":") for s in SIMPLE]).combine_chunks()
+        out = []
+        for i, j, own, rec in spans.pairs((pb, pe), (records.column("c_begin").to_numpy(), records.column("c_end").to_numpy()), names.words):
+            best = np.full(len(own), _NONE + 1)
+            for k in range(_NONE, -1, -1):
+                if len(begins[k]):
+                    hit = np.searchsorted(begins[k], rec * size + pe[i:j][own] - left, "right") > np.searchsorted(ends[k], rec * size + pb[i:j][own] - left, "left")
+                    best[hit] = k
+            over = np.zeros(j - i, bool)
+            over[own[best <= _NONE]] = True
+            bits = [names.union(j - i, own[best == k], rec[best == k])[over] for k in range(_NONE)]
+            every = np.concatenate(bits, 1)
+            cols = {"__id": places.column("__id").slice(i, j - i).filter(pa.array(over))}
+            if "worst_effect" in told:
+                found = np.stack([b.any(1) for b in bits])
+                cols["worst_effect"] = pa.array(SIMPLE).take(pa.array(found.argmax(0), mask=~found.any(0)))
+            if "gene_effects" in told:
+                cols["gene_effects"] = pc.binary_join(spans.listed(every & np.tile(known, _NONE), labels), "|")
+            if "genes" in told:
+                fresh, seen = [], np.zeros_like(bits[0])
+                for b in bits:
+                    fresh.append(b & ~seen)
+                    seen = seen | b
+                cols["genes"] = spans.listed(np.concatenate(fresh, 1), pa.chunked_array([names.names] * _NONE).combine_chunks())
+            for k, c in enumerate(SIMPLE):
+                if f"{c}_genes" in told:
+                    cols[f"{c}_genes"] = spans.listed(bits[k], names.names)
+            out.append(pa.table({c: cols[c] for c in ["__id", *told]}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def annotate_simple_effects(df: DataFrame, transcripts: DataFrame, ann: str = "ann", wanted: list[str] | None = None) -> DataFrame:
     """Adds worst_effect, genes, gene_effects (``gene:class|...``) and a gene
-    list per class. No transcript over the place: intergenic. A transcript that
-    matches no class counts for nothing; if none matches, worst_effect is null."""
+    list per class, or those of them that are ``wanted``. No transcript over the
+    place: intergenic. A transcript that matches no class counts for nothing; if
+    none matches, worst_effect is null."""
+    told = [c for c in SIMPLE_TOLD if wanted is None or c in wanted]
     # Each distinct place once; what is told of it goes back to all rows that have it.
-    place = F.struct(F.col(f"{ann}.chrom").alias("c"), F.col(f"{ann}.pos").alias("b"), F.col(f"{ann}.pos_end").alias("e"))
+    place = F.struct(F.col(f"{ann}.chrom").alias("c"), F.col(f"{ann}.pos").cast("bigint").alias("b"), F.col(f"{ann}.pos_end").cast("bigint").alias("e"))
     narrow = df.select(place.alias("__id")).distinct().select("__id", F.col("__id.c").alias("__chrom_a"), F.col("__id.b").alias("__begin"), F.col("__id.e").alias("__end"))
-    left = ("__chrom_a", "__begin", "__end")
-    tx = transcripts.select("tr_id", "gene", F.col("chrom").alias("c_chrom"), F.lit(9).alias("rank"), F.col("tx_begin").alias("c_begin"), F.col("tx_end").alias("c_end"))
-    hits = overlap_join(narrow, class_regions(transcripts).unionByName(tx), left, ("c_chrom", "c_begin", "c_end"))
-    per_tr = hits.groupBy("__id", "tr_id", "gene").agg(F.min("rank").alias("rank"))
-    matched = F.when(F.col("rank") < 9, F.struct("rank", "gene"))
-    told = per_tr.groupBy("__id").agg(F.min(F.when(F.col("rank") < 9, F.col("rank"))).alias("__worst"), F.array_sort(F.collect_set(matched)).alias("__pairs"))
-    out = df.join(told, place == F.col("__id"), "left").withColumn("__none", F.col("__id").isNull()).drop("__id")
-    names = F.array(*[F.lit(s) for s in SIMPLE])
-    pairs = F.coalesce("__pairs", F.array().cast("array<struct<rank:int,gene:string>>"))
-
-    def of_class(k: int) -> Column:
-        return F.transform(F.filter(pairs, lambda x: x["rank"] == k), lambda x: x["gene"])
-
-    by_class = {f"{s}_genes": of_class(k) for k, s in enumerate(SIMPLE)}
-    return (
-        out.withColumn("worst_effect", F.when(F.col("__none"), F.lit(INTERGENIC)).otherwise(F.get(names, F.col("__worst"))))
-        .withColumn("gene_effects", F.array_join(F.transform(pairs, lambda x: F.concat(x["gene"], F.lit(":"), F.get(names, x["rank"]))), "|"))
-        .withColumn("genes", F.array_distinct(F.transform(pairs, lambda x: x["gene"])))
-        .withColumns(by_class)
-        .drop("__worst", "__pairs", "__none")
-    )
+    # Transcripts with the same regions are one record with several genes.
+    own = F.array(F.struct(F.lit(_NONE).alias("rank"), F.col("tx_begin").alias("begin"), F.col("tx_end").alias("end")))
+    parts = F.filter(F.concat(_class_parts(), own), lambda p: p["begin"] <= p["end"])
+    parts = F.transform(parts, lambda p: F.struct(p["rank"].cast("int").alias("rank"), p["begin"].cast("bigint").alias("begin"), p["end"].cast("bigint").alias("end")))
+    shapes = transcripts.select(F.col("chrom").alias("c_chrom"), parts.alias("parts"), "gene").groupBy("c_chrom", "parts").agg(F.collect_set(F.struct("gene")).alias("members"))
+    shapes = shapes.withColumn("members", F.transform("members", lambda m: m["gene"])).withColumns({"c_begin": F.array_min(F.transform("parts", lambda p: p["begin"])), "c_end": F.array_max(F.transform("parts", lambda p: p["end"]))})
+    schema = StructType([narrow.schema["__id"], *[StructField(c, StringType() if SIMPLE_TOLD[c] == "string" else ArrayType(StringType())) for c in told]])
+    found = spans.fold(narrow, shapes, ("__chrom_a", "__begin", "__end"), ("c_chrom", "c_begin", "c_end"), _simple_fold(told), schema)
+    found = found.withColumnsRenamed({c: f"__t_{k}" for k, c in enumerate(told)})
+    empty = {"gene_effects": F.lit(""), "worst_effect": F.lit(INTERGENIC)}
+    absent = F.col("__id").isNull()
+    out = df.join(found, place == F.col("__id"), "left")
+    told_of = {c: F.when(absent, empty.get(c, F.array().cast("array<string>"))).otherwise(F.col(f"__t_{k}")) for k, c in enumerate(told)}
+    return out.withColumns(told_of).drop("__id", *[f"__t_{k}" for k in range(len(told))])
 
 
 def by_gene(transcripts: DataFrame, genes: list[str]) -> DataFrame:

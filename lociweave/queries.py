@@ -307,7 +307,7 @@ _TX = "tx as (select 't' || p_partkey as tr_id, 'g' || (p_partkey % 97) as gene,
     told as (select id, min(r) as r, string_agg(gene || ':' || name, '|' order by r, gene) as gene_effects from u join n using (r) group by id)
     select ann.id, case when told.id is null then 'intergenic' else n.name end as worst_effect, coalesce(gene_effects, '') as gene_effects from ann left join told using (id) left join n on n.r = told.r""")
 def simple_effect(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts.annotate_simple_effects(annotatables(spark, d), models_of(spark, d)).select("id", "worst_effect", "gene_effects")
+    return transcripts.annotate_simple_effects(annotatables(spark, d), models_of(spark, d), wanted=["worst_effect", "gene_effects"]).select("id", "worst_effect", "gene_effects")
 
 
 @query(f"with {_TX} select chrom, count(*) as n_transcripts, count(*) filter (where k <> 0) as n_coding_transcripts, count(distinct gene) as n_genes, count(distinct case when k <> 0 then gene end) as n_coding_genes from tx group by grouping sets ((chrom), ())")
