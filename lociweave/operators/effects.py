@@ -9,13 +9,18 @@ puts a variant's effects in order.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from . import spans
+from .genes import effect_in, genes_with_effect
 from .genome import CHUNK
 from .overlap import overlap_join
-from .transcripts import cds_regions
+from .transcripts import INTERGENIC, cds_regions
 
 LIMIT = 15_000_000
 
@@ -293,8 +298,6 @@ def summarise(df: DataFrame, lists: list[str] | None = None, effects: str = "eff
     """worst_effect, gene_effects (``gene:effect|...``), effect_details
     (``transcript:gene:effect:details|...``) and a sorted gene list for each
     effect or group name in ``lists`` (column ``<name>_genes``)."""
-    from .genes import effect_in, genes_with_effect
-
     e = F.col(effects)
     worst = F.get(e, F.lit(0))["effect"]
     lone = worst.isin("intergenic", "no-mutation")
@@ -305,6 +308,146 @@ def summarise(df: DataFrame, lists: list[str] | None = None, effects: str = "eff
     return out.withColumns({f"{n}_genes": genes_with_effect(e, effect_in(GROUPS, [n])) for n in lists or []})
 
 
+# --- what is told of a place, without a struct for each pair ---------------------
+
+_TOLD = ("worst_effect", "gene_effects", "effect_details", "gene_list")
+
+
+def _said(x) -> str:
+    return "None" if x is None else str(x)
+
+
+def _detail(e: dict) -> str:
+    """``_details`` of an effect as ``effect_on`` gives it."""
+    kind, get = e["effect"], e.get
+    if kind in ("noStart", "noEnd", "CDS", "all"):
+        return _said(get("prot_length"))
+    if kind in ("intron", "5'UTR-intron", "3'UTR-intron", "non-coding-intron"):
+        return f"{_said(get('which_intron'))}/{_said(get('how_many_introns'))}[{_said(get('dist_from_coding'))}]"
+    place = f"{_said(get('prot_pos'))}/{_said(get('prot_length'))}"
+    if kind in ("no-frame-shift", "no-frame-shift-newStop", "missense", "nonsense", "coding_unknown"):
+        return f"{place}({_said(get('aa_change'))})"
+    if kind in ("frame-shift", "splice-site", "synonymous"):
+        return place
+    return _said(get("dist_from_coding")) if kind in ("5'UTR", "3'UTR", "promoter") else "None"
+
+
+_COPIES = {"LARGE_DUPLICATION": "CNV+", "LARGE_DELETION": "CNV-"}
+
+
+def _effects_fold(told: list[str], promoter: int):
+    lists = {c: set(effect_in(GROUPS, [c.removesuffix("_genes")])) for c in told if c not in _TOLD}
+    ordered = bool({"gene_effects", "effect_details", "gene_list"} & set(told))
+
+    def one(found: list[tuple[dict, list]]) -> list:
+        """The row of a place, from its effects and the transcripts that have each."""
+        # (severity down, transcript, gene, effect, details)
+        rows = sorted([(-SEVERITY[e["effect"]], tr, gene, e["effect"], text) for e, members in found for text in [_detail(e)] for tr, gene in members], key=lambda x: x[:2])
+        out = {"worst_effect": rows[0][3], "gene_effects": "|".join(dict.fromkeys(f"{'intergenic' if g is None else g}:{x}" for _, _, g, x, _ in rows))}
+        if "effect_details" in told:
+            out["effect_details"] = "|".join(f"{t}:{'intergenic' if g is None else g}:{x}:{text}" for _, t, g, x, text in rows)
+        out["gene_list"] = list(dict.fromkeys(g for _, _, g, _, _ in rows if g is not None))
+        for c, kinds in lists.items():
+            out[c] = sorted({g for _, _, g, x, _ in rows if x in kinds and g is not None})
+        return [out[c] for c in told]
+
+    def run(places: pa.Table, records: pa.Table) -> pa.Table | None:
+        records = records.sort_by("tx_begin")
+        begin, end = (records.column(c).to_numpy() for c in ("tx_begin", "tx_end"))
+        column = records.column("members").combine_chunks()
+        out = []
+        small = pc.is_valid(places.column("__ref"))
+        large = places.filter(pc.invert(small))
+        places = places.filter(pc.and_(small, pc.is_valid(places.column("__alt"))))
+        if large.num_rows and not ordered:
+            # All effects of such a place are the same, so sets of genes tell everything.
+            names = spans.Names(pa.ListArray.from_arrays(column.offsets, column.flatten().field("gene")))
+            known = pc.is_valid(names.names).to_numpy(zero_copy_only=False)
+            effect = [_COPIES.get(t, "unknown") for t in large.column("__type").to_pylist()]
+            for i, j, own, rec in spans.pairs((large.column("__begin").to_numpy(), large.column("__end").to_numpy()), (begin, end), names.words):
+                over = np.zeros(j - i, bool)
+                over[own] = True
+                bits = names.union(j - i, own, rec)[over] & known
+                kind = np.array(effect[i:j], object)[over]
+                cols = {"__id": large.column("__id").slice(i, j - i).filter(pa.array(over)), "worst_effect": pa.array(kind, pa.string())}
+                cols |= {c: spans.listed(bits & np.isin(kind, list(kinds))[:, None], names.names) for c, kinds in lists.items()}
+                out.append(pa.table({c: cols[c] for c in ["__id", *told]}))
+        members = [[(m["tr_id"], m["gene"]) for m in ms] for ms in column.to_pylist()] if ordered or places.num_rows else []
+        kinds = [pa.string() if c in ("worst_effect", "gene_effects", "effect_details") else pa.list_(pa.string()) for c in told]
+
+        def each(some: pa.Table, called):
+            """``called(row, record)``: the effect of a place on a record."""
+            for i, j, own, rec in spans.pairs((some.column("__begin").to_numpy(), some.column("__end").to_numpy()), (begin, end)):
+                at, rows = [], []
+                cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else [0]
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    k = int(own[a])
+                    found = [(e, members[r]) for r in rec[a:b].tolist() if (e := called(i + k, r))]
+                    if found:
+                        at.append(k)
+                        rows.append(one(found))
+                    if len(rows) >= 256:  # texts are long where many transcripts lie
+                        yield i, at, rows
+                        at, rows = [], []
+                yield i, at, rows
+
+        def add(some: pa.Table, called):
+            for i, at, rows in each(some, called):
+                cols = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
+                out.append(pa.table([some.column("__id").slice(i).take(pa.array(at, pa.int64())), *cols], names=["__id", *told]))
+
+        if large.num_rows and ordered:
+            kind = [{"effect": _COPIES.get(t, "unknown")} for t in large.column("__type").to_pylist()]
+            add(large, lambda k, _: kind[k])
+        if places.num_rows:
+            built: dict[int, _Transcript] = {}
+            model = records.select(["strand", "cds_begin", "cds_end", "tx_begin", "tx_end", "exons", "coding"])
+            pos, ref, alt = (places.column(c).to_pylist() for c in ("__pos", "__ref", "__alt"))
+
+            def called(k: int, r: int) -> dict | None:
+                if r not in built:
+                    built[r] = _Transcript(*model.slice(r, 1).to_pylist()[0].values())
+                return effect_on(built[r], pos[k], ref[k].upper(), alt[k].upper(), promoter)
+
+            add(places, called)
+        return pa.concat_tables(out) if out else None
+
+    return run
+
+
+def annotate_effects(df: DataFrame, transcripts: DataFrame, genome: DataFrame, wanted: list[str], promoter_len: int = 0, ann: str = "ann", limit: int = LIMIT) -> DataFrame:
+    """Adds the columns ``wanted`` of ``summarise``, and of ``gene_list`` (genes,
+    worst effect first), as they are over ``variant_effects``, without the
+    effects themselves. Each distinct annotatable is looked up once; transcripts
+    of one shape are one record, on which an effect is worked out once."""
+    told = list(dict.fromkeys(wanted))
+    narrow = df.select(F.col(ann).alias("__id")).where("__id is not null").distinct()
+    a = F.col("__id")
+    narrow = narrow.select(
+        "__id", a["type"].alias("__type"), a["chrom"].alias("__chrom_a"), a["pos"].cast("bigint").alias("__pos"), a["ref"].alias("__ref"), a["alt"].alias("__alt"),
+        F.greatest(a["pos"] - F.when(a["ref"].isNotNull(), promoter_len).otherwise(0), F.lit(1)).cast("bigint").alias("__begin"), (F.when(a["ref"].isNotNull(), a["pos"] + F.length(a["ref"]) + promoter_len).otherwise(a["pos_end"])).cast("bigint").alias("__end"),
+    ).where(a["pos_end"] - a["pos"] + 1 <= limit)
+    shape = ("chrom", "strand", "tx_begin", "tx_end", "cds_begin", "cds_end", "exons")
+    shapes = transcripts.groupBy(*shape).agg(F.collect_list(F.struct("tr_id", "gene")).alias("members")).withColumn("tr_id", F.array_min(F.transform("members", lambda m: m["tr_id"])))
+    shapes = coding_sequences(shapes, genome).select(F.col("chrom").alias("__t_chrom"), *shape[1:], "members", "coding")
+    array = ArrayType(StringType())
+    schema = StructType([narrow.schema["__id"], *[StructField(c, StringType() if c in _TOLD[:3] else array) for c in told]])
+    found = spans.fold(narrow, shapes, ("__chrom_a", "__begin", "__end"), ("__t_chrom", "tx_begin", "tx_end"), _effects_fold(told, promoter_len), schema)
+    found = found.withColumnsRenamed({c: f"__t_{k}" for k, c in enumerate(told)})
+    out = df.join(found, F.col(ann) == F.col("__id"), "left")
+    absent = F.col("__id").isNull()
+    long = F.col(f"{ann}.pos_end") - F.col(f"{ann}.pos") + 1 > limit
+    worst = F.when(long & (F.col(f"{ann}.type") == "LARGE_DUPLICATION"), "CNV+").when(long & (F.col(f"{ann}.type") == "LARGE_DELETION"), "CNV-").when(long, "unknown").otherwise(INTERGENIC)
+    none = F.array().cast("array<string>")
+    # An effect without a transcript: a lone name stands for all parts, others have no gene to name.
+    lone = worst == INTERGENIC
+    alone = {
+        "worst_effect": worst, "gene_effects": F.when(lone, F.concat(worst, F.lit(":"), worst)).otherwise(F.concat(F.lit("intergenic:"), worst)),
+        "effect_details": F.when(lone, F.concat_ws(":", worst, worst, worst, worst)).otherwise(F.concat(F.lit("intergenic:intergenic:"), worst, F.lit(":None"))),
+    }
+    return out.withColumns({c: F.when(absent, alone.get(c, none)).otherwise(F.col(f"__t_{k}")) for k, c in enumerate(told)}).drop("__id", *[f"__t_{k}" for k in range(len(told))])
+
+
 def parse_effects(text: Column) -> Column:
     """``gene:effect|...`` -> array<struct<gene,effect>>."""
     parts = F.filter(F.split(text, r"\|"), lambda x: x != "")

@@ -382,7 +382,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     select ann.id, case when h.id is null then 'intergenic' else 'CNV-' end as worst_effect, coalesce(genes, '') as genes from ann left join h using (id)""")
 def cnv_effects(spark: SparkSession, d: str) -> DataFrame:
     lost = annotatables(spark, d).withColumn("ann", F.col("ann").withField("type", F.lit("LARGE_DELETION")))
-    df = effects.summarise(effects.variant_effects(lost, models_of(spark, d), _chunks(spark, d)), ["CNV"])
+    df = effects.annotate_effects(lost, models_of(spark, d), _chunks(spark, d), ["worst_effect", "CNV_genes"])
     return df.select("id", "worst_effect", F.array_join("CNV_genes", ",").alias("genes"))
 
 

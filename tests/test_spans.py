@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.operators import spans, transcripts
+from lociweave.operators import effects, genome, spans, transcripts
+from lociweave.queries import QUERIES
 
 KIND = "id int, ann struct<type:string,chrom:string,pos:bigint,pos_end:bigint,ref:string,alt:string>"
 
@@ -93,3 +94,48 @@ def test_simple_effects_do_not_shuffle_pairs(spark):
     m = spark.createDataFrame(models, transcripts.SCHEMA)
     df = spark.range(400).select("id", F.expr("named_struct('type', 'REGION', 'chrom', 'c', 'pos', 1100 + id, 'pos_end', 1110 + id, 'ref', string(null), 'alt', string(null)) as ann"))
     assert shuffled(transcripts.annotate_simple_effects(df, m, wanted=["worst_effect", "gene_effects"])) < 1_000_000
+
+
+def some_variants(rng, n):
+    out = []
+    for k in range(n):
+        b = rng.choice([rng.randint(1, 40_000), 4096 * rng.randint(1, 4) + rng.randint(-1, 1)])
+        kind = rng.choice(["SUBSTITUTION", "SMALL_DELETION", "SMALL_INSERTION", "LARGE_DELETION", "LARGE_DUPLICATION", "REGION", "HALF"])
+        ref = "".join(rng.choices("acGT", k=rng.randint(2, 7) if kind == "SMALL_DELETION" else 1))
+        alt = ref[0] + "".join(rng.choices("ACGT", k=rng.randint(1, 6))) if kind == "SMALL_INSERTION" else ref[0] if kind == "SMALL_DELETION" else rng.choice("ACGT")
+        if kind.startswith(("LARGE", "REGION")):
+            ref, alt, end = None, None, b + rng.choice([0, 25, 4096, 70_000, 16_000_000])
+        else:
+            end, alt = b + len(ref) - 1, None if kind == "HALF" else alt
+        out.append((k, (kind, f"c{rng.randint(0, 2)}", b, end, ref, alt)))
+    return [*out, (n, None), (n + 1, out[0][1]), (n + 2, ("REGION", None, 5, 9, None, None))]
+
+
+@pytest.mark.parametrize("pairs", [spans._PAIRS, 50])
+@pytest.mark.parametrize("promoter", [0, 60])
+def test_what_is_told_of_places_is_what_their_effects_come_to(spark, monkeypatch, pairs, promoter):
+    monkeypatch.setattr(spans, "_PAIRS", pairs)
+    rng = random.Random(pairs + promoter)
+    some = some_models(rng, 60, [f"g{k}" for k in range(40)])
+    # Transcripts of one shape, and one without a gene.
+    some += [(f"u{k}", f"u{k}", None if k == 3 else f"g{k}", *m[3:]) for k, m in enumerate(some[:30])]
+    models = spark.createDataFrame(some, transcripts.SCHEMA)
+    sequence = genome.from_sequences(spark, {c: "".join(rng.choices("ACGT", k=60_000)) for c in ("c0", "c1", "c2")})
+    df = spark.createDataFrame(some_variants(rng, 200), KIND)
+    lists = ["LGDs", "coding", "CNV"]
+    full = effects.summarise(effects.variant_effects(df, models, sequence, promoter), lists)
+    full = full.withColumn("gene_list", F.array_distinct(F.transform(F.filter("effects", lambda x: x["gene"].isNotNull()), lambda x: x["gene"])))
+    told = ["worst_effect", "gene_effects", "effect_details", "gene_list", *[f"{c}_genes" for c in lists]]
+    want = sorted(map(str, full.select("id", *told).collect()))
+    assert sorted(map(str, effects.annotate_effects(df, models, sequence, told, promoter).select("id", *told).collect())) == want
+    few = ["worst_effect", "LGDs_genes", "CNV_genes"]
+    assert sorted(map(str, effects.annotate_effects(df, models, sequence, few, promoter).select("id", *few).collect())) == sorted(map(str, full.select("id", *few).collect()))
+
+
+@pytest.mark.parametrize(("name", "most"), [("cnv_effects", 10e6)])
+def test_effects_do_not_shuffle_pairs(spark, tmp_path, name, most):
+    # Places near the first base of a contig, all over 400 transcripts that begin there.
+    keys = [k for k in range(0, 43_200, 6) if k * 7919 % 43_200 < 140]
+    spark.createDataFrame([(k + 43_200 * w * 6, w) for k in keys for w in range(50)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(43_200 * k,) for k in range(400)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    assert shuffled(QUERIES[name](spark, str(tmp_path))) < most
