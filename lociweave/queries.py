@@ -367,8 +367,9 @@ _EFFECTS = f"""with {ANN}, tx as (select 't' || p_partkey as tr_id, 'g' || (p_pa
 
 @query(_EFFECTS)
 def full_effects(spark: SparkSession, d: str) -> DataFrame:
-    df = effects.variant_effects(substitutions(spark, d), models_of(spark, d), _chunks(spark, d), promoter_len=100)
-    return effects.summarise(df, ["LGDs", "coding"]).select("id", "worst_effect", "gene_effects", "effect_details", F.array_join("LGDs_genes", ",").alias("lgds"))
+    asked = ["worst_effect", "gene_effects", "effect_details", "LGDs_genes"]
+    df = effects.annotate_effects(substitutions(spark, d), models_of(spark, d), _chunks(spark, d), asked, promoter_len=100)
+    return df.select("id", "worst_effect", "gene_effects", "effect_details", F.array_join("LGDs_genes", ",").alias("lgds"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:

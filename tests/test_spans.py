@@ -132,7 +132,7 @@ def test_what_is_told_of_places_is_what_their_effects_come_to(spark, monkeypatch
     assert sorted(map(str, effects.annotate_effects(df, models, sequence, few, promoter).select("id", *few).collect())) == sorted(map(str, full.select("id", *few).collect()))
 
 
-@pytest.mark.parametrize(("name", "most"), [("cnv_effects", 10e6)])
+@pytest.mark.parametrize(("name", "most"), [("cnv_effects", 10e6), ("full_effects", 2e6)])
 def test_effects_do_not_shuffle_pairs(spark, tmp_path, name, most):
     # Places near the first base of a contig, all over 400 transcripts that begin there.
     keys = [k for k in range(0, 43_200, 6) if k * 7919 % 43_200 < 140]
