@@ -22,18 +22,32 @@ def _lists(df: DataFrame, genes: str) -> DataFrame:
     return df.select(F.col(genes).alias("__list")).where("__list is not null").distinct().select("__list", F.posexplode("__list").alias("__at", "__g"))
 
 
+def _list_key(genes: str) -> Column:
+    """128 bits that stand for a gene list in joins; null for none. A list by
+    itself is as long as its genes and would travel with each of them."""
+    g = F.col(genes)
+    return F.when(g.isNotNull(), F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit("lists"), F.size(g), F.reverse(g)).alias("b")))
+
+
 def annotate_gene_score(df: DataFrame, scores: DataFrame, value: str, name: str, genes: str = "genes", gene: str = "gene", aggregator: str | None = None) -> DataFrame:
     """A map gene -> value of a row's genes in list order, or its aggregate.
     Null where the row has no gene list or none of its genes has a value."""
     m = gene_score_map(scores, gene, value)
-    hit = _lists(df, genes).join(m, F.col("__g") == F.col("__gene")).groupBy("__list", "__g").agg(F.min("__at").alias("__at"), F.min("__value").alias("__value"))
+    key = _list_key(genes)
+    lists = df.select(key.alias("__list"), F.array_distinct(genes).alias("__gs")).where("__gs is not null")
+    # Of the score only genes that are in a list at all travel, to the lists.
+    used = lists.select(F.explode("__gs").alias("__u")).distinct()
+    m = F.broadcast(m.join(used, F.col("__gene") == F.col("__u"), "left_semi"))
+    if aggregator not in ("max", "min"):  # those two do not count how often a list is met
+        lists = lists.groupBy("__list").agg(F.any_value("__gs").alias("__gs"))
+    hit = lists.select("__list", F.posexplode("__gs").alias("__at", "__g")).join(m, F.col("__g") == F.col("__gene"))
     if aggregator is None:
         items = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__g", "__value"))), lambda x: F.struct(x["__g"].alias("key"), x["__value"].alias("value")))
         told = hit.groupBy("__list").agg(F.map_from_entries(items).alias(name))
     else:
         asked = aggregators.Asked(aggregators.parse(aggregator, "double"), F.col("__value"), "double", name)
         told = aggregators.grouped(hit, ["__list"], [asked], F.lit(1), F.col("__at"))
-    return df.join(told, F.col(genes) == F.col("__list"), "left").drop("__list")
+    return df.withColumn("__key", key).join(told, F.col("__key") == F.col("__list"), "left").drop("__list", "__key")
 
 
 def gene_score_range(scores: DataFrame, value: str, low: float | None = None, high: float | None = None, gene: str = "gene") -> DataFrame:

@@ -11,11 +11,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.filters import compile_filter
-from . import aggregators
+from . import aggregators, spans
 from .overlap import overlap_counts, overlap_join, overlap_width
 from .running import running
 
@@ -238,6 +242,72 @@ def allele_points(score: Score, sources: list[str], chrom: str, begin: int, end:
     return score.df.where((F.col(score.chrom) == chrom) & F.col(score.begin).between(begin, end)).select(F.col(score.begin).alias("pos"), *sources)
 
 
+def _levels(n: int) -> int:
+    return max(1, int(n).bit_length())
+
+
+def _spread(size: int, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The greatest value put on each of ``size`` cells, where each value goes to [lo, hi)."""
+    level = np.frexp(hi - lo)[1] - 1
+    table = np.zeros((_levels(size), size), np.int64)
+    np.maximum.at(table, (level, lo), value)
+    np.maximum.at(table, (level, hi - (1 << level)), value)
+    for k in range(len(table) - 1, 0, -1):
+        half, n = 1 << (k - 1), size - (1 << k) + 1
+        if n > 0:
+            np.maximum(table[k - 1][:n], table[k][:n], out=table[k - 1][:n])
+            np.maximum(table[k - 1][half : half + n], table[k][:n], out=table[k - 1][half : half + n])
+    return table[0]
+
+
+def _greatest(cells: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The greatest of the cells [lo, hi)."""
+    table = [cells]
+    while 2 << (len(table) - 1) <= len(cells):
+        half = 1 << (len(table) - 1)
+        table.append(np.maximum(table[-1][:-half], table[-1][half:]))
+    level = np.frexp(hi - lo)[1] - 1
+    out = np.zeros(len(lo), np.int64)
+    for k in np.unique(level):
+        m = level == k
+        out[m] = np.maximum(table[k][lo[m]], table[k][hi[m] - (1 << k)])
+    return out
+
+
+def _extremes(narrow: DataFrame, score: Score, attributes: list[Attribute], sources: list[str]) -> DataFrame:
+    """The number of records that each place overlaps, ``__n``, and greatest or
+    least values of them, without making the pairs: the greatest value over each
+    stretch of bases, then the greatest of the stretches that a place touches."""
+    names = list(dict.fromkeys(sources))
+    records = score.record(sources).select("__r_chrom", "__r_begin", "__r_end", *[F.col(f"__v_{s}").cast("double").alias(f"v{k}") for k, s in enumerate(names)])
+    asked = [(names.index(a.source), score.aggregator(a).name == "max") for a in attributes]
+
+    def run(places: pa.Table, records: pa.Table) -> pa.Table | None:
+        (pb, pe), (rb, re_) = ([t.column(c).to_numpy() for c in cols] for t, cols in ((places, ("__begin", "__end")), (records, ("__r_begin", "__r_end"))))
+        n = np.searchsorted(np.sort(rb), pe, "right") - np.searchsorted(np.sort(re_), pb, "left")
+        met = n > 0
+        if not met.any():
+            return None
+        cuts = np.unique(np.r_[rb, re_ + 1])
+        spread = (np.searchsorted(cuts, rb), np.searchsorted(cuts, re_ + 1))
+        reach = (np.maximum(np.searchsorted(cuts, pb[met], "right") - 1, 0), np.searchsorted(cuts, pe[met], "right"))
+        cols = {}
+        for k, (v, most) in enumerate(asked):
+            value = records.column(f"v{v}")
+            known = pc.is_valid(value).to_numpy()
+            # Values as their ranks, NaN above all; 0 is no value.
+            order, rank = np.unique(value.drop_null().to_numpy(), return_inverse=True)
+            rank = rank + 1 if most else len(order) - rank
+            got = _greatest(_spread(len(cuts), spread[0][known], spread[1][known], rank), *reach)
+            at = np.where(got > 0, got - 1 if most else len(order) - got, 0)
+            cols[f"x{k}"] = pa.array(order, pa.float64()).take(pa.array(at, mask=got == 0))
+        return pa.table({"__id": places.column("__id").filter(pa.array(met)), "__n": n[met].astype(np.int64), **cols})
+
+    schema = StructType([narrow.schema["__id"], StructField("__n", LongType()), *[StructField(f"x{k}", DoubleType()) for k in range(len(asked))]])
+    told = spans.fold(narrow.select("__id", "__chrom_a", "__begin", "__end"), records, _L, _R, run, schema)
+    return told.withColumnsRenamed({f"x{k}": a.column for k, a in enumerate(attributes)})
+
+
 def annotate_fragment(df: DataFrame, score: Score, attributes: list[Attribute], ann: str = "ann", record_filter: str | None = None, count_as: str | None = None, limit: int = REGION_LIMIT, strict: bool = False) -> DataFrame:
     """All fragments that overlap, aggregated with weight 1. An attribute without
     an aggregator of its own, by resource or by kind (a flag), gives their
@@ -252,7 +322,9 @@ def annotate_fragment(df: DataFrame, score: Score, attributes: list[Attribute],
     counted = [a for a in attributes if not (a.aggregator or score.defaults.get(a.source) or DEFAULTS["fragment"].get(score.values[a.source]))]
     plain = [a for a in attributes if a not in counted]
     names = [a.column for a in counted] + ([count_as] if count_as else [])
-    if plain:
+    if plain and all(score.aggregator(a).name in ("max", "min") for a in plain):
+        told = _extremes(narrow, kept, plain, sources)
+    elif plain:
         hits = overlap_join(narrow, kept.record(sources), _L, _R)
         asked = [*_asked(score, plain), *([aggregators.Asked(aggregators.parse("count"), F.lit(1), "bigint", "__n")] if names else [])]
         told = aggregators.grouped(hits, ["__id"], asked, F.lit(1), F.col("__r_order"))

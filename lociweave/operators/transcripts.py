@@ -170,8 +170,8 @@ def annotate_simple_effects(df: DataFrame, transcripts: DataFrame, ann: str = "a
     own = F.array(F.struct(F.lit(_NONE).alias("rank"), F.col("tx_begin").alias("begin"), F.col("tx_end").alias("end")))
     parts = F.filter(F.concat(_class_parts(), own), lambda p: p["begin"] <= p["end"])
     parts = F.transform(parts, lambda p: F.struct(p["rank"].cast("int").alias("rank"), p["begin"].cast("bigint").alias("begin"), p["end"].cast("bigint").alias("end")))
-    shapes = transcripts.select(F.col("chrom").alias("c_chrom"), parts.alias("parts"), "gene").groupBy("c_chrom", "parts").agg(F.collect_set(F.struct("gene")).alias("members"))
-    shapes = shapes.withColumn("members", F.transform("members", lambda m: m["gene"])).withColumns({"c_begin": F.array_min(F.transform("parts", lambda p: p["begin"])), "c_end": F.array_max(F.transform("parts", lambda p: p["end"]))})
+    shapes = transcripts.groupBy("chrom", "tx_begin", "tx_end", "cds_begin", "cds_end", "exons").agg(F.collect_set(F.struct("gene")).alias("members"))
+    shapes = shapes.select(F.col("chrom").alias("c_chrom"), parts.alias("parts"), "members").withColumn("members", F.transform("members", lambda m: m["gene"])).withColumns({"c_begin": F.array_min(F.transform("parts", lambda p: p["begin"])), "c_end": F.array_max(F.transform("parts", lambda p: p["end"]))})
     schema = StructType([narrow.schema["__id"], *[StructField(c, StringType() if SIMPLE_TOLD[c] == "string" else ArrayType(StringType())) for c in told]])
     found = spans.fold(narrow, shapes, ("__chrom_a", "__begin", "__end"), ("c_chrom", "c_begin", "c_end"), _simple_fold(told), schema)
     found = found.withColumnsRenamed({c: f"__t_{k}" for k, c in enumerate(told)})

@@ -217,8 +217,18 @@ def annotate(df: DataFrame, pipeline: Pipeline, catalog: Catalog, ann: str = "an
     """``df`` with the pipeline's attributes, one row per row; no action runs.
     Attributes belong to places (or gene lists): every distinct one is looked up
     once and its attributes go to all rows that have it, so rows need no ids,
-    and those that repeat stay as many. Internal attributes are dropped at the end."""
-    for s in merge(pipeline.specs):
+    and those that repeat stay as many. Internal attributes are dropped at the end.
+    Where annotators read nothing but such columns, all run over their distinct
+    values, and rows are joined once, with what is left at the end."""
+    specs = merge(pipeline.specs)
+    read = [c for c in dict.fromkeys([ann, *[c for s in specs for c in sorted(consumed(s))]]) if c in df.columns]
+    kinds = dict(df.dtypes)
+    if len(specs) > 1 and not any(s.type in _EXTRA for s in specs) and read != df.columns and ann in read and not any("map<" in kinds[c] for c in read):
+        told = annotate(df.select(*read).distinct(), pipeline, catalog, ann, keep_internal)
+        told = told.withColumnsRenamed({c: f"__in{k}" for k, c in enumerate(read)})
+        same = [F.col(c).eqNullSafe(F.col(f"__in{k}")) for k, c in enumerate(read)]
+        return df.join(told, same, "left").drop(*[f"__in{k}" for k in range(len(read))])
+    for s in specs:
         df = _run(df, s, pipeline, catalog, s.input_annotatable or ann)
         kinds = dict(df.dtypes)
         for a in s.attributes:

@@ -5,13 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.operators import effects, genome, spans, transcripts
+from lociweave.operators import effects, genes, genome, scores, spans, transcripts
 from lociweave.queries import QUERIES
 
 KIND = "id int, ann struct<type:string,chrom:string,pos:bigint,pos_end:bigint,ref:string,alt:string>"
 
 
-def some_models(rng, n, genes):
+def some_models(rng, n, names):
     out = []
     for k in range(n):
         b = rng.choice([rng.randint(1, 20_000), 4096 * rng.randint(1, 4)])
@@ -22,7 +22,7 @@ def some_models(rng, n, genes):
             at += size + rng.choice([1, 20, 9000])
         end = exons[-1][1]
         cds = (end, b) if rng.random() < 0.2 else (b + rng.randint(0, 9), end - rng.randint(0, 3))
-        out.append((f"t{k}", f"t{k}", rng.choice(genes), f"c{rng.randint(0, 1)}", rng.choice("+-"), b, end, *cds, exons, {}))
+        out.append((f"t{k}", f"t{k}", rng.choice(names), f"c{rng.randint(0, 1)}", rng.choice("+-"), b, end, *cds, exons, {}))
     return out
 
 
@@ -139,3 +139,32 @@ def test_effects_do_not_shuffle_pairs(spark, tmp_path, name, most):
     spark.createDataFrame([(k + 43_200 * w * 6, w) for k in keys for w in range(50)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(43_200 * k,) for k in range(400)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
     assert shuffled(QUERIES[name](spark, str(tmp_path))) < most
+
+
+def test_extremes_of_fragments_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    values = [None, 0.5, -1.0, 2.0, float("nan"), float("inf")]
+    some = [(f"c{rng.randint(0, 1)}", b, b + rng.choice([0, 30, 5000, 80_000]), rng.choice(values), rng.choice(values[:3])) for b in (rng.randint(1, 30_000) for _ in range(300))]
+    score = scores.Score("fragment", spark.createDataFrame(some, "chrom string, pos_begin bigint, pos_end bigint, v double, w double"), {"v": "double", "w": "double"})
+    rows = some_places(rng, 200)
+    asked = [scores.Attribute("v", "top", "max"), scores.Attribute("v", "low", "min"), scores.Attribute("w", "w_low", "min")]
+    got = scores.annotate_fragment(spark.createDataFrame(rows, KIND), score, asked, count_as="n").collect()
+    given, first = dict(rows), lambda x: (x != x, x)  # NaN is the greatest
+    assert len(got) == len(rows)
+    for r in got:
+        a = given[r.id]
+        if a is None or a[3] - a[2] + 1 > scores.REGION_LIMIT:
+            assert (r.top, r.low, r.n) == (None, None, None)
+            continue
+        hit = [f for f in some if a[1] == f[0] and a[2] <= a[3] and f[1] <= a[3] and f[2] >= a[2]]
+        v, w = sorted((f[3] for f in hit if f[3] is not None), key=first), [f[4] for f in hit if f[4] is not None]
+        assert (repr(r.top), repr(r.low), r.w_low, r.n) == (repr(v[-1]) if v else "None", repr(v[0]) if v else "None", min(w, default=None), len(hit))
+
+
+def test_gene_lists_do_not_travel_with_their_genes(spark):
+    # 300 lists of 200 genes each; before, each of the 60,000 genes took its whole list along.
+    df = spark.range(300).select("id", F.expr("transform(sequence(0, 199), i -> concat('gene', (id + i) % 500)) as genes"))
+    table = spark.range(5000).select(F.expr("concat('gene', id) as gene"), F.expr("double(id) as price"))
+    out = genes.annotate_gene_score(df, table, "price", "top", aggregator="max").select("id", "top")
+    assert {r.id: r.top for r in out.collect()} == {k: float(max((k + i) % 500 for i in range(200))) for k in range(300)}
+    assert shuffled(out) < 2_000_000
