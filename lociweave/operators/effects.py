@@ -9,6 +9,8 @@ puts a variant's effects in order.
 
 from __future__ import annotations
 
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -332,6 +334,8 @@ def _detail(e: dict) -> str:
     return _said(get("dist_from_coding")) if kind in ("5'UTR", "3'UTR", "promoter") else "None"
 
 
+_A_DETAIL = 32  # bytes of a transcript's part of the details, about
+_FIRST = itemgetter(0)
 _COPIES = {"LARGE_DUPLICATION": "CNV+", "LARGE_DELETION": "CNV-"}
 
 
@@ -341,14 +345,19 @@ def _effects_fold(told: list[str], promoter: int):
 
     def one(found: list[tuple[dict, list]]) -> list:
         """The row of a place, from its effects and the transcripts that have each."""
-        # (severity down, transcript, gene, effect, details)
-        rows = sorted([(-SEVERITY[e["effect"]], tr, gene, e["effect"], text) for e, members in found for text in [_detail(e)] for tr, gene in members], key=lambda x: x[:2])
-        out = {"worst_effect": rows[0][3], "gene_effects": "|".join(dict.fromkeys(f"{'intergenic' if g is None else g}:{x}" for _, _, g, x, _ in rows))}
+        # Worst first: by severity lists of (transcript, gene, effect, details).
+        by: dict[int, list] = {}
+        for e, members in found:
+            kind, text = e["effect"], _detail(e)
+            by.setdefault(-SEVERITY[kind], []).extend([(tr, gene, kind, text) for tr, gene in members])
+        rows = [r for k in sorted(by) for r in sorted(by[k], key=_FIRST)]
+        pairs = dict.fromkeys([(g, x) for _, g, x, _ in rows])
+        out = {"worst_effect": rows[0][2], "gene_effects": "|".join(dict.fromkeys([f"{'intergenic' if g is None else g}:{x}" for g, x in pairs]))}
         if "effect_details" in told:
-            out["effect_details"] = "|".join(f"{t}:{'intergenic' if g is None else g}:{x}:{text}" for _, t, g, x, text in rows)
-        out["gene_list"] = list(dict.fromkeys(g for _, _, g, _, _ in rows if g is not None))
+            out["effect_details"] = "|".join([f"{t}:{'intergenic' if g is None else g}:{x}:{text}" for t, g, x, text in rows])
+        out["gene_list"] = list(dict.fromkeys(g for g, _ in pairs if g is not None))
         for c, kinds in lists.items():
-            out[c] = sorted({g for _, _, g, x, _ in rows if x in kinds and g is not None})
+            out[c] = sorted({g for g, x in pairs if x in kinds and g is not None})
         return [out[c] for c in told]
 
     def run(places: pa.Table, records: pa.Table) -> pa.Table | None:
@@ -372,7 +381,11 @@ def _effects_fold(told: list[str], promoter: int):
                 cols = {"__id": large.column("__id").slice(i, j - i).filter(pa.array(over)), "worst_effect": pa.array(kind, pa.string())}
                 cols |= {c: spans.listed(bits & np.isin(kind, list(kinds))[:, None], names.names) for c, kinds in lists.items()}
                 out.append(pa.table({c: cols[c] for c in ["__id", *told]}))
-        members = [[(m["tr_id"], m["gene"]) for m in ms] for ms in column.to_pylist()] if ordered or places.num_rows else []
+        members = []
+        if ordered or places.num_rows:
+            flat, cuts = column.flatten(), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+            known = list(zip(flat.field("tr_id").to_pylist(), flat.field("gene").to_pylist(), strict=True))
+            members = [known[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         kinds = [pa.string() if c in ("worst_effect", "gene_effects", "effect_details") else pa.list_(pa.string()) for c in told]
 
         def each(some: pa.Table, called):
@@ -401,12 +414,12 @@ def _effects_fold(told: list[str], promoter: int):
             add(large, lambda k, _: kind[k])
         if places.num_rows:
             built: dict[int, _Transcript] = {}
-            model = records.select(["strand", "cds_begin", "cds_end", "tx_begin", "tx_end", "exons", "coding"])
+            model = [list(r.values()) for r in records.select(["strand", "cds_begin", "cds_end", "tx_begin", "tx_end", "exons", "coding"]).to_pylist()]
             pos, ref, alt = (places.column(c).to_pylist() for c in ("__pos", "__ref", "__alt"))
 
             def called(k: int, r: int) -> dict | None:
                 if r not in built:
-                    built[r] = _Transcript(*model.slice(r, 1).to_pylist()[0].values())
+                    built[r] = _Transcript(*model[r])
                 return effect_on(built[r], pos[k], ref[k].upper(), alt[k].upper(), promoter)
 
             add(places, called)
@@ -419,23 +432,42 @@ def annotate_effects(df: DataFrame, transcripts: DataFrame, genome: DataFrame, w
     """Adds the columns ``wanted`` of ``summarise``, and of ``gene_list`` (genes,
     worst effect first), as they are over ``variant_effects``, without the
     effects themselves. Each distinct annotatable is looked up once; transcripts
-    of one shape are one record, on which an effect is worked out once."""
+    of one shape are one record, on which an effect is worked out once. Details
+    have a part for every transcript, so for them the rows go to the texts."""
     told = list(dict.fromkeys(wanted))
-    narrow = df.select(F.col(ann).alias("__id")).where("__id is not null").distinct()
+    long_texts = "effect_details" in told
     a = F.col("__id")
-    narrow = narrow.select(
-        "__id", a["type"].alias("__type"), a["chrom"].alias("__chrom_a"), a["pos"].cast("bigint").alias("__pos"), a["ref"].alias("__ref"), a["alt"].alias("__alt"),
-        F.greatest(a["pos"] - F.when(a["ref"].isNotNull(), promoter_len).otherwise(0), F.lit(1)).cast("bigint").alias("__begin"), (F.when(a["ref"].isNotNull(), a["pos"] + F.length(a["ref"]) + promoter_len).otherwise(a["pos_end"])).cast("bigint").alias("__end"),
-    ).where(a["pos_end"] - a["pos"] + 1 <= limit)
+    apart = a["pos_end"] - a["pos"] + 1 <= limit
+
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *rows.columns, a["type"].alias("__type"), a["chrom"].alias("__chrom_a"), a["pos"].cast("bigint").alias("__pos"), a["ref"].alias("__ref"), a["alt"].alias("__alt"),
+            F.greatest(a["pos"] - F.when(a["ref"].isNotNull(), promoter_len).otherwise(0), F.lit(1)).cast("bigint").alias("__begin"), (F.when(a["ref"].isNotNull(), a["pos"] + F.length(a["ref"]) + promoter_len).otherwise(a["pos_end"])).cast("bigint").alias("__end"),
+        )
+
+    def filed(rows: DataFrame) -> DataFrame:
+        """By its own bases, which need narrow spans; the transcripts are wide by the promoter instead."""
+        return place(rows).withColumns({"__file": F.when(apart & (F.col("__end") >= F.col("__begin")), F.col("__chrom_a")), "__last": F.when(F.col("__ref").isNotNull(), F.col("__end") - promoter_len).otherwise(F.col("__end"))})
+
+    kind = df.schema[ann]
+    id_field = StructField("__id", kind.dataType, kind.nullable)
     shape = ("chrom", "strand", "tx_begin", "tx_end", "cds_begin", "cds_end", "exons")
     shapes = transcripts.groupBy(*shape).agg(F.collect_list(F.struct("tr_id", "gene")).alias("members")).withColumn("tr_id", F.array_min(F.transform("members", lambda m: m["tr_id"])))
     shapes = coding_sequences(shapes, genome).select(F.col("chrom").alias("__t_chrom"), *shape[1:], "members", "coding")
     array = ArrayType(StringType())
-    schema = StructType([narrow.schema["__id"], *[StructField(c, StringType() if c in _TOLD[:3] else array) for c in told]])
-    found = spans.fold(narrow, shapes, ("__chrom_a", "__begin", "__end"), ("__t_chrom", "tx_begin", "tx_end"), _effects_fold(told, promoter_len), schema)
-    found = found.withColumnsRenamed({c: f"__t_{k}" for k, c in enumerate(told)})
-    out = df.join(found, F.col(ann) == F.col("__id"), "left")
-    absent = F.col("__id").isNull()
+    schema = StructType([id_field, *[StructField(c, StringType() if c in _TOLD[:3] else array) for c in told]])
+    run, named = _effects_fold(told, promoter_len), {c: f"__t_{k}" for k, c in enumerate(told)}
+    if long_texts:
+        rest = [c for c in df.columns if c != ann]
+        rows = df.select(F.col(ann).alias("__id"), F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(True).alias("__row")]).alias("__row"))
+        wide = lambda t: t.withColumns({"__from": F.col("tx_begin") - promoter_len, "__to": F.col("tx_end") + promoter_len})
+        sizes = wide(transcripts.select(F.col("chrom").alias("__t_chrom"), "tx_begin", "tx_end"))
+        found = spans.fold_rows(rows, filed, wide(shapes), sizes, ("__file", "__pos", "__last"), ("__t_chrom", "__from", "__to"), run, schema, _A_DETAIL).withColumnsRenamed(named)
+        out, absent = found.withColumnRenamed("__id", ann), F.col(named["effect_details"]).isNull()
+    else:
+        narrow = place(df.select(F.col(ann).alias("__id")).where("__id is not null").distinct()).where(apart)
+        found = spans.fold(narrow, shapes, ("__chrom_a", "__begin", "__end"), ("__t_chrom", "tx_begin", "tx_end"), run, schema).withColumnsRenamed(named)
+        out, absent = df.join(found, F.col(ann) == F.col("__id"), "left"), F.col("__id").isNull()
     long = F.col(f"{ann}.pos_end") - F.col(f"{ann}.pos") + 1 > limit
     worst = F.when(long & (F.col(f"{ann}.type") == "LARGE_DUPLICATION"), "CNV+").when(long & (F.col(f"{ann}.type") == "LARGE_DELETION"), "CNV-").when(long, "unknown").otherwise(INTERGENIC)
     none = F.array().cast("array<string>")
@@ -445,7 +477,11 @@ def annotate_effects(df: DataFrame, transcripts: DataFrame, genome: DataFrame, w
         "worst_effect": worst, "gene_effects": F.when(lone, F.concat(worst, F.lit(":"), worst)).otherwise(F.concat(F.lit("intergenic:"), worst)),
         "effect_details": F.when(lone, F.concat_ws(":", worst, worst, worst, worst)).otherwise(F.concat(F.lit("intergenic:intergenic:"), worst, F.lit(":None"))),
     }
-    return out.withColumns({c: F.when(absent, alone.get(c, none)).otherwise(F.col(f"__t_{k}")) for k, c in enumerate(told)}).drop("__id", *[f"__t_{k}" for k in range(len(told))])
+    if not long_texts:
+        return out.withColumns({c: F.when(absent, alone.get(c, none)).otherwise(F.col(f"__t_{k}")) for k, c in enumerate(told)}).drop("__id", *named.values())
+    out = out.select(ann, "__rows", *[F.when(absent, alone.get(c, none)).otherwise(F.col(t)).alias(t) for c, t in named.items()])
+    out = out.select(ann, *named.values(), F.explode("__rows").alias("__row"))
+    return out.select(*[F.col(c) if c == ann else F.col("__row").getField(c).alias(c) for c in df.columns if c not in named], *[F.col(t).alias(c) for c, t in named.items()])
 
 
 def parse_effects(text: Column) -> Column:

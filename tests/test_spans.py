@@ -141,6 +141,32 @@ def test_effects_do_not_shuffle_pairs(spark, tmp_path, name, most):
     assert shuffled(QUERIES[name](spark, str(tmp_path))) < most
 
 
+def test_rows_go_to_their_texts(spark, monkeypatch):
+    # Narrow spans in many tasks, lists of two rows, rows of one place that are read apart, other columns kept.
+    monkeypatch.setattr(spans, "_TEXT", 3000)
+    monkeypatch.setattr(spans, "_LIST", 2)
+    rng = random.Random(9)
+    models = spark.createDataFrame(some_models(rng, 60, [f"g{k}" for k in range(40)]), transcripts.SCHEMA)
+    sequence = genome.from_sequences(spark, {c: "".join(rng.choices("ACGT", k=60_000)) for c in ("c0", "c1", "c2")})
+    rows = [(5 * k + i, ann) for k, ann in some_variants(rng, 150) for i in range(k % 5)]
+    df = spark.createDataFrame(rows, KIND).repartition(3).withColumn("more.columns", F.map_from_arrays(F.array("id"), F.array(F.lit(None).cast("timestamp"))))
+    told = ["effect_details", "worst_effect", "coding_genes"]
+    got = effects.annotate_effects(df, models, sequence, told, 60)
+    assert got.columns == ["id", "ann", "more.columns", *told]
+    want = effects.summarise(effects.variant_effects(df, models, sequence, 60), ["coding"]).select("id", "ann", "`more.columns`", *told)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_texts_of_places_are_not_shuffled(spark):
+    # 400 places over 500 transcripts, some 5 MB of details; before, these were shuffled to be joined to the rows.
+    models = [(f"t{k}", f"t{k}", f"g{k % 7}", "c", "+", 1000 + k % 5, 3000, 1010, 2900, [(1000 + k % 5, 1500, -1), (2000, 3000, -1)], {}) for k in range(500)]
+    m = spark.createDataFrame(models, transcripts.SCHEMA)
+    df = spark.range(400).select("id", F.expr("named_struct('type', 'SUBSTITUTION', 'chrom', 'c', 'pos', 1100 + id, 'pos_end', 1100 + id, 'ref', 'A', 'alt', 'C') as ann"))
+    out = effects.annotate_effects(df, m, genome.from_sequences(spark, {"c": "ACGT" * 1000}), ["effect_details"])
+    assert out.agg(F.sum(F.length("effect_details"))).first()[0] > 5_000_000
+    assert shuffled(out) < 2_500_000
+
+
 def test_extremes_of_fragments_are_those_of_all_pairs(spark):
     rng = random.Random(5)
     values = [None, 0.5, -1.0, 2.0, float("nan"), float("inf")]
